@@ -69,7 +69,7 @@ def cut(df: DataFrame, *by: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _TRASH.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(schema).parquet(path)
 

@@ -17,6 +17,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
 
 
+def op7_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as p
+
+    from . import huffman
+
+    return huffman.round_trip(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.json"))
+
+
 #: SQL for the queries that SQL can express on whole tables.
 ORACLE: dict[str, str] = {}
 
