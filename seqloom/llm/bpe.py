@@ -141,15 +141,20 @@ class Transducer:
         if done is None:
             raise ValueError(f"no token holds byte {byte}")
         live.append((done, 0))
-        first = live[0][0]
-        same = min(len(p) for p, _ in live)
-        for p, _ in live[1:]:
-            k = 0
-            while k < same and p[k] == first[k]:
-                k += 1
-            same = k
-        out = first[:same]
-        key = (out[-1] if out else last, tuple((p[same:], n) for p, n in live))
+        first, out, key = live[0][0], (), None
+        if first:  # what all guesses agree on is out
+            same = len(first)
+            for p, _ in live:
+                k = 0
+                while k < same and k < len(p) and p[k] == first[k]:
+                    k += 1
+                same = k
+                if not same:
+                    break
+            if same:
+                out = first[:same]
+                key = out[-1], tuple([(p[same:], n) for p, n in live])
+        key = key or (last, tuple(live))
         new = self.ids.get(key)
         if new is None:
             new = self.ids[key] = len(self.sets)
