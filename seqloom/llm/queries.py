@@ -37,6 +37,12 @@ def op7_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.json"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 #: SQL for the queries that SQL can express on whole tables.
 ORACLE: dict[str, str] = {
     # the digests don't depend on the template; its length does: 23 code points and "\\n" twice a turn, the role, the escaped text
