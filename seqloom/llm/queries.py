@@ -37,6 +37,14 @@ def op7_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.json"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html
 
