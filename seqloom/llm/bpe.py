@@ -175,24 +175,62 @@ class Transducer:
         return out
 
 
-class Pieces(dict):
-    """Ids of pieces as little-endian unsigned 32-bit integers; two generations of a bounded size are remembered."""
+class Remembered(dict):
+    """A function of strings with bytes for results; two generations of a bounded size are remembered."""
 
-    def __init__(self, encode, bound: int = 300_000, longest: int = 64):
+    def __init__(self, of, bound: int, longest: int = 64):
         super().__init__()
-        self.of, self.bound, self.longest = encode, bound, longest
+        self.of, self.bound, self.longest = of, bound, longest
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = np.array(self.of(piece), "<u4").tobytes()
-        if len(piece) <= self.longest:
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.of(key)
+        if len(key) <= self.longest:
             if len(self) >= self.bound:
                 self.old = dict(self)
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[key] = found
+        return found
+
+
+class OddSpace(Exception):
+    """A space next to other white space."""
+
+
+class Splitter:
+    """Ids of whole texts as little-endian unsigned 32-bit integers, from the ids of pieces.
+
+    A space between two other characters that are no white space always starts a piece, so what stands
+    between such spaces is encoded for itself and remembered; texts with other spaces are split whole.
+    """
+
+    def __init__(self, pattern: str, encode_piece, chunks: int = 500_000, pieces: int = 150_000):
+        import regex
+
+        self.split, self.encode_piece = regex.compile(pattern).findall, encode_piece
+        self.pieces = Remembered(lambda piece: np.array(encode_piece(piece), "<u4").tobytes(), pieces)
+        self.chunks = Remembered(self._chunk, chunks)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise OddSpace
+        if chunk.isalpha():  # one piece
+            return np.array(self.encode_piece(" " + chunk), "<u4").tobytes()
+        return self.whole(" " + chunk)
+
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+
+    def ids(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        if first[-1:].isspace():
+            return self.whole(text)
+        try:
+            return self.whole(first) + b"".join(map(self.chunks.__getitem__, rest))
+        except OddSpace:
+            return self.whole(text)
 
 
 class Utf8:
@@ -240,14 +278,11 @@ class ByteBpe:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
-        import regex
-
         self.machine = Transducer(read_ranks(path))
-        self.pieces = Pieces(lambda piece: self.machine.encode(piece.encode()))
-        self.split = regex.compile(pattern).findall
+        self.splitter = Splitter(pattern, lambda piece: self.machine.encode(piece.encode()))
 
     def encode_bytes(self, text: str | None) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split(text or "")))
+        return self.splitter.ids(text or "")
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import gc
 import os
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -85,6 +85,12 @@ def drop(spark: SparkSession, *dfs: DataFrame) -> None:
                 _TRASH[:] = [x for x in _TRASH if x[1].rsplit("/", 1)[-1] != folder.rsplit("/", 1)[-1]]
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete all that cut() has left: for callers who know that earlier results are written."""
     app = spark.sparkContext.applicationId
@@ -160,8 +166,3 @@ def rolling(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray
 
 def as_long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
-
-
-def salted(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Deal rows evenly: by keys and a salt of n values."""
-    return df.repartition(parts(df.sparkSession), *keys, (F.rand(7) * n).cast("int"))

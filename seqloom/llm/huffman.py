@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .bpe import Pieces, _on
+from .bpe import Splitter, _on
 from .common import cut, drop, ready, shared_dir
 
 LIMIT, LANE, BLOCK, FILE_IDS = 20, 512, 1 << 16, 1 << 22
@@ -192,17 +192,17 @@ class Encoder:
     def __init__(self, path: str):
         import os
 
+        import re
+
         import public_tokenizers
-        import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.odd = regex.compile(r"[\x1c-\x1f\x85᠎﻿]").search  # engines differ on which of these are white space
-        self.pieces = Pieces(lambda piece: self.library.encode(piece, add_special_tokens=False).ids)
+        self.odd = re.compile(r"[\x1c-\x1f\x85᠎﻿]").search  # engines differ on which of these are white space
+        self.splitter = Splitter(public_tokenizers.PATTERN, lambda piece: self.library.encode(piece, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
@@ -211,7 +211,7 @@ class Encoder:
             if self.odd(t) or any(a in t for a in self.added):
                 out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4"))
             else:
-                out.append(np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split(t))), "<u4"))
+                out.append(np.frombuffer(self.splitter.ids(t), "<u4"))
         return out
 
 
