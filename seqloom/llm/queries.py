@@ -15,6 +15,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substring
 
