@@ -63,6 +63,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html
 
