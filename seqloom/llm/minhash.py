@@ -5,7 +5,8 @@ are kept: two signature values for one evaluation. Bands take two permutations,
 threshold misses all BANDS bands with probability (1 - 0.75 ** 4) ** BANDS, about 1e-8. Documents with the
 same shingle set form a class first, and only classes are compared. In each bucket the members are compared
 with one centre, on full sets; verified links join components; then other centres are taken in buckets whose
-members are still in several components, and at last every pair of members in different components. So no
+members are still in several components, and what then
+is left in buckets of several components goes through an exact join on prefixes of the sets. So no
 link between different texts is lost and no group is expanded into all its pairs.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing and is
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_long, cut, drop, mix, ready, rolling
+from .common import WordHash, as_long, cut, drop, mix, ready, rolling, tidy
 from .components import connected
 
 WIDTH, PERMUTATIONS, BANDS = 5, 96, 48
 #: A link: 100 * intersection >= SHARE * union.
 SHARE = 75
-#: Star rounds go on while the pairs left are more than so many times the rows of the buckets.
-DENSE, ROUNDS = 2, 6
+#: Star rounds end when two in a row find no link, or after so many.
+ROUNDS = 6
+#: Size of the table by which shingles are ordered.
+SLOTS = 1 << 18
 
 _HASH = WordHash()
 _rng = np.random.default_rng(20_000_003)
@@ -150,52 +153,101 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     drop(spark, shared)
     wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
     texts = cut(docs.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id").select(F.col("doc_id").alias("node"), "text").where("text is not null"))
-    links = None
-    labels = None
-    for k in range(ROUNDS + 1):
-        # in each bucket: a member as the centre, by another order in each round
-        at = buckets if labels is None else _mixed(buckets, labels)
-        at = cut(at) if labels is not None else at
-        last = False
-        if labels is not None:
-            rows, pairs = _left(at)
-            if not pairs:
-                drop(spark, at)
-                break
-            last = pairs <= DENSE * rows or k == ROUNDS
-        with_label = at if labels is not None else at.withColumn("label", F.col("node"))
-        if last:
-            x = with_label.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            y = with_label.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = x.join(y, "key").where("a < b and la <> lb")
-        else:
-            order = F.col("node") if k == 0 else F.xxhash64("node", F.lit(k))
-            centre = with_label.groupBy("key").agg(F.min_by(F.struct("node", "n", "label"), order).alias("c")).select("key", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.label").alias("la"))
-            centre = cut(centre)
-            pairs = with_label.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb")).join(centre, "key").where("la <> lb")
-        new = cut(confirmed(near(pairs).select("a", "b").distinct(), texts))
-        drop(spark, *([] if last else [centre]), *([at] if labels is not None else []))
-        found = bool(new.limit(1).count())
-        if found or labels is None:
+    links, labels, idle = None, None, 0
+    for k in range(ROUNDS):
+        members = cut(_mixed(buckets, labels))
+        pairs = _to_centres(members, k)
+        new = cut(confirmed(pairs, texts))
+        drop(spark, members)
+        found = new.limit(1).count()
+        idle = 0 if found else idle + 1
+        if found or links is None:
             links = new if links is None else cut(links.unionByName(new))
-            if labels is not None:
-                drop(spark, labels)
+            drop(spark, *([labels] if labels is not None else []))
             labels = connected(links)
-        if last:
+        tidy(spark)
+        if idle == 2:
             break
-    drop(spark, buckets, texts)
+    # what buckets hold of different components: an exact join of all of it
+    members = cut(_mixed(buckets, labels))
+    drop(spark, buckets)
+    left = cut(texts.join(members.select("node", "label").distinct(), "node"))
+    drop(spark, members)
+    new = cut(confirmed(prefix_pairs(left), texts))
+    if new.limit(1).count():
+        old, labels = labels, connected(links.unionByName(new))
+        drop(spark, old)
+    drop(spark, left, texts)
     return labels
 
 
-def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def rarity(texts: DataFrame) -> np.ndarray:
+    """How often shingles of each slot occur: a table of fixed size, only used to order shingles."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                np.add.at(total, (shingles(t) & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    found = np.zeros(SLOTS, np.int64)
+    for r in rows:
+        found[r.slot] = r.n
+    return found
+
+
+def prefix_pairs(texts: DataFrame) -> DataFrame:
+    """a, b: all pairs of different labels that may be linked. texts: node, text, label.
+
+    Two linked sets share at least need(n, m) = SHARE / (100 + SHARE) * (n + m) shingles, so in any common
+    order of shingles they share one among the first n - need(n, smallest partner) + 1 of each; and at the
+    first that they share, enough must be left on both sides. Rare shingles come first, so that the members
+    of a family of near copies meet only if their own edits leave room for a link.
+    """
+    spark = texts.sparkSession
+    order = spark.sparkContext.broadcast(rarity(texts))
+
+    def run(batches):
+        count = order.value
+        for b in batches:
+            cols = [[] for _ in range(5)]
+            for node, label, t in zip(b.column("node").to_pylist(), b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
+                s = shingles(t)
+                n = len(s)
+                s = s[np.lexsort((s, count[(s & np.uint64(SLOTS - 1)).astype(np.int64)]))]
+                k = n - -(-SHARE * n // 100) + 1  # the smallest partner has SHARE percent of n, all of it shared
+                for c, x in zip(cols, (as_long(s[:k]), np.full(k, node), np.full(k, label), np.full(k, n, np.int64), np.arange(k, dtype=np.int32)), strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "node", "label", "n", "at"])
+
+    rows = cut(texts.select("node", "label", "text").mapInArrow(run, "key bigint, node bigint, label bigint, n bigint, at int"))
+    keys = cut(rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
+    some = cut(rows.join(keys, "key"))
+    drop(spark, rows, keys)
+    x, y = (some.select("key", *[F.col(c).alias(f"{c}_{p}") for c in ("node", "label", "n", "at")]) for p in "ab")
+    enough = f"{100 + SHARE} * least(n_a - at_a, n_b - at_b) >= {SHARE} * (n_a + n_b)"
+    return x.join(y, "key").where(f"node_a < node_b and label_a <> label_b and {enough}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _mixed(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members of the buckets that still hold several components, with their labels."""
-    named = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    if labels is None:
+        return buckets.withColumn("label", F.col("node"))
+    named = cut(buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
+    keys = cut(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
     return named.join(keys, "key")
 
 
-def _left(mixed: DataFrame) -> tuple[int, int]:
-    """Rows of the buckets, and pairs of members in different components."""
-    by = mixed.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    r = by.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-    return int(r.rows or 0), int(r.pairs or 0)
+def _to_centres(members: DataFrame, k: int) -> DataFrame:
+    """a, b: each member with the centre that it shares most buckets with, if sizes allow a link.
+
+    Each bucket has one centre, by another order in each round; so a round has at most a pair for each member.
+    """
+    order = F.col("node") if k == 0 else F.xxhash64("node", F.lit(k))
+    centre = cut(members.groupBy("key").agg(F.min_by(F.struct("node", "n", "label"), order).alias("c")).select("key", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.label").alias("la")))
+    met = members.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb")).join(centre, "key").where("la <> lb")
+    shared = near(met).groupBy("a", "b").agg(F.count("*").alias("c"))
+    return shared.groupBy("b").agg(F.max_by("a", F.struct(F.col("c"), -F.col("a"))).alias("a")).select("a", "b")
