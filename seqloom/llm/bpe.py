@@ -195,6 +195,13 @@ class Remembered(dict):
         return found
 
 
+    def add(self, key: str, found: bytes) -> None:
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+
+
 class OddSpace(Exception):
     """A space next to other white space."""
 
@@ -206,7 +213,7 @@ class Splitter:
     between such spaces is encoded for itself and remembered; texts with other spaces are split whole.
     """
 
-    def __init__(self, pattern: str, encode_piece, chunks: int = 500_000, pieces: int = 150_000):
+    def __init__(self, pattern: str, encode_piece, chunks: int = 600_000, pieces: int = 150_000):
         import regex
 
         self.split, self.encode_piece = regex.compile(pattern).findall, encode_piece
