@@ -39,6 +39,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
