@@ -1 +1 @@
-"""Part of seqloom."""
+"""Lossless approximate matching of query strings against reference sequences, as Spark DataFrame plans."""
