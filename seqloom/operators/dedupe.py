@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..ship import ship
+
 
 def unique(hits: DataFrame, by_strand: bool) -> DataFrame:
     """One hit for each place and distance; where strands share a bag, the forward one."""
@@ -22,6 +24,7 @@ def non_redundant(hits: DataFrame, k: int, by_strand: bool) -> DataFrame:
     replaces it if it is strictly better in distance, or in width at equal distance, and goes otherwise; only the
     last survivor counts. hits may have a column k of their own. The fold streams through sorted partitions.
     """
+    ship(hits.sparkSession)
     group = ["read_id", "seq_id", *(["strand"] if by_strand else [])]
     names = hits.columns
     if "k" not in names:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..ship import ship
 from . import kernels
 from .partition import LONGEST, seeds
 from .reference import WINDOW_TILE, kmers, tiles
@@ -59,6 +60,7 @@ def _longest(queries: DataFrame) -> int:
 
 def hamming(queries: DataFrame, ref: DataFrame, k) -> DataFrame:
     """All hits within k mismatches: read_id, strand, seq_id, begin, end, distance, cigar. queries: read_id, strand, seq."""
+    ship(queries.sparkSession)
     queries = queries.withColumn("k", F.lit(k) if isinstance(k, int) else k)
     found = candidates(queries, ref, F.col("k")).select("read_id", "strand", "seq_id", F.col("diag").alias("low"), F.col("diag").alias("high")).where("low >= 0")
     full = _windows(found, queries, ref, 1, _longest(queries)).select("read_id", "strand", "seq_id", "low", "k", "seq", F.substr("text", F.col("low") - F.col("text_begin") + 1, F.length("seq")).alias("text"))
@@ -85,6 +87,7 @@ def hamming(queries: DataFrame, ref: DataFrame, k) -> DataFrame:
 
 def edit(queries: DataFrame, ref: DataFrame, k) -> DataFrame:
     """All cluster centres within k edits: read_id, strand, seq_id, begin, end, distance, cigar; not yet without redundancy."""
+    ship(queries.sparkSession)
     queries = queries.withColumn("k", F.lit(k) if isinstance(k, int) else k)
     most = queries.agg(F.max("k").alias("k")).first().k or 0
     margin = 3 * most + 2
