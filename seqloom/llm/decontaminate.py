@@ -28,31 +28,44 @@ from .common import ready
 COSINE, DIRECT, LOOSE, ANSWER, ANSWERED = 0.5, 0.7, 0.5, 5, 0.8
 #: A term of more than this share of the items is no column, unless an item has fewer than LEAST others.
 COMMON, LEAST = 0.02, 6
-#: Latent dimensions beyond one for each item, and at most.
-SPARE, RANK = 32, 512
+#: Leading singular vectors of the corpus; latent dimensions at most, the items' own included.
+LEADING, RANK = 64, 512
+#: Terms that a passage shares with an item before it is projected.
+SHARED = 2
 
 
-def normal(word: bytes) -> str:
-    w = word.decode("utf-8", "replace").lower()
-    a, b = 0, len(w)
-    while a < b and not w[a].isalnum():
+PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum())
+
+
+def normal(word: bytes) -> bytes:
+    """A word in lower case without what is neither letter nor digit around it."""
+    w = word.lower().strip(PUNCTUATION)
+    if w.isascii():
+        return w
+    t = w.decode("utf-8", "replace").lower()
+    a, b = 0, len(t)
+    while a < b and not t[a].isalnum():
         a += 1
-    while b > a and not w[b - 1].isalnum():
+    while b > a and not t[b - 1].isalnum():
         b -= 1
-    return w[a:b]
+    return t[a:b].encode()
 
 
 class Columns(dict):
-    """Column of a word as it is written, -1 for none; remembered up to a bound."""
+    """Column of a word as it is written, -1 for none; two generations of a bounded size are remembered."""
 
-    def __init__(self, of: dict[str, int], bound: int = 400_000):
+    def __init__(self, of: dict[bytes, int], bound: int = 400_000):
         super().__init__()
-        self.of, self.bound = of, bound
+        self.of, self.bound, self.old = of, bound, {}
 
     def __missing__(self, word: bytes) -> int:
+        found = self.old.get(word)
+        if found is None:
+            found = self.of.get(normal(word), -1)
         if len(self) >= self.bound:
+            self.old = dict(self)
             self.clear()
-        found = self[word] = self.of.get(normal(word), -1)
+        self[word] = found
         return found
 
 
@@ -61,12 +74,12 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.items = [(i, w) for i, w in ((i, [x for x in map(normal, (t or "").encode().split()) if x]) for i, t in items) if w]
-        count: dict[str, int] = {}
+        count: dict[bytes, int] = {}
         for _, w in self.items:
             for x in set(w):
                 count[x] = count.get(x, 0) + 1
         most = max(1.0, COMMON * len(self.items))
-        columns: dict[str, int] = {}
+        columns: dict[bytes, int] = {}
         for _, w in self.items:
             by = sorted(set(w), key=lambda x: (count[x], x))
             for k, x in enumerate(by):
@@ -99,6 +112,13 @@ def cells(at: np.ndarray, n: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
     return edges[:-2], np.append(edges[2:-1], len(at))
 
 
+def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Passage and index of every hit of every passage, in order."""
+    size = last - first
+    start = np.cumsum(size) - size
+    return np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(start - first, size)
+
+
 def gathered(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of passages, passages with each column, and C'(C X), over all documents."""
     n, width = x.shape
@@ -119,16 +139,14 @@ def gathered(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> tuple[int, np.
                 total += len(first)
                 if not len(at):
                     continue
-                full = np.flatnonzero(last > first)
-                size = (last - first)[full]
-                start = np.concatenate([[0], np.cumsum(size)[:-1]])
-                every = np.arange(size.sum()) - np.repeat(start - first[full], size)
-                owner, term = np.repeat(np.arange(len(full)), size), t[every]
+                owner, every = spread(first, last)
+                term = t[every]
                 pairs = np.unique(owner * np.int64(n) + term)
                 df += np.bincount(pairs % n, minlength=n)
+                start = np.flatnonzero(np.diff(owner, prepend=-1))
                 u = np.add.reduceat(x[term], start)
                 ts.append(term)
-                us.append(u[owner])
+                us.append(u[np.repeat(np.arange(len(start)), np.diff(np.append(start, len(owner))))])
             if ts:
                 term, u = np.concatenate(ts), np.concatenate(us)
                 order = np.argsort(term, kind="stable")
@@ -149,25 +167,23 @@ def gathered(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> tuple[int, np.
     return total, df, y
 
 
-def singular(bench: Benchmark, idf: np.ndarray, y: np.ndarray, x: np.ndarray, passages: int) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the passages' and the items' TF-IDF rows, from the sketch."""
-    own = bench.counts * idf
-    weight = max(1.0, passages / max(1, len(own)))  # the items' rows weigh as much as the corpus
-    x = x / idf[:, None]  # the random matrix that the scaled rows have met
-    z = idf[:, None] * y + weight * own.T @ (own @ x)
-    core = x.T @ z
+def singular(bench: Benchmark, idf: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Latent space (terms x rank): leading right singular vectors of the passages' TF-IDF rows, from the sketch, and the items' rows."""
+    z = idf[:, None] * y
+    core = (x / idf[:, None]).T @ z  # the scaled rows have met the random matrix x / idf
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > max(1e-9 * values.max(initial=0.0), 1e-12)
-    if not keep.any():
-        return np.zeros((len(idf), 0))
     half = z @ (vectors[:, keep] / np.sqrt(values[keep]))
-    u, s, _ = np.linalg.svd(half, full_matrices=False)
-    return u[:, s > 1e-6 * s.max()]
+    leading = np.linalg.svd(half, full_matrices=False)[0] if keep.any() else np.zeros((len(idf), 0))
+    own = (bench.counts * idf).T
+    own = own / np.maximum(np.linalg.norm(own, axis=0, keepdims=True), 1e-12)
+    u, s, _ = np.linalg.svd(np.hstack([leading, own]), full_matrices=False)
+    return u[:, s > 1e-6 * s.max(initial=1.0)][:, :RANK]
 
 
-def subsequence(a: list[str], b: list[str]) -> int:
+def subsequence(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, a bit for each word of a."""
-    where: dict[str, int] = {}
+    where: dict[bytes, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
     full = v = (1 << len(a)) - 1
@@ -179,7 +195,7 @@ def subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def judged(item: list[str], passage: list[str]) -> tuple[float, float, bool]:
+def judged(item: list[bytes], passage: list[bytes]) -> tuple[float, float, bool]:
     """Share of the item, share of its answer, and whether it is a leak."""
     share = subsequence(item, passage) / len(item)
     answer = item[-ANSWER:]
@@ -195,20 +211,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bench = Benchmark([(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect()])
     if not bench.items:
         return spark.createDataFrame([], schema)
-    rank = min(RANK, len(bench.columns), len(bench.items) + SPARE)
-    x = np.random.default_rng(11).standard_normal((len(bench.columns), rank))
-    # the sketch is sent by its columns: a few passes would do as well, one is cheaper
+    x = np.random.default_rng(11).standard_normal((len(bench.columns), min(LEADING, len(bench.columns)))).astype(np.float32)
     passages, df, y = gathered(docs, bench, x)
     idf = np.log((2.0 + passages) / (1.0 + df))
-    v = singular(bench, idf, y, x, passages)
+    v = singular(bench, idf, y, x.astype(np.float64))
     terms = (idf[:, None] * v).astype(np.float32)
     queries = bench.counts.astype(np.float32) @ terms
     norm = np.linalg.norm(queries, axis=1, keepdims=True)
     queries = queries / np.maximum(norm, 1e-12)
-    share = spark.sparkContext.broadcast((bench.columns, bench.stride, bench.items, terms, queries.astype(np.float32)))
+    # items of each term, one after another
+    term, item = np.nonzero((bench.counts > 0).T)
+    where = np.searchsorted(term, np.arange(len(bench.columns) + 1))
+    share = spark.sparkContext.broadcast((bench.columns, bench.stride, bench.items, terms, queries.astype(np.float32), item, where))
 
     def run(batches):
-        columns, stride, items, terms, queries = share.value
+        columns, stride, items, terms, queries, item, where = share.value
         known = Columns(columns)
         for b in batches:
             rows = []
@@ -220,23 +237,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if not len(at):
                     continue
                 first, last = cells(at, len(w), stride)
-                some = np.flatnonzero(last - first > 1)
-                if not len(some):
+                owner, every = spread(first, last)
+                pairs = np.unique(owner * np.int64(len(where)) + t[every])
+                passage, word = pairs // len(where), pairs % len(where)
+                meet, k = spread(where[word], where[word + 1])
+                met, times = np.unique(passage[meet] * np.int64(len(items)) + item[k], return_counts=True)
+                met = met[times >= SHARED]
+                if not len(met):
                     continue
                 best: dict[int, tuple] = {}
-                for i in range(0, len(some), 256):
-                    part = some[i : i + 256]
-                    lo, hi = first[part[0]], last[part[-1]]
-                    e = np.zeros((hi - lo + 1, terms.shape[1]), np.float32)
-                    np.cumsum(terms[t[lo:hi]], axis=0, out=e[1:])
-                    z = e[last[part] - lo] - e[first[part] - lo]
-                    cos = (z @ queries.T) / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-                    for p, q in zip(*np.nonzero(cos >= COSINE), strict=True):
-                        at0 = int(part[p]) * stride
-                        passage = [normal(x) for x in w[at0 : at0 + 2 * stride]]
-                        lcs, answer, leak = judged(items[q][1], passage)
+                some, at_q = met // len(items), met % len(items)
+                part, back = np.unique(some, return_inverse=True)
+                for i in range(0, len(part), 256):
+                    p = part[i : i + 256]
+                    who, every = spread(first[p], last[p])
+                    z = np.add.reduceat(terms[t[every]], np.flatnonzero(np.diff(who, prepend=-1)))
+                    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+                    mine = (back >= i) & (back < i + 256)
+                    cos = np.einsum("ij,ij->i", z[back[mine] - i], queries[at_q[mine]])
+                    for j in np.flatnonzero(cos >= COSINE):
+                        q, at0 = int(at_q[mine][j]), int(some[mine][j]) * stride
+                        lcs, answer, leak = judged(items[q][1], [normal(x) for x in w[at0 : at0 + 2 * stride]])
                         if leak and (q not in best or lcs > best[q][2]):
-                            best[q] = (at0, float(cos[p, q]), lcs, answer)
+                            best[q] = (at0, float(cos[j]), lcs, answer)
                 rows += [(d, items[q][0], *x) for q, x in best.items()]
             if rows:
                 cols = list(zip(*rows, strict=True))
