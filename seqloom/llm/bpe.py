@@ -175,69 +175,86 @@ class Transducer:
         return out
 
 
-class Remembered(dict):
-    """A function of strings with bytes for results; two generations of a bounded size are remembered."""
+class Remembered:
+    """Results by key; two generations of a bounded size are remembered."""
 
-    def __init__(self, of, bound: int, longest: int = 64):
-        super().__init__()
-        self.of, self.bound, self.longest = of, bound, longest
+    def __init__(self, bound: int, longest: int = 64):
+        self.bound, self.longest = bound, longest
+        self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, key: str) -> bytes:
-        found = self.old.get(key)
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
         if found is None:
-            found = self.of(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.bound:
-                self.old = dict(self)
-                self.clear()
-            self[key] = found
+            found = self.old.get(key)
+            if found is not None:
+                self.add(key, found)
         return found
 
-
     def add(self, key: str, found: bytes) -> None:
-        if len(self) >= self.bound:
-            self.old = dict(self)
-            self.clear()
-        self[key] = found
-
-
-class OddSpace(Exception):
-    """A space next to other white space."""
+        if len(key) <= self.longest:
+            if len(self.new) >= self.bound:
+                self.old, self.new = self.new, {}
+            self.new[key] = found
 
 
 class Splitter:
     """Ids of whole texts as little-endian unsigned 32-bit integers, from the ids of pieces.
 
     A space between two other characters that are no white space always starts a piece, so what stands
-    between such spaces is encoded for itself and remembered; texts with other spaces are split whole.
+    between such spaces is encoded once for a batch of texts, and remembered; texts with other spaces are
+    split whole. learn(chunks) may encode many unseen chunks at a time; what it leaves out is encoded here.
     """
 
-    def __init__(self, pattern: str, encode_piece, chunks: int = 600_000, pieces: int = 150_000):
+    def __init__(self, pattern: str, encode_piece, learn=None, chunks: int = 500_000, pieces: int = 150_000):
         import regex
 
-        self.split, self.encode_piece = regex.compile(pattern).findall, encode_piece
-        self.pieces = Remembered(lambda piece: np.array(encode_piece(piece), "<u4").tobytes(), pieces)
-        self.chunks = Remembered(self._chunk, chunks)
+        self.split, self.encode_piece, self.learn = regex.compile(pattern).findall, encode_piece, learn
+        self.pieces, self.chunks = Remembered(pieces), Remembered(chunks)
 
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise OddSpace
-        if chunk.isalpha():  # one piece
-            return np.array(self.encode_piece(" " + chunk), "<u4").tobytes()
-        return self.whole(" " + chunk)
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = np.array(self.encode_piece(piece), "<u4").tobytes()
+            self.pieces.add(piece, found)
+        return found
 
     def whole(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        return b"".join(map(self.piece, self.split(text)))
+
+    def _known(self, chunks: set[str]) -> dict[str, bytes | None]:
+        """Ids of each chunk; None for one that white space begins or ends."""
+        out, unseen = {}, []
+        for c in chunks:
+            found = self.chunks.get(c)
+            if found is not None:
+                out[c] = found
+            elif not c or c[0].isspace() or c[-1].isspace():
+                out[c] = None
+            else:
+                unseen.append(c)
+        learnt = self.learn(unseen) if self.learn and unseen else {}
+        for c in unseen:
+            found = learnt.get(c)
+            if found is None:
+                found = self.piece(" " + c) if c.isalpha() else self.whole(" " + c)
+            out[c] = found
+            self.chunks.add(c, found)
+        return out
 
-    def ids(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if first[-1:].isspace():
-            return self.whole(text)
-        try:
-            return self.whole(first) + b"".join(map(self.chunks.__getitem__, rest))
-        except OddSpace:
-            return self.whole(text)
+    def many(self, texts: list[str]) -> list[bytes]:
+        parts = [t.split(" ") for t in texts]
+        known = self._known(set().union(*(p[1:] for p in parts)))
+        out = []
+        for t, p in zip(texts, parts, strict=True):
+            found = None
+            if not p[0][-1:].isspace():
+                try:
+                    found = self.whole(p[0]) + b"".join(map(known.__getitem__, p[1:]))
+                except TypeError:  # a space next to other white space
+                    pass
+            out.append(self.whole(t) if found is None else found)
+        return out
 
 
 class Utf8:
@@ -288,11 +305,11 @@ class ByteBpe:
         self.machine = Transducer(read_ranks(path))
         self.splitter = Splitter(pattern, lambda piece: self.machine.encode(piece.encode()))
 
-    def encode_bytes(self, text: str | None) -> bytes:
-        return self.splitter.ids(text or "")
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
+        return self.splitter.many([t or "" for t in texts])
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        return np.frombuffer(self.encode_bytes([text])[0], "<u4").tolist()
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.machine.bytes_of.__getitem__, ids))
@@ -337,7 +354,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     def run(batches):
         c = coder(_on(path), pattern)
         for b in batches:
-            ids = [np.frombuffer(c.encode_bytes(t), "<u4") for t in b.column("text").to_pylist()]
+            ids = [np.frombuffer(x, "<u4") for x in c.encode_bytes(b.column("text").to_pylist())]
             flat = np.concatenate(ids) if ids else np.empty(0, "<u4")
             at = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
             cols = [b.column(f.name) for f in fields]
@@ -359,8 +376,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             n, first, second = [], [], []
-            for text in b.column("text").to_pylist():
-                raw = c.encode_bytes(text)
+            for raw in c.encode_bytes(b.column("text").to_pylist()):
                 ids = np.frombuffer(raw, "<u4").tolist()
                 n.append(len(ids))
                 first.append(sha(raw))

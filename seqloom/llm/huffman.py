@@ -202,37 +202,30 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.odd = re.compile(r"[\x1c-\x1f\x85᠎﻿]").search  # engines differ on which of these are white space
-        self.splitter = Splitter(public_tokenizers.PATTERN, lambda piece: self.library.encode(piece, add_special_tokens=False).ids)
+        self.splitter = Splitter(public_tokenizers.PATTERN, lambda piece: self.library.encode(piece, add_special_tokens=False).ids, self.learn)
 
         n = self.library.get_vocab_size()
         space = self.library.id_to_token(self.library.encode(" ", add_special_tokens=False).ids[0])
         self.starts = np.array([(self.library.id_to_token(i) or "").startswith(space) for i in range(n)])
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode what the texts have between single spaces and isn't remembered: many at a time, told apart by their spaces."""
-        seen = self.splitter.chunks
-        new = set().union(*(t.split(" ")[1:] for t in texts)).difference(seen).difference(seen.old)
-        new = [c for c in new if 0 < len(c) <= seen.longest and not c[0].isspace() and not c[-1].isspace()]
-        for i in range(0, len(new), 4096):
-            lines = [new[j : j + 128] for j in range(i, min(i + 4096, len(new)), 128)]
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks with a space before: many in one text, told apart by their spaces."""
+        out = {}
+        for i in range(0, len(chunks), 4096):
+            lines = [chunks[j : j + 128] for j in range(i, min(i + 4096, len(chunks)), 128)]
             for line, e in zip(lines, self.library.encode_batch_fast([" " + " ".join(x) for x in lines], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
                 at = np.flatnonzero(self.starts[ids])
                 if len(at) == len(line) and at[0] == 0:
                     raw, at = ids.tobytes(), (4 * at).tolist()
-                    for c, a, b in zip(line, at, [*at[1:], len(raw)], strict=True):
-                        seen.add(c, raw[a:b])
+                    out.update((c, raw[a:b]) for c, a, b in zip(line, at, [*at[1:], len(raw)], strict=True))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out = []
-        self.learn([t for t in texts if t and not self.odd(t) and not any(a in t for a in self.added)])
-        for t in texts:
-            t = t or ""
-            if self.odd(t) or any(a in t for a in self.added):
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4"))
-            else:
-                out.append(np.frombuffer(self.splitter.ids(t), "<u4"))
-        return out
+        texts = [t or "" for t in texts]
+        alone = [bool(self.odd(t)) or any(a in t for a in self.added) for t in texts]
+        usual = iter(self.splitter.many([t for t, a in zip(texts, alone, strict=True) if not a]))
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") if a else np.frombuffer(next(usual), "<u4") for t, a in zip(texts, alone, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
