@@ -224,12 +224,17 @@ class Splitter:
 
     def _known(self, chunks: set[str]) -> dict[str, bytes | None]:
         """Ids of each chunk; None for one that white space begins or ends."""
-        out, unseen = {}, []
+        memory, out = self.chunks, {}
+        for i, part in enumerate((memory.new, memory.old)):
+            here = list(chunks & part.keys())
+            out.update(zip(here, map(part.__getitem__, here), strict=True))
+            if i:
+                for c in here:
+                    memory.add(c, out[c])
+            chunks = chunks.difference(here)
+        unseen = []
         for c in chunks:
-            found = self.chunks.get(c)
-            if found is not None:
-                out[c] = found
-            elif not c or c[0].isspace() or c[-1].isspace():
+            if not c or c[0].isspace() or c[-1].isspace():
                 out[c] = None
             else:
                 unseen.append(c)
@@ -239,7 +244,7 @@ class Splitter:
             if found is None:
                 found = self.piece(" " + c) if c.isalpha() else self.whole(" " + c)
             out[c] = found
-            self.chunks.add(c, found)
+            memory.add(c, found)
         return out
 
     def many(self, texts: list[str]) -> list[bytes]:
@@ -347,7 +352,7 @@ def _on(path: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """Columns of keep, with ids array<int>, n_tokens, and (with_text) the text decoded from the ids again."""
-    ready(docs.sparkSession)
+    ready(docs.sparkSession, 800)
     kept = docs.select(*keep, "text")
     fields = [f for f in kept.schema.fields if f.name in keep]
 
@@ -369,7 +374,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: encoded, then decoded from the ids in a stream."""
-    ready(docs.sparkSession)
+    ready(docs.sparkSession, 800)
 
     def run(batches):
         c = coder(_on(path), pattern)

@@ -239,7 +239,7 @@ def encoder(path: str) -> Encoder:
 
 def tokenized(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """doc_id, n, ids (little-endian, 16 bits each where the vocabulary allows, else 32) with the end id."""
-    ready(docs.sparkSession)
+    ready(docs.sparkSession, 800)
 
     def run(batches):
         enc = encoder(path)
