@@ -109,7 +109,7 @@ def scheme_folder(spark: SparkSession, folder: str, k: int) -> dict:
     def text(name: str) -> str | None:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
         fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return spark.read.option("wholetext", True).text(f"{folder}/{name}").first()[0] if fs.exists(p) else None
+        return spark.read.text(f"{folder}/{name}", wholetext=True).first()[0] if fs.exists(p) else None
 
     numbers = lambda s: [[float(x) for x in line.split()] for line in s.strip().splitlines()] if s else None
     several, i = [], 1
