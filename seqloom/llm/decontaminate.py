@@ -9,7 +9,7 @@ projects each passage into that latent space, takes the items whose cosine is at
 candidates, and checks them on their words: a leak has a longest common subsequence of DIRECT of the item, or
 of LOOSE of it if the item's answer (its last ANSWER words) is there too.
 
-Words are compared in lower case without the punctuation around them.
+Words are runs of letters and digits in lower case.
 
 Defined results: null and empty texts and items match nothing; repeated rows are found each for itself and
 reported once for each doc_id; a null doc_id or item_id is reported as it is; an empty benchmark or table
@@ -18,6 +18,8 @@ gives no rows; further columns are ignored. What is broadcast is bounded by the
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,46 +36,20 @@ LEADING, RANK = 64, 512
 SHARED = 2
 
 
-PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum())
-
-
-def normal(word: bytes) -> bytes:
-    """A word in lower case without what is neither letter nor digit around it."""
-    w = word.lower().strip(PUNCTUATION)
-    if w.isascii():
-        return w
-    t = w.decode("utf-8", "replace").lower()
-    a, b = 0, len(t)
-    while a < b and not t[a].isalnum():
-        a += 1
-    while b > a and not t[b - 1].isalnum():
-        b -= 1
-    return t[a:b].encode()
-
-
-class Columns(dict):
-    """Column of a word as it is written, -1 for none; two generations of a bounded size are remembered."""
+#: Bytes that end a word: all of ASCII but letters and digits.
+BETWEEN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
-    def __init__(self, of: dict[bytes, int], bound: int = 400_000):
-        super().__init__()
-        self.of, self.bound, self.old = of, bound, {}
 
-    def __missing__(self, word: bytes) -> int:
-        found = self.old.get(word)
-        if found is None:
-            found = self.of.get(normal(word), -1)
-        if len(self) >= self.bound:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
-        return found
+def terms_of(text: str | None) -> list[bytes]:
+    """Words of a text: runs of letters and digits (and of all that isn't ASCII), in lower case."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(BETWEEN).split()
 
 
 class Benchmark:
     """The items' words, columns and windows."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.items = [(i, w) for i, w in ((i, [x for x in map(normal, (t or "").encode().split()) if x]) for i, t in items) if w]
+        self.items = [(i, w) for i, w in ((i, terms_of(t)) for i, t in items) if w]
         count: dict[bytes, int] = {}
         for _, w in self.items:
             for x in set(w):
@@ -97,9 +73,9 @@ class Benchmark:
                     self.counts[k, columns[x]] += 1
 
 
-def hits(w: list[bytes], columns: Columns) -> tuple[np.ndarray, np.ndarray]:
+def hits(w: list[bytes], columns: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Positions and columns of the words that have one."""
-    t = np.fromiter(map(columns.__getitem__, w), np.int32, len(w))
+    t = np.fromiter(map(columns.get, w, repeat(-1)), np.int32, len(w))
     at = np.flatnonzero(t >= 0)
     return at, t[at]
 
@@ -127,14 +103,14 @@ def gathered(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> tuple[int, np.
 
     def run(batches):
         columns, stride, x = share.value
-        known, total, df, y = Columns(columns), 0, np.zeros(n), np.zeros((n, width))
+        total, df, y = 0, np.zeros(n), np.zeros((n, width))
         for b in batches:
             ts, us = [], []
             for text in b.column("text").to_pylist():
-                w = (text or "").encode("utf-8", "surrogatepass").split()
+                w = terms_of(text)
                 if not w:
                     continue
-                at, t = hits(w, known)
+                at, t = hits(w, columns)
                 first, last = cells(at, len(w), stride)
                 total += len(first)
                 if not len(at):
@@ -204,7 +180,7 @@ def judged(item: list[bytes], passage: list[bytes]) -> tuple[float, float, bool]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start (word), cosine, lcs (share of the item), answer (share), the best passage of each pair."""
+    """doc_id, item_id, start (number of its first word), cosine, lcs (share of the item), answer (share), the best passage of each pair."""
     spark = docs.sparkSession
     ready(spark)
     schema = "doc_id bigint, item_id bigint, start bigint, cosine double, lcs double, answer double"
@@ -226,14 +202,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches):
         columns, stride, items, terms, queries, item, where = share.value
-        known = Columns(columns)
         for b in batches:
             rows = []
             for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                w = (text or "").encode("utf-8", "surrogatepass").split()
+                w = terms_of(text)
                 if not w:
                     continue
-                at, t = hits(w, known)
+                at, t = hits(w, columns)
                 if not len(at):
                     continue
                 first, last = cells(at, len(w), stride)
@@ -257,7 +232,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     cos = np.einsum("ij,ij->i", z[back[mine] - i], queries[at_q[mine]])
                     for j in np.flatnonzero(cos >= COSINE):
                         q, at0 = int(at_q[mine][j]), int(some[mine][j]) * stride
-                        lcs, answer, leak = judged(items[q][1], [normal(x) for x in w[at0 : at0 + 2 * stride]])
+                        lcs, answer, leak = judged(items[q][1], w[at0 : at0 + 2 * stride])
                         if leak and (q not in best or lcs > best[q][2]):
                             best[q] = (at0, float(cos[j]), lcs, answer)
                 rows += [(d, items[q][0], *x) for q, x in best.items()]

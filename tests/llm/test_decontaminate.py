@@ -56,8 +56,8 @@ def test_the_sketch_is_that_of_the_whole_matrix(spark):
     n, seen, y = decontaminate.gathered(df, bench, x)
     rows = []
     for _, t, _ in docs:
-        w = t.encode().split()
-        at, c = decontaminate.hits(w, decontaminate.Columns(bench.columns))
+        w = decontaminate.terms_of(t)
+        at, c = decontaminate.hits(w, bench.columns)
         for i in range(max(1, -(-len(w) // bench.stride) - 1)):
             last = i == max(1, -(-len(w) // bench.stride) - 1) - 1
             row = np.zeros(len(bench.columns))
