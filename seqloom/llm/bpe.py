@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,34 +35,55 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+#: A guess is an integer: the number of its pending tokens, then its trie node in so many bits.
+NODE_BITS = 21
+NODE_MASK = (1 << NODE_BITS) - 1
+
+
 class Transducer:
-    """The lazily determinised machine of one vocabulary."""
+    """The lazily determinised machine of one vocabulary.
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 500_000):
+    A state is the last token emitted and the live guesses, packed into bytes; sequences of tokens are kept once.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], states: int = 600_000):
         self.ranks, self.bound = ranks, states
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        self.children: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [NONE]
+        self.trie: dict[int, int] = {}
+        self.token_at = [NONE]
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
             node = 0
             for b in token:
-                below = self.children[node].get(b)
+                below = self.trie.get(node << 8 | b)
                 if below is None:
-                    below = self.children[node][b] = len(self.children)
-                    self.children.append({})
+                    below = self.trie[node << 8 | b] = len(self.token_at)
                     self.token_at.append(NONE)
                 node = below
             self.token_at[node] = rank
+        if len(self.token_at) > NODE_MASK:
+            raise ValueError("too large a vocabulary")
+        self.inner = bytearray(len(self.token_at))
+        for k in self.trie:
+            self.inner[k >> 8] = 1
         self.pairs: dict[int, bool] = {}
         self.last_merge: dict[int, tuple[int, int] | None] = {}
         self.whole: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.ids = {(NONE, (((), 0),)): 0}
-        self.sets = [(NONE, (((), 0),))]
-        self.step: dict[int, tuple[tuple[int, ...], int]] = {}
+        start = array("q", [NONE, 0]).tobytes()
+        self.ids, self.sets = {start: 0}, [start]
+        self.runs, self.run_ids = [()], {(): 0}
+        #: (state, byte) -> the run of tokens emitted, then the next state in 32 bits
+        self.step: dict[int, int] = {}
+
+    def _run(self, tokens: tuple[int, ...]) -> int:
+        n = self.run_ids.get(tokens)
+        if n is None:
+            n = self.run_ids[tokens] = len(self.runs)
+            self.runs.append(tokens)
+        return n
 
     def merge(self, piece: bytes) -> list[int]:
         """Encoding by the definition: merge the adjacent pair of lowest rank, again and again."""
@@ -124,27 +146,32 @@ class Transducer:
             known = self.whole[a] = self.merge(self.bytes_of[a]) == [a]
         return known
 
-    def _follow(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        last, guesses = self.sets[state]
+    def _follow(self, state: int, byte: int) -> int:
+        codes = array("q", self.sets[state])
+        last, trie, runs, token_at = codes[0], self.trie, self.runs, self.token_at
         live, done = [], None
-        for pending, node in guesses:
-            below = self.children[node].get(byte)
+        for code in codes[1:]:
+            below = trie.get((code & NODE_MASK) << 8 | byte)
             if below is None:
                 continue
-            token = self.token_at[below]
-            if token != NONE and done is None:
-                before = pending[-1] if pending else last
-                if self._single(token) if before == NONE else self._adjacent(before, token):
-                    done = (*pending, token)
-            if self.children[below]:
-                live.append((pending, below))
+            if done is None:
+                token = token_at[below]
+                if token >= 0:
+                    pending = runs[code >> NODE_BITS]
+                    before = pending[-1] if pending else last
+                    if self._single(token) if before < 0 else self._adjacent(before, token):
+                        done = (*pending, token)
+            if self.inner[below]:
+                live.append(code & ~NODE_MASK | below)
         if done is None:
             raise ValueError(f"no token holds byte {byte}")
-        live.append((done, 0))
-        first, out, key = live[0][0], (), None
-        if first:  # what all guesses agree on is out
+        live.append(self._run(done) << NODE_BITS)
+        out = 0
+        if live[0] >> NODE_BITS:  # what all guesses agree on is out
+            pending = [runs[c >> NODE_BITS] for c in live]
+            first = pending[0]
             same = len(first)
-            for p, _ in live:
+            for p in pending:
                 k = 0
                 while k < same and k < len(p) and p[k] == first[k]:
                     k += 1
@@ -152,26 +179,28 @@ class Transducer:
                 if not same:
                     break
             if same:
-                out = first[:same]
-                key = out[-1], tuple([(p[same:], n) for p, n in live])
-        key = key or (last, tuple(live))
+                out, last = self._run(first[:same]), first[same - 1]
+                live = [self._run(p[same:]) << NODE_BITS | c & NODE_MASK for p, c in zip(pending, live, strict=True)]
+        key = array("q", [last, *live]).tobytes()
         new = self.ids.get(key)
         if new is None:
             new = self.ids[key] = len(self.sets)
             self.sets.append(key)
-        self.step[state << 8 | byte] = (out, new)
-        return out, new
+        out = self.step[state << 8 | byte] = out << 32 | new
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.step) > self.bound:
             self._forget()
-        state, out, step = 0, [], self.step
+        state, out, step, runs = 0, [], self.step, self.runs
         for b in piece:
             known = step.get(state << 8 | b)
-            emitted, state = known if known is not None else self._follow(state, b)
-            if emitted:
-                out.extend(emitted)
-        out.extend(self.sets[state][1][-1][0])  # the guess that ends here stands last
+            if known is None:
+                known = self._follow(state, b)
+            state = known & 0xFFFFFFFF
+            if known >> 32:
+                out.extend(runs[known >> 32])
+        out.extend(runs[array("q", self.sets[state])[-1] >> NODE_BITS])  # the guess that ends here stands last
         return out
 
 
@@ -206,7 +235,7 @@ class Splitter:
     split whole. learn(chunks) may encode many unseen chunks at a time; what it leaves out is encoded here.
     """
 
-    def __init__(self, pattern: str, encode_piece, learn=None, chunks: int = 500_000, pieces: int = 150_000):
+    def __init__(self, pattern: str, encode_piece, learn=None, chunks: int = 200_000, pieces: int = 100_000):
         import regex
 
         self.split, self.encode_piece, self.learn = regex.compile(pattern).findall, encode_piece, learn
@@ -352,7 +381,7 @@ def _on(path: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """Columns of keep, with ids array<int>, n_tokens, and (with_text) the text decoded from the ids again."""
-    ready(docs.sparkSession, 800)
+    ready(docs.sparkSession)
     kept = docs.select(*keep, "text")
     fields = [f for f in kept.schema.fields if f.name in keep]
 
@@ -374,7 +403,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: encoded, then decoded from the ids in a stream."""
-    ready(docs.sparkSession, 800)
+    ready(docs.sparkSession)
 
     def run(batches):
         c = coder(_on(path), pattern)

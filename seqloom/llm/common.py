@@ -89,24 +89,11 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-class WordHash(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+def hashes(tokens: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word."""
+    import xxhash
 
-    def __init__(self, bound: int = 400_000):
-        super().__init__()
-        self.bound = bound
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.bound:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        self[word] = h
-        return h
-
-    def array(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

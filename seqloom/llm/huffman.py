@@ -202,7 +202,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.odd = re.compile(r"[\x1c-\x1f\x85᠎﻿]").search  # engines differ on which of these are white space
-        self.splitter = Splitter(public_tokenizers.PATTERN, lambda piece: self.library.encode(piece, add_special_tokens=False).ids, self.learn)
+        self.splitter = Splitter(public_tokenizers.PATTERN, lambda piece: self.library.encode(piece, add_special_tokens=False).ids, self.learn, chunks=500_000)
 
         n = self.library.get_vocab_size()
         space = self.library.id_to_token(self.library.encode(" ", add_special_tokens=False).ids[0])
@@ -239,7 +239,7 @@ def encoder(path: str) -> Encoder:
 
 def tokenized(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """doc_id, n, ids (little-endian, 16 bits each where the vocabulary allows, else 32) with the end id."""
-    ready(docs.sparkSession, 800)
+    ready(docs.sparkSession)
 
     def run(batches):
         enc = encoder(path)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_long, cut, drop, mix, ready, rolling, tidy
+from .common import as_long, cut, drop, hashes, mix, ready, rolling, tidy
 from .components import connected
 
 WIDTH, PERMUTATIONS, BANDS = 5, 96, 48
@@ -35,7 +35,6 @@ ROUNDS = 6
 #: Size of the table by which shingles are ordered.
 SLOTS = 1 << 18
 
-_HASH = WordHash()
 _rng = np.random.default_rng(20_000_003)
 _FACTORS = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -46,7 +45,7 @@ def shingles(text: str | None) -> np.ndarray:
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and the six white spaces
     if not w:
         return np.empty(0, np.uint64)
-    h = _HASH.array(w)
+    h = hashes(w)
     return np.unique(rolling(h, min(WIDTH, len(h))))
 
 

@@ -23,24 +23,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, ready, words
+from .common import hashes, mix, ready, words
 
 BITS, PER_CLASS, FOLDS, EPOCHS, COST, THRESHOLD = 18, 3000, 3, 12, 1.0, 0.3
 SHARES = 2.0 ** -np.arange(1, 8)
 _KINDS = [(re.compile(p), r) for p, r in ((rb"[0-9]+", b"9"), (rb"[A-Z]{2,}", b"AA"), (rb"[a-z\x80-\xff]+", b"a"), (rb"([^0-9A-Za-z\x80-\xff])\1+", rb"\1\1"))]
 
 
-class ShapeHash(WordHash):
+class Shapes(dict):
+    """Hashes of words' shapes, remembered up to a bound."""
+
+    def __init__(self, bound: int = 150_000):
+        super().__init__()
+        self.bound = bound
+
     def __missing__(self, word: bytes) -> int:
+        import xxhash
+
         shape = word[:200]
         for pattern, to in _KINDS:
             shape = pattern.sub(to, shape)
-        h = WordHash.__missing__(self, b"\0shape" + shape[:12])
-        self[word] = h
+        if len(self) >= self.bound:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(shape[:12])
         return h
 
 
-_WORDS, _SHAPES = WordHash(), ShapeHash()
+_SHAPES = Shapes()
 
 
 def features(text: str | None) -> np.ndarray:
@@ -48,7 +57,7 @@ def features(text: str | None) -> np.ndarray:
     w = words(text)
     if not w:
         return np.empty(0, np.int64)
-    ids, shapes = _WORDS.array(w), _SHAPES.array(w)
+    ids, shapes = hashes(w), np.fromiter(map(_SHAPES.__getitem__, w), np.uint64, len(w))
     same = np.zeros(len(w), np.uint64)
     same[1:] = ids[1:] == ids[:-1]
     one = mix(shapes + same)

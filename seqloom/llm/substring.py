@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, _powers, as_long, cut, drop, mix, ready, rolling, tidy, words
+from .common import _powers, as_long, cut, drop, hashes, mix, ready, rolling, tidy, words
 
 WINDOW, ANCHOR = 50, 10
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_HASH = WordHash()
 
 
 def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
@@ -82,7 +81,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                 w = words(t)
                 if len(w) < WINDOW:
                     continue
-                h = _HASH.array(w)
+                h = hashes(w)
                 anchor, start, count = segments(h)
                 end = start + count + WINDOW - 1
                 n = len(start)
@@ -101,7 +100,7 @@ def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             cols = [[] for _ in range(6)]
             for d, v, t, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "version", "text", "at")), strict=True):
-                h = _HASH.array(words(t))
+                h = hashes(words(t))
                 first, second = (rolling(h, WINDOW, base) for base in BASES)
                 start = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["count"]) for x in at]))
                 one, two = first[start], second[start]
