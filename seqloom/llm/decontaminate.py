@@ -18,7 +18,7 @@ gives no rows; further columns are ignored. What is broadcast is bounded by the
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -73,19 +73,34 @@ class Benchmark:
                     self.counts[k, columns[x]] += 1
 
 
-def hits(w: list[bytes], columns: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and columns of the words that have one."""
-    t = np.fromiter(map(columns.get, w, repeat(-1)), np.int32, len(w))
-    at = np.flatnonzero(t >= 0)
-    return at, t[at]
-
-
-def cells(at: np.ndarray, n: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of n words: first and last hit of each passage; passages are two strides long and start at each stride."""
-    passages = max(1, -(-n // stride) - 1)
-    edges = np.searchsorted(at, np.arange(passages + 2) * stride)
-    edges[-1] = len(at) if passages == 1 or (passages + 1) * stride >= n else edges[-1]
-    return edges[:-2], np.append(edges[2:-1], len(at))
+class Cells:
+    """The hits (words that have a column) of a batch of documents, by blocks of one stride.
+
+    A passage is two blocks of one document that follow each other (or its only one); it is numbered as its
+    first block.
+    """
+
+    def __init__(self, texts: list[str | None], columns: dict[bytes, int], stride: int):
+        self.words = [terms_of(t) for t in texts]
+        n = np.fromiter(map(len, self.words), np.int64, len(texts))
+        blocks = np.where(n > 0, np.maximum(2, -(-n // stride)), 0)
+        self.first = np.cumsum(blocks) - blocks  # block of each document
+        term = np.fromiter(map(columns.get, chain.from_iterable(self.words), repeat(-1)), np.int32, int(n.sum()))
+        at = np.flatnonzero(term >= 0)
+        self.term = term[at]
+        doc = np.repeat(np.arange(len(n)), n)[at]
+        self.block = self.first[doc] + (at - (np.cumsum(n) - n)[doc]) // stride
+        total = int(blocks.sum())
+        self.opens = np.ones(total, bool)  # blocks with which a passage begins: all but the last of a document
+        self.opens[(self.first + blocks - 1)[n > 0]] = False
+        self.passages = int(self.opens.sum())
+        self.start = np.searchsorted(self.block, np.arange(total + 2))
+
+    def pairs(self, n: int) -> np.ndarray:
+        """Passage * n + column, once for each column of each passage."""
+        here, before = self.opens[self.block], self.block > 0
+        before[before] = self.opens[self.block[before] - 1]
+        return np.unique(np.concatenate([self.block[here] * n + self.term[here], (self.block[before] - 1) * n + self.term[before]]))
 
 
 def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,30 +120,20 @@ def gathered(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> tuple[int, np.
         columns, stride, x = share.value
         total, df, y = 0, np.zeros(n), np.zeros((n, width))
         for b in batches:
-            ts, us = [], []
-            for text in b.column("text").to_pylist():
-                w = terms_of(text)
-                if not w:
-                    continue
-                at, t = hits(w, columns)
-                first, last = cells(at, len(w), stride)
-                total += len(first)
-                if not len(at):
-                    continue
-                owner, every = spread(first, last)
-                term = t[every]
-                pairs = np.unique(owner * np.int64(n) + term)
-                df += np.bincount(pairs % n, minlength=n)
-                start = np.flatnonzero(np.diff(owner, prepend=-1))
-                u = np.add.reduceat(x[term], start)
-                ts.append(term)
-                us.append(u[np.repeat(np.arange(len(start)), np.diff(np.append(start, len(owner))))])
-            if ts:
-                term, u = np.concatenate(ts), np.concatenate(us)
-                order = np.argsort(term, kind="stable")
-                term, u = term[order], u[order]
-                start = np.concatenate([[0], np.flatnonzero(np.diff(term)) + 1])
-                y[term[start]] += np.add.reduceat(u, start)
+            c = Cells(b.column("text").to_pylist(), columns, stride)
+            total += c.passages
+            if not len(c.term):
+                continue
+            df += np.bincount(c.pairs(n) % n, minlength=n)
+            sums = np.zeros((len(c.opens) + 1, width), np.float32)
+            edges = np.flatnonzero(np.diff(c.block, prepend=-1))
+            sums[c.block[edges]] = np.add.reduceat(x[c.term], edges)
+            passage = np.where(c.opens[:, None], sums[:-1] + sums[1:], 0)
+            passage[1:] += passage[:-1].copy()  # of each block: the sums of both passages that hold it
+            order = np.argsort(c.term, kind="stable")
+            term = c.term[order]
+            edges = np.flatnonzero(np.diff(term, prepend=-1))
+            y[term[edges]] += np.add.reduceat(passage[c.block[order]], edges)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int32()), pa.array([float(total), *df[some].tolist()], pa.float64()), pa.array([None, *y[some].astype(np.float64)], pa.list_(pa.float64()))], names=["col", "n", "y"])
 
@@ -202,43 +207,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches):
         columns, stride, items, terms, queries, item, where = share.value
+        n = len(where)
         for b in batches:
-            rows = []
-            for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                w = terms_of(text)
-                if not w:
-                    continue
-                at, t = hits(w, columns)
-                if not len(at):
-                    continue
-                first, last = cells(at, len(w), stride)
-                owner, every = spread(first, last)
-                pairs = np.unique(owner * np.int64(len(where)) + t[every])
-                passage, word = pairs // len(where), pairs % len(where)
-                meet, k = spread(where[word], where[word + 1])
-                met, times = np.unique(passage[meet] * np.int64(len(items)) + item[k], return_counts=True)
-                met = met[times >= SHARED]
-                if not len(met):
-                    continue
-                best: dict[int, tuple] = {}
-                some, at_q = met // len(items), met % len(items)
-                part, back = np.unique(some, return_inverse=True)
-                for i in range(0, len(part), 256):
-                    p = part[i : i + 256]
-                    who, every = spread(first[p], last[p])
-                    z = np.add.reduceat(terms[t[every]], np.flatnonzero(np.diff(who, prepend=-1)))
-                    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-                    mine = (back >= i) & (back < i + 256)
-                    cos = np.einsum("ij,ij->i", z[back[mine] - i], queries[at_q[mine]])
-                    for j in np.flatnonzero(cos >= COSINE):
-                        q, at0 = int(at_q[mine][j]), int(some[mine][j]) * stride
-                        lcs, answer, leak = judged(items[q][1], w[at0 : at0 + 2 * stride])
-                        if leak and (q not in best or lcs > best[q][2]):
-                            best[q] = (at0, float(cos[j]), lcs, answer)
-                rows += [(d, items[q][0], *x) for q, x in best.items()]
+            c = Cells(b.column("text").to_pylist(), columns, stride)
+            pairs = c.pairs(n)
+            word = pairs % n
+            meet, k = spread(where[word], where[word + 1])
+            met, times = np.unique((pairs // n)[meet] * len(items) + item[k], return_counts=True)
+            met = met[times >= SHARED]
+            if not len(met):
+                continue
+            at, q = met // len(items), met % len(items)
+            cos = np.empty(len(met), np.float32)
+            for i in range(0, len(met), 4096):
+                part, back = np.unique(at[i : i + 4096], return_inverse=True)
+                who, every = spread(c.start[part], c.start[part + 2])
+                z = np.add.reduceat(terms[c.term[every]], np.flatnonzero(np.diff(who, prepend=-1)))
+                z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+                cos[i : i + 4096] = np.einsum("ij,ij->i", z[back], queries[q[i : i + 4096]])
+            ids, rows = b.column("doc_id").to_pylist(), []
+            for j in np.flatnonzero(cos >= COSINE).tolist():
+                d = int(np.searchsorted(c.first, at[j], "right")) - 1
+                while not c.words[d]:
+                    d -= 1
+                begin = int(at[j] - c.first[d]) * stride
+                lcs, answer, leak = judged(items[q[j]][1], c.words[d][begin : begin + 2 * stride])
+                if leak:
+                    rows.append((ids[d], items[q[j]][0], begin, float(cos[j]), lcs, answer))
             if rows:
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "start", "cosine", "lcs", "answer"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "start", "cosine", "lcs", "answer"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, schema)
     best = F.max_by(F.struct("start", "cosine", "lcs", "answer"), F.struct("lcs", "cosine", -F.col("start")))
