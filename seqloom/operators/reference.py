@@ -10,6 +10,12 @@ from pyspark.sql import Window as W
 KMER_TILE, WINDOW_TILE = 128, 1024
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores; what is split already does not move."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def tiles(ref: DataFrame, size: int, before: int, after: int) -> DataFrame:
     """seq_id, tile, begin (0-based, of text), text: pieces of the sequences with their neighbourhood."""
     n = F.length("seq")
@@ -21,7 +27,7 @@ def tiles(ref: DataFrame, size: int, before: int, after: int) -> DataFrame:
 def kmers(ref: DataFrame, *sizes: int) -> DataFrame:
     """q, kmer, seq_id, pos (0-based) of every k-mer of each of the sizes."""
     most = max(sizes)
-    pieces = tiles(ref, KMER_TILE, 0, most - 1)
+    pieces = tiles(dealt(ref), KMER_TILE, 0, most - 1)
     q = F.explode(F.array(*[F.lit(s) for s in sizes])).alias("q")
     pieces = pieces.select("seq_id", "begin", "text", q)
     last = F.least(F.lit(KMER_TILE), F.length("text") - F.col("q") + 1)

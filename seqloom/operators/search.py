@@ -29,17 +29,16 @@ def both_strands(reads: DataFrame) -> DataFrame:
     return reads.select(*rest, of.alias("s")).select(*rest, "s.*")
 
 
-def _sizes(queries: DataFrame, k) -> list[int]:
-    """Seed lengths in use: LONGEST values at most."""
-    k = F.lit(k) if isinstance(k, int) else k
-    q = F.least(F.lit(LONGEST), F.floor(F.length("seq") / (k + 1))).cast("int")
-    return sorted(r.q for r in queries.select(q.alias("q")).distinct().collect() if r.q and r.q > 0)
+def _extent(queries: DataFrame) -> tuple[list[int], int, int]:
+    """Of queries with k: seed lengths in use (LONGEST values at most), length of the longest, most errors; one job."""
+    q = F.least(F.lit(LONGEST), F.floor(F.length("seq") / (F.col("k") + 1))).cast("int")
+    r = queries.agg(F.collect_set(q).alias("q"), F.max(F.length("seq")).alias("m"), F.max("k").alias("k")).first()
+    return sorted(x for x in r.q if x > 0) or [1], r.m or 0, r.k or 0
 
 
-def candidates(queries: DataFrame, ref: DataFrame, k) -> DataFrame:
+def candidates(queries: DataFrame, ref: DataFrame, sizes: list[int]) -> DataFrame:
     """read_id, strand, seq_id, diag: where a read may begin (0-based), from each of its seeds."""
-    sizes = _sizes(queries, k)
-    met = kmers(ref, *(sizes or [1])).join(seeds(queries, k), ["q", "kmer"])
+    met = kmers(ref, *sizes).join(seeds(queries, F.col("k")), ["q", "kmer"])
     return met.select("read_id", "strand", "seq_id", (F.col("pos") - F.col("offset")).alias("diag")).distinct()
 
 
@@ -54,16 +53,13 @@ def _windows(found: DataFrame, queries: DataFrame, ref: DataFrame, margin: int,
     return at.join(pieces, ["seq_id", "tile"]).join(queries, ["read_id", "strand"])
 
 
-def _longest(queries: DataFrame) -> int:
-    return queries.agg(F.max(F.length("seq")).alias("m")).first().m or 0
-
-
 def hamming(queries: DataFrame, ref: DataFrame, k) -> DataFrame:
     """All hits within k mismatches: read_id, strand, seq_id, begin, end, distance, cigar. queries: read_id, strand, seq."""
     ship(queries.sparkSession)
     queries = queries.withColumn("k", F.lit(k) if isinstance(k, int) else k)
-    found = candidates(queries, ref, F.col("k")).select("read_id", "strand", "seq_id", F.col("diag").alias("low"), F.col("diag").alias("high")).where("low >= 0")
-    full = _windows(found, queries, ref, 1, _longest(queries)).select("read_id", "strand", "seq_id", "low", "k", "seq", F.substr("text", F.col("low") - F.col("text_begin") + 1, F.length("seq")).alias("text"))
+    sizes, longest, _ = _extent(queries)
+    found = candidates(queries, ref, sizes).select("read_id", "strand", "seq_id", F.col("diag").alias("low"), F.col("diag").alias("high")).where("low >= 0")
+    full = _windows(found, queries, ref, 1, longest).select("read_id", "strand", "seq_id", "low", "k", "seq", F.substr("text", F.col("low") - F.col("text_begin") + 1, F.length("seq")).alias("text"))
     full = full.where("length(text) = length(seq)")
 
     def run(batches):
@@ -89,11 +85,11 @@ def edit(queries: DataFrame, ref: DataFrame, k) -> DataFrame:
     """All cluster centres within k edits: read_id, strand, seq_id, begin, end, distance, cigar; not yet without redundancy."""
     ship(queries.sparkSession)
     queries = queries.withColumn("k", F.lit(k) if isinstance(k, int) else k)
-    most = queries.agg(F.max("k").alias("k")).first().k or 0
+    sizes, longest, most = _extent(queries)
     margin = 3 * most + 2
-    by = candidates(queries, ref, F.col("k")).withColumn("block", F.floor(F.col("diag") / BLOCK)).groupBy("read_id", "strand", "seq_id", "block")
+    by = candidates(queries, ref, sizes).withColumn("block", F.floor(F.col("diag") / BLOCK)).groupBy("read_id", "strand", "seq_id", "block")
     found = by.agg(F.min("diag").alias("low"), F.max("diag").alias("high")).drop("block")
-    full = _windows(found, queries, ref, margin, _longest(queries))
+    full = _windows(found, queries, ref, margin, longest)
     start = F.greatest(F.col("low") - 3 * F.col("k") - 2, F.lit(0), F.col("text_begin"))
     stop = F.col("high") + F.length("seq") + 3 * F.col("k") + 2
     full = full.select("read_id", "strand", "seq_id", "low", "high", "k", "seq", start.alias("start"), F.substr("text", start - F.col("text_begin") + 1, F.greatest(stop - start, F.lit(0))).alias("text"))
@@ -119,8 +115,9 @@ def edit(queries: DataFrame, ref: DataFrame, k) -> DataFrame:
 def exact(queries: DataFrame, ref: DataFrame) -> DataFrame:
     """All occurrences: an equi-join on the first letters and a comparison, without Python."""
     queries = queries.withColumn("k", F.lit(0))
-    found = candidates(queries, ref, F.col("k")).select("read_id", "strand", "seq_id", F.col("diag").alias("low"), F.col("diag").alias("high"))
-    full = _windows(found, queries, ref, 1, _longest(queries))
+    sizes, longest, _ = _extent(queries)
+    found = candidates(queries, ref, sizes).select("read_id", "strand", "seq_id", F.col("diag").alias("low"), F.col("diag").alias("high"))
+    full = _windows(found, queries, ref, 1, longest)
     n = F.length("seq")
     same = full.where((F.substr("text", F.col("low") - F.col("text_begin") + 1, n) == F.col("seq")) & ~F.col("seq").contains("N"))
     return same.select("read_id", "strand", "seq_id", F.col("low").alias("begin"), (F.col("low") + n).alias("end"), F.lit(0).alias("distance"), F.concat(n.cast("string"), F.lit("M")).alias("cigar"))
