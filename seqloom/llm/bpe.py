@@ -46,7 +46,7 @@ class Transducer:
     A state is the last token emitted and the live guesses, packed into bytes; sequences of tokens are kept once.
     """
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 300_000):
         self.ranks, self.bound = ranks, states
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         self.trie: dict[int, int] = {}
@@ -242,10 +242,13 @@ class Splitter:
         self.pieces, self.chunks = Remembered(pieces), Remembered(chunks)
 
     def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+        # a word after a space is also a chunk: they are remembered together
+        word = piece[:1] == " " and piece[1:].isalpha()
+        key, memory = (piece[1:], self.chunks) if word else (piece, self.pieces)
+        found = memory.get(key)
         if found is None:
             found = np.array(self.encode_piece(piece), "<u4").tobytes()
-            self.pieces.add(piece, found)
+            memory.add(key, found)
         return found
 
     def whole(self, text: str) -> bytes:
@@ -269,10 +272,7 @@ class Splitter:
                 unseen.append(c)
         learnt = self.learn(unseen) if self.learn and unseen else {}
         for c in unseen:
-            found = learnt.get(c)
-            if found is None:
-                found = self.piece(" " + c) if c.isalpha() else self.whole(" " + c)
-            out[c] = found
+            found = out[c] = learnt[c] if c in learnt else self.whole(" " + c)
             memory.add(c, found)
         return out
 
@@ -333,11 +333,11 @@ class Utf8:
 
 
 class ByteBpe:
-    """Encoder and decoder of one rank file."""
+    """Encoder and decoder of one rank file; room is the number of transitions that are remembered, about 600 bytes each with all else."""
 
-    def __init__(self, path: str, pattern: str):
-        self.machine = Transducer(read_ranks(path))
-        self.splitter = Splitter(pattern, lambda piece: self.machine.encode(piece.encode()))
+    def __init__(self, path: str, pattern: str, room: int = 300_000):
+        self.machine = Transducer(read_ranks(path), room)
+        self.splitter = Splitter(pattern, lambda piece: self.machine.encode(piece.encode()), chunks=room // 3, pieces=room // 10)
 
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         return self.splitter.many([t or "" for t in texts])
@@ -358,14 +358,15 @@ class ByteBpe:
         return "".join(self.decode_stream(ids[i : i + chunk] for i in range(0, len(ids), chunk)))
 
 
-_CODERS: dict[tuple[str, str], ByteBpe] = {}
+_CODERS: dict[tuple[str, str, int], ByteBpe] = {}
 
 
-def coder(path: str, pattern: str) -> ByteBpe:
+def coder(path: str, pattern: str, room: int = 300_000) -> ByteBpe:
     """One coder per worker process."""
-    if (path, pattern) not in _CODERS:
-        _CODERS[path, pattern] = ByteBpe(path, pattern)
-    return _CODERS[path, pattern]
+    if (path, pattern, room) not in _CODERS:
+        _CODERS.clear()
+        _CODERS[path, pattern, room] = ByteBpe(path, pattern, room)
+    return _CODERS[path, pattern, room]
 
 
 def _on(path: str):
@@ -401,12 +402,12 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     return kept.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, room: int = 1_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: encoded, then decoded from the ids in a stream."""
     ready(docs.sparkSession)
 
     def run(batches):
-        c = coder(_on(path), pattern)
+        c = coder(_on(path), pattern, room)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             n, first, second = [], [], []
