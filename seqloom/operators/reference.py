@@ -45,13 +45,16 @@ def letter_counts(ref: DataFrame) -> DataFrame:
     return ref.select(F.inline(F.array(*per))).groupBy("letter").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def catalogue(ref: DataFrame) -> DataFrame:
+def catalogue(ref: DataFrame, block: int = 1 << 16) -> DataFrame:
     """seq_id, seq_name, len, start: the place of each sequence in their concatenation by seq_id.
 
-    Only ids and lengths meet in the running sum.
+    Lengths are summed within blocks of ids and then over the blocks, so that no task sums all of them.
     """
-    by = ref.select("seq_id", "seq_name", F.length("seq").cast("bigint").alias("len"))
-    return by.withColumn("start", F.sum("len").over(W.orderBy("seq_id")) - F.col("len"))
+    by = ref.select("seq_id", "seq_name", F.length("seq").cast("bigint").alias("len"), F.floor(F.col("seq_id") / block).alias("block"))
+    sums = by.groupBy("block").agg(F.sum("len").alias("all"))
+    before = sums.select("block", (F.sum("all").over(W.orderBy("block")) - F.col("all")).alias("before"))
+    inside = F.sum("len").over(W.partitionBy("block").orderBy("seq_id")) - F.col("len")
+    return by.withColumn("inside", inside).join(before, "block").select("seq_id", "seq_name", "len", (F.col("before") + F.col("inside")).alias("start"))
 
 
 def located(positions: DataFrame, catalogue: DataFrame, block: int = 1 << 16) -> DataFrame:
