@@ -339,6 +339,13 @@ class ByteBpe:
         self.machine = Transducer(read_ranks(path), room)
         self.splitter = Splitter(pattern, lambda piece: self.machine.encode(piece.encode()), chunks=room // 3, pieces=room // 10)
 
+    def forget(self) -> None:
+        """Give back what was remembered."""
+        self.machine._forget()
+        self.machine.pairs.clear()
+        for m in (self.splitter.pieces, self.splitter.chunks):
+            m.new, m.old = {}, {}
+
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         return self.splitter.many([t or "" for t in texts])
 
@@ -397,6 +404,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
             if with_text:
                 cols.append(pa.array([c.decode(x.tolist()) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields] + ["ids", "n_tokens"] + ["decoded"] * with_text)
+        c.forget()  # other stages run in the same workers
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids array<int>, n_tokens bigint" + ", decoded string" * with_text
     return kept.mapInArrow(run, schema)
