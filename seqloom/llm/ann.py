@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, drop, ready
+from .common import cut, drop, ready, tidy
 
-TOP, K, ITERATIONS, BEAM, HOPS = 10, 20, 4, 64, 8
+TOP, K, ITERATIONS, BEAM, HOPS = 10, 32, 8, 160, 10
 #: Rows of a block of the first graph; pivots and entry points (bounded samples); members of a local join.
-BLOCK, PIVOTS, ENTRIES, GROUP, STARTS = 160, 256, 512, 48, 4
+BLOCK, PIVOTS, ENTRIES, GROUP, STARTS = 160, 256, 512, 160, 4
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -98,7 +98,7 @@ def first_graph(nodes: DataFrame, dim: int, seed: int) -> DataFrame:
 
 
 def improved(graph: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
-    """node, nbr, d: pairs of neighbours of a common node that are nearer than the farthest the node has."""
+    """node, nbr, d: pairs of neighbours of a common node that are nearer than the farthest the node has, each once."""
     links = graph.select(F.col("node").alias("at"), F.col("nbr").alias("u")).unionByName(graph.select(F.col("nbr").alias("at"), F.col("node").alias("u"))).distinct()
     links = cut(links)
     degree = cut(links.groupBy("at").agg(F.ceil(F.count("*") / GROUP).alias("groups")))
@@ -135,6 +135,8 @@ def improved(graph: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = full.repartition(parts, "at", "salt").sortWithinPartitions("at", "salt").mapInArrow(local, "node bigint, nbr bigint, d double")
+    out = cut(out.groupBy("node", "nbr").agg(F.min("d").alias("d")))
+    drop(nodes.sparkSession, links, degree, known)
     return out
 
 
@@ -144,11 +146,12 @@ def graph_of(nodes: DataFrame, dim: int) -> DataFrame:
     graph = cut(nearest_k(first_graph(nodes, dim, 1).unionByName(first_graph(nodes, dim, 2)), K))
     size = nodes.count()
     for _ in range(ITERATIONS):
-        new = cut(improved(graph, nodes, dim).groupBy("node", "nbr").agg(F.min("d").alias("d")))
+        new = improved(graph, nodes, dim)
         better = new.join(graph.select("node", "nbr"), ["node", "nbr"], "left_anti")
         changes = better.count()
         merged = cut(nearest_k(graph.unionByName(new), K))
         drop(spark, graph, new)
+        tidy(spark)
         graph = merged
         if changes < 0.002 * K * size:
             break
@@ -186,6 +189,7 @@ def walk(nodes: DataFrame, graph: DataFrame, queries: DataFrame, dim: int) -> Da
 
     starts = queries.select("query", "q").mapInArrow(enter, "query bigint, node bigint").unionByName(queries.select("query", F.col("own").alias("node"))).distinct()
     q = queries.select("query", "q")
+    links = cut(graph.select("node", "nbr").unionByName(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct())
     beam = cut(distances(starts, nodes, q, dim).withColumn("done", F.lit(False)))
     for _ in range(HOPS):
         open_ = beam.where("not done")
@@ -193,11 +197,12 @@ def walk(nodes: DataFrame, graph: DataFrame, queries: DataFrame, dim: int) -> Da
             break
         seen = beam.select("query", "node")
         # nodes that fell out of the beam may be met again; they fall out again
-        new = open_.join(graph.select("node", "nbr"), "node").select("query", F.col("nbr").alias("node")).distinct().join(seen, ["query", "node"], "left_anti")
+        new = open_.join(links, "node").select("query", F.col("nbr").alias("node")).distinct().join(seen, ["query", "node"], "left_anti")
         found = distances(new, nodes, q, dim).withColumn("done", F.lit(False))
         after = cut(best(beam.withColumn("done", F.lit(True)).unionByName(found), BEAM))
         drop(spark, beam)
         beam = after
+    drop(spark, links)
     return beam.drop("done")
 
 
