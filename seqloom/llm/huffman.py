@@ -91,13 +91,14 @@ def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits of ids in big-endian 32-bit words, and each id's bit offset."""
-    n = lengths[ids].astype(np.uint64)
+    both = (codes << np.uint64(8) | lengths)[ids]
+    n = both & np.uint64(255)
     ends = np.cumsum(n)
     at = ends - n
     out = np.zeros(int(ends[-1] if len(ends) else 0) // 32 + 2, np.uint64)
     if len(ids):
         word = at >> np.uint64(5)
-        v = codes[ids] << (np.uint64(64) - (at & np.uint64(31)) - n)
+        v = (both >> np.uint64(8)) << (np.uint64(64) - (at & np.uint64(31)) - n)
         starts = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
         w = word[starts].astype(np.int64)
         out[w] += np.add.reduceat(v >> np.uint64(32), starts)
@@ -111,17 +112,18 @@ def unpack(words: np.ndarray, starts: np.ndarray, counts: np.ndarray, table: np.
     wide = wide[:-1] << np.uint64(32) | wide[1:]
     order = np.argsort(-counts, kind="stable")
     at, left = starts[order].astype(np.uint64), counts[order]
-    out = np.zeros((len(order), int(counts.max()) if len(counts) else 0), np.int32)
+    out = np.zeros((int(counts.max()) if len(counts) else 0, len(order)), np.int32)  # a row for each step
     mask, shift = np.uint64((1 << top) - 1), np.uint64(64 - top)
     live = len(order)
-    for k in range(out.shape[1]):
+    for k in range(len(out)):
         live = int(np.searchsorted(-left, -k, "left"))  # stretches with more than k ids come first
         here = at[:live]
         e = table[(wide[(here >> np.uint64(5)).astype(np.int64)] >> (shift - (here & np.uint64(31)))) & mask]
-        out[:live, k] = e >> np.uint32(5)
+        out[k, :live] = e >> np.uint32(5)
         at[:live] += e & np.uint32(31)
-    back = np.empty_like(out)
-    back[order] = out
+    back = np.empty((len(order), len(out)), np.int32)
+    for i in range(0, len(order), 256):
+        back[order[i : i + 256]] = out[:, i : i + 256].T
     return back[np.arange(back.shape[1])[None, :] < counts[:, None]]
 
 
