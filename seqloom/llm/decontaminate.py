@@ -7,7 +7,8 @@ matrix C with a random X, summed by Spark; scaled by the IDF and joined with the
 gives the leading right singular vectors (a one-pass randomised SVD of a positive matrix). A second pass
 projects each passage into that latent space, takes the items whose cosine is at least COSINE as
 candidates, and checks them on their words: a leak has a longest common subsequence of DIRECT of the item, or
-of LOOSE of it if the item's answer (its last ANSWER words) is there too.
+of LOOSE of it if the item's answer (its last ANSWER words that are columns) is there too, within a stretch
+little longer than the item.
 
 Words are runs of letters and digits in lower case.
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import ready
 
 COSINE, DIRECT, LOOSE, ANSWER, ANSWERED = 0.5, 0.7, 0.5, 5, 0.8
+#: What matches an item lies in a stretch of so many times its length.
+STRETCH = 1.5
 #: A term of more than this share of the items is no column, unless an item has fewer than LEAST others.
 COMMON, LEAST = 0.02, 6
 #: Leading singular vectors of the corpus; latent dimensions at most, the items' own included.
@@ -65,6 +68,8 @@ class Benchmark:
         longest = max((len(w) for _, w in self.items), default=1)
         self.stride = max(16, longest)
         self.window = 2 * self.stride
+        #: the answer of each item: its last words that are columns
+        self.answers = [[x for x in w if x in columns][-ANSWER:] for _, w in self.items]
         n = len(columns)
         self.counts = np.zeros((len(self.items), n), np.float64)
         for k, (_, w) in enumerate(self.items):
@@ -176,12 +181,17 @@ def subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - v.bit_count()
 
 
-def judged(item: list[bytes], passage: list[bytes]) -> tuple[float, float, bool]:
-    """Share of the item, share of its answer, and whether it is a leak."""
-    share = subsequence(item, passage) / len(item)
-    answer = item[-ANSWER:]
-    said = subsequence(answer, passage) / len(answer) if share >= LOOSE else 0.0
-    return share, said, share >= DIRECT or (share >= LOOSE and said >= ANSWERED)
+def judged(item: list[bytes], answer: list[bytes], passage: list[bytes]) -> tuple[float, float, bool]:
+    """Share of the item, share of its answer, and whether it is a leak: the best of all stretches little longer than the item."""
+    best, most = (0.0, 0.0, False), int(STRETCH * len(item)) + 1
+    step = max(1, len(item) // 8)
+    for i in range(0, max(1, len(passage) - most + step), step):
+        part = passage[i : i + most]
+        share = subsequence(item, part) / len(item)
+        if share > best[0]:
+            said = subsequence(answer, part) / len(answer) if share >= LOOSE else 0.0
+            best = share, said, share >= DIRECT or (share >= LOOSE and said >= ANSWERED)
+    return best
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -203,10 +213,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # items of each term, one after another
     term, item = np.nonzero((bench.counts > 0).T)
     where = np.searchsorted(term, np.arange(len(bench.columns) + 1))
-    share = spark.sparkContext.broadcast((bench.columns, bench.stride, bench.items, terms, queries.astype(np.float32), item, where))
+    share = spark.sparkContext.broadcast((bench.columns, bench.stride, bench.items, bench.answers, terms, queries.astype(np.float32), item, where))
 
     def run(batches):
-        columns, stride, items, terms, queries, item, where = share.value
+        columns, stride, items, answers, terms, queries, item, where = share.value
         n = len(where)
         for b in batches:
             c = Cells(b.column("text").to_pylist(), columns, stride)
@@ -231,7 +241,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 while not c.words[d]:
                     d -= 1
                 begin = int(at[j] - c.first[d]) * stride
-                lcs, answer, leak = judged(items[q[j]][1], c.words[d][begin : begin + 2 * stride])
+                lcs, answer, leak = judged(items[q[j]][1], answers[q[j]], c.words[d][begin : begin + 2 * stride])
                 if leak:
                     rows.append((ids[d], items[q[j]][0], begin, float(cos[j]), lcs, answer))
             if rows:
