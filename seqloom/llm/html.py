@@ -8,8 +8,11 @@ task ever holds a host. A class is valid if both tags of each of its elements be
 are ordered and properly nested); classes nest by path: the one that stands once on every page is the
 host's frame, those inside it are its repeated or optional parts. The template of a host is its valid
 classes; what remains between template tokens are slots. The container of the main text is chosen among
-the template's once-a-page elements, and the slots inside are extracted, without those of menus, headers,
-footers, sidebars, notices, adverts, forms and comments.
+the template's once-a-page article and main elements, and all text inside is extracted, without that of menus,
+headers, footers, sidebars, notices, adverts, forms and comments. Pages without such an element give the slots
+of their body: a block of text is template, not slot, if it stands at the same path on (nearly) every different
+page of the host that has no such element either. All slots are taken; none is chosen by its size. A page
+with no slot of its own keeps its text whole.
 
 Defined results: null or empty html gives an empty text; a page without a frame (few pages of its
 host, no host in the url) uses the elements of its own page; repeated rows stay; null url and page_id are
@@ -49,6 +52,8 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 MAIN = ("article", "main")
 #: A host's frame needs so many pages, and an element of the frame stands on this share of them.
 LEAST_PAGES, SHARE = 3, 0.5
+#: A block of text on this share of a host's different pages without a main element is template.
+CONSTANT = 0.9
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -143,9 +148,13 @@ def occurrences(html: str) -> dict[str, tuple[int, int]]:
     return {k: (a, b) for k, (a, b) in found.items()}
 
 
-def extract(html: str | None, container: str | None) -> str:
-    """Blocks of the slots inside the container (all elements of that path), or of the page's own best element."""
-    events = list(scan(html or ""))
+def extract(html: str | None, container: str | None, template: set[int] = frozenset()) -> str:
+    """Text inside the container (all elements of that path), or inside the page's own best element, without blocks of the template."""
+    return "\n".join(said for path, said in blocks_of(list(scan(html or "")), container) if not template or block_hash(path, said) not in template)
+
+
+def blocks_of(events: list[tuple], container: str | None) -> list[tuple[str, str]]:
+    """Blocks of text inside the container, or inside the page's own best element, each with its path."""
     if container is None:
         opened = {tag for kind, tag, _ in events if kind == "open"}
         container = next((t for t in (*MAIN, "body") if t in opened), "")
@@ -161,7 +170,7 @@ def extract(html: str | None, container: str | None) -> str:
         said = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if said:
-            blocks.append(said)
+            blocks.append((walk.paths[-1] if walk.paths else "", said))
 
     def shrink() -> None:
         depth = len(walk.tags)
@@ -202,7 +211,7 @@ def extract(html: str | None, container: str | None) -> str:
             walk.close(tag)
             shrink()
     flush()
-    return "\n".join(blocks)
+    return blocks
 
 
 def _hash(n: int) -> int:
@@ -259,6 +268,39 @@ def hash_text(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
+def block_hash(path: str, said: str) -> int:
+    """Of 63 bits; none is -1, which stands for the page itself."""
+    return hash_text(f"{path}\n{said}") >> 1
+
+
+def bare(events: list[tuple]) -> bool:
+    """Whether a page has no element that holds the main text by definition."""
+    return not any(kind == "open" and tag in MAIN for kind, tag, _ in events)
+
+
+def constant_blocks(pages: DataFrame) -> DataFrame:
+    """host, blocks: hashes of the blocks that are template on the host's pages without a main element; pages of the same html are one."""
+
+    def run(batches):
+        for b in batches:
+            hosts, blocks, at = [], [], []
+            for h, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                events = list(scan(text))
+                if bare(events):
+                    page = hash_text(text) >> 1
+                    found = {-1, *(block_hash(*x) for x in blocks_of(events, None))}
+                    hosts += [h] * len(found)
+                    blocks += found
+                    at += [page] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(blocks, pa.int64()), pa.array(at, pa.int64())], names=["host", "block", "page"])
+
+    rows = pages.where("host <> '' and html is not null").select("host", "html").mapInArrow(run, "host string, block bigint, page bigint")
+    counts = rows.distinct().groupBy("host", "block").agg(F.count("*").alias("n"))
+    sizes = counts.where("block = -1").select("host", F.col("n").alias("of"))
+    often = counts.where("block <> -1").join(sizes, "host").where((F.col("of") >= LEAST_PAGES) & (F.col("n") >= CONSTANT * F.col("of")))
+    return often.groupBy("host").agg(F.collect_list("block").alias("blocks"))
+
+
 def templates(vectors: DataFrame, sizes: DataFrame) -> DataFrame:
     """host, n_pages, container, template: the valid classes, each with its paths, nested by its shortest one."""
     t = vectors.join(sizes, "host").where((F.col("n_pages") >= LEAST_PAGES) & (F.col("pages") >= SHARE * F.col("n_pages")))
@@ -282,14 +324,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     ready(spark, 200)
     pages = pages.select("page_id", "url", "html", host(F.coalesce("url", F.lit(""))).alias("host"))
     sizes = pages.where("host <> '' and html is not null").groupBy("host").agg(F.count("*").alias("n_pages"))
-    frame = cut(templates(token_vectors(pages), sizes).where("container is not null").select(F.col("host").alias("of"), "container"))
-    joined = pages.join(frame.hint("shuffle_hash"), F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "container")
+    frame = templates(token_vectors(pages), sizes).where("container is not null").select("host", "container")
+    frame = cut(frame.join(constant_blocks(pages), "host", "full").select(F.col("host").alias("of"), "container", "blocks"))
+    joined = pages.join(frame.hint("shuffle_hash"), F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "container", "blocks")
 
     def run(batches):
         for b in batches:
             texts = []
-            for text, container in zip(b.column("html").to_pylist(), b.column("container").to_pylist(), strict=True):
+            for text, container, blocks in zip(b.column("html").to_pylist(), b.column("container").to_pylist(), b.column("blocks").to_pylist(), strict=True):
                 said = extract(text, container) if container else ""
+                if not said and blocks and bare(list(scan(text or ""))):
+                    said = extract(text, None, set(blocks))
                 texts.append(said or extract(text, None))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -41,3 +41,15 @@ def test_vectors_don_t_depend_on_how_pages_are_dealt(spark):
     rows = [(i, "http://h.example/", f"<body>{'<p>a</p>' * (i % 4)}<!--{i}--></body>") for i in range(40)]
     df = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("host", html.host("url"))
     assert sorted(html.token_vectors(df.repartition(7)).collect()) == sorted(html.token_vectors(df.coalesce(1)).collect())
+
+
+def test_text_that_every_page_repeats_in_neutral_elements_is_template(spark):
+    page = "<body><div><p>Welcome to our site</p></div><div><p>Story {n}</p><p>and more {n}</p></div><div>All rights kept</div></body>"
+    rows = [(i, f"http://plain.example/{i}", page.format(n=i)) for i in range(8)]
+    rows += [(20 + i, "http://same.example/", page.format(n=0)) for i in range(5)]  # one page five times has no template
+    rows += [(30, "http://plain.example/a", "<body><article><p>Welcome to our site</p></article></body>"), (31, "http://plain.example/e", page.replace("Story {n}", "").replace("and more {n}", ""))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    by = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert [by[i] for i in range(8)] == [f"Story {i}\nand more {i}" for i in range(8)]
+    assert {by[20 + i] for i in range(5)} == {"Welcome to our site\nStory 0\nand more 0\nAll rights kept"}
+    assert by[30] == "Welcome to our site" and by[31] == "Welcome to our site\nAll rights kept"
