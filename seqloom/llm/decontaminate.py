@@ -5,10 +5,11 @@ Their TF-IDF matrix has a column for each benchmark term (terms of many items, w
 left out). One pass over all documents gathers document frequencies and the sketch C'(C X) of the count
 matrix C with a random X, summed by Spark; scaled by the IDF and joined with the benchmark's own rows it
 gives the leading right singular vectors (a one-pass randomised SVD of a positive matrix). A second pass
-projects each passage into that latent space, takes the items whose cosine is at least COSINE as
-candidates, and checks them on their words: a leak has a longest common subsequence of DIRECT of the item, or
-of LOOSE of it if the item's answer (its last ANSWER words that are columns) is there too, within a stretch
-little longer than the item.
+takes as candidates all pairs of a passage and an item that share SHARED columns, and so much of the item's
+columns and answer that a leak is possible at all, and checks them on their words: a leak has a longest common
+subsequence of DIRECT of the item, or of LOOSE of it if the item's answer (its last ANSWER words that are
+columns) is there too, within a stretch little longer than the item. Each leak is reported with its cosine in
+the latent space, of columns that occur or not (repeated words don't dilute it); no cosine decides.
 
 Words are runs of letters and digits in lower case.
 
@@ -28,14 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import ready
 
-COSINE, DIRECT, LOOSE, ANSWER, ANSWERED = 0.5, 0.7, 0.5, 5, 0.8
+DIRECT, LOOSE, ANSWER, ANSWERED = 0.7, 0.5, 5, 0.8
 #: What matches an item lies in a stretch of so many times its length.
 STRETCH = 1.5
 #: A term of more than this share of the items is no column, unless an item has fewer than LEAST others.
 COMMON, LEAST = 0.02, 6
 #: Leading singular vectors of the corpus; latent dimensions at most, the items' own included.
 LEADING, RANK = 64, 512
-#: Terms that a passage shares with an item before it is projected.
+#: Columns that a passage shares with an item before its words are checked.
 SHARED = 2
 
 
@@ -76,6 +77,11 @@ class Benchmark:
             for x in w:
                 if x in columns:
                     self.counts[k, columns[x]] += 1
+        self.answer_counts = np.zeros_like(self.counts)
+        for k, w in enumerate(self.answers):
+            for x in w:
+                self.answer_counts[k, columns[x]] += 1
+        self.lengths = np.array([len(w) for _, w in self.items], np.float64)
 
 
 class Cells:
@@ -161,7 +167,7 @@ def singular(bench: Benchmark, idf: np.ndarray, y: np.ndarray, x: np.ndarray) ->
     keep = values > max(1e-9 * values.max(initial=0.0), 1e-12)
     half = z @ (vectors[:, keep] / np.sqrt(values[keep]))
     leading = np.linalg.svd(half, full_matrices=False)[0] if keep.any() else np.zeros((len(idf), 0))
-    own = (bench.counts * idf).T
+    own = ((bench.counts > 0) * idf).T
     own = own / np.maximum(np.linalg.norm(own, axis=0, keepdims=True), 1e-12)
     u, s, _ = np.linalg.svd(np.hstack([leading, own]), full_matrices=False)
     return u[:, s > 1e-6 * s.max(initial=1.0)][:, :RANK]
@@ -181,6 +187,12 @@ def subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - v.bit_count()
 
 
+def possible(shared: np.ndarray, said: np.ndarray, columns: np.ndarray, answer: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether a pair can be a leak: shared, said are the words of the item and of its answer that are columns the passage has; the item's other words may all be there."""
+    most = (shared + words - columns) / words + 1e-9
+    return (most >= DIRECT) | ((most >= LOOSE) & (said + 1e-9 >= ANSWERED * answer) & (answer > 0))
+
+
 def judged(item: list[bytes], answer: list[bytes], passage: list[bytes]) -> tuple[float, float, bool]:
     """Share of the item, share of its answer, and whether it is a leak: the best of all stretches little longer than the item."""
     best, most = (0.0, 0.0, False), int(STRETCH * len(item)) + 1
@@ -207,36 +219,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     idf = np.log((2.0 + passages) / (1.0 + df))
     v = singular(bench, idf, y, x.astype(np.float64))
     terms = (idf[:, None] * v).astype(np.float32)
-    queries = bench.counts.astype(np.float32) @ terms
+    queries = (bench.counts > 0).astype(np.float32) @ terms
     norm = np.linalg.norm(queries, axis=1, keepdims=True)
     queries = queries / np.maximum(norm, 1e-12)
     # items of each term, one after another
     term, item = np.nonzero((bench.counts > 0).T)
     where = np.searchsorted(term, np.arange(len(bench.columns) + 1))
-    share = spark.sparkContext.broadcast((bench.columns, bench.stride, bench.items, bench.answers, terms, queries.astype(np.float32), item, where))
+    weights = bench.counts[item, term], bench.answer_counts[item, term]
+    sizes = bench.counts.sum(1), bench.answer_counts.sum(1), bench.lengths
+    share = spark.sparkContext.broadcast((bench.columns, bench.stride, bench.items, bench.answers, terms, queries.astype(np.float32), item, where, weights, sizes))
 
     def run(batches):
-        columns, stride, items, answers, terms, queries, item, where = share.value
+        columns, stride, items, answers, terms, queries, item, where, weights, sizes = share.value
         n = len(where)
         for b in batches:
             c = Cells(b.column("text").to_pylist(), columns, stride)
             pairs = c.pairs(n)
             word = pairs % n
             meet, k = spread(where[word], where[word + 1])
-            met, times = np.unique((pairs // n)[meet] * len(items) + item[k], return_counts=True)
-            met = met[times >= SHARED]
+            met, back, times = np.unique((pairs // n)[meet] * len(items) + item[k], return_inverse=True, return_counts=True)
+            shared, said = (np.bincount(back, w[k], len(met)) for w in weights)
+            met = met[(times >= SHARED) & possible(shared, said, *(x[met % len(items)] for x in sizes))]
             if not len(met):
                 continue
             at, q = met // len(items), met % len(items)
+            first = np.searchsorted(pairs, np.arange(len(c.opens) + 1) * n)  # columns of each passage
             cos = np.empty(len(met), np.float32)
             for i in range(0, len(met), 4096):
                 part, back = np.unique(at[i : i + 4096], return_inverse=True)
-                who, every = spread(c.start[part], c.start[part + 2])
-                z = np.add.reduceat(terms[c.term[every]], np.flatnonzero(np.diff(who, prepend=-1)))
+                who, every = spread(first[part], first[part + 1])
+                z = np.add.reduceat(terms[word[every]], np.flatnonzero(np.diff(who, prepend=-1)))
                 z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
                 cos[i : i + 4096] = np.einsum("ij,ij->i", z[back], queries[q[i : i + 4096]])
             ids, rows = b.column("doc_id").to_pylist(), []
-            for j in np.flatnonzero(cos >= COSINE).tolist():
+            for j in range(len(met)):
                 d = int(np.searchsorted(c.first, at[j], "right")) - 1
                 while not c.words[d]:
                     d -= 1

@@ -65,3 +65,11 @@ def test_the_sketch_is_that_of_the_whole_matrix(spark):
             rows.append(row)
     m = np.array(rows)
     assert n == len(m) and (seen == (m > 0).sum(0)).all() and np.allclose(y, m.T @ (m @ x), rtol=1e-3, atol=1e-2)
+
+
+def test_items_next_to_repeated_words(spark):
+    docs, items, leaks = setting(6)
+    other = max(items[7][1].split(), key=len)
+    more = [(1000 + i, " ".join([other] * 120 + t.split() + [other] * 120), 1) for i, t in items[:3]]
+    got = decontaminate.leaks(spark.createDataFrame([*docs, *more], "doc_id bigint, text string, k int"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(1000 + i, i) for i in range(3)} <= {(r.doc_id, r.item_id) for r in got}
