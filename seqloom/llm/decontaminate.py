@@ -1,6 +1,8 @@
 """Operator 5: benchmark decontamination by latent semantic retrieval.
 
-Passages are overlapping windows of every document, long enough that any benchmark item lies whole in one.
+Passages are overlapping windows of every document. Items are dealt into classes by length, a class for each
+power of two, and an item meets windows of two strides of its class, in one of which it lies whole; the
+sketch is taken over windows of the median item's class.
 Their TF-IDF matrix has a column for each benchmark term (terms of many items, which tell nothing apart, are
 left out). One pass over all documents gathers document frequencies and the sketch C'(C X) of the count
 matrix C with a random X, summed by Spark; scaled by the IDF and joined with the benchmark's own rows it
@@ -66,9 +68,10 @@ class Benchmark:
                 if count[x] <= most or k < LEAST:
                     columns.setdefault(x, len(columns))
         self.columns = columns
-        longest = max((len(w) for _, w in self.items), default=1)
-        self.stride = max(16, longest)
-        self.window = 2 * self.stride
+        self.lengths = np.array([len(w) for _, w in self.items], np.int64)
+        #: the stride of each item's class: the power of two that it fits in
+        self.strides = np.array([max(16, 1 << (len(w) - 1).bit_length()) for _, w in self.items], np.int64)
+        self.stride = int(np.sort(self.strides)[len(self.strides) // 2]) if self.items else 16
         #: the answer of each item: its last words that are columns
         self.answers = [[x for x in w if x in columns][-ANSWER:] for _, w in self.items]
         n = len(columns)
@@ -81,7 +84,6 @@ class Benchmark:
         for k, w in enumerate(self.answers):
             for x in w:
                 self.answer_counts[k, columns[x]] += 1
-        self.lengths = np.array([len(w) for _, w in self.items], np.float64)
 
 
 class Cells:
@@ -94,11 +96,17 @@ class Cells:
     def __init__(self, texts: list[str | None], columns: dict[bytes, int], stride: int):
         self.words = [terms_of(t) for t in texts]
         n = np.fromiter(map(len, self.words), np.int64, len(texts))
+        term = np.fromiter(map(columns.get, chain.from_iterable(self.words), repeat(-1)), np.int32, int(n.sum()))
+        self.at = np.flatnonzero(term >= 0)
+        self.term = term[self.at]
+        self.n = n
+        self.deal(stride)
+
+    def deal(self, stride: int) -> None:
+        """Blocks of another stride."""
+        n, at = self.n, self.at
         blocks = np.where(n > 0, np.maximum(2, -(-n // stride)), 0)
         self.first = np.cumsum(blocks) - blocks  # block of each document
-        term = np.fromiter(map(columns.get, chain.from_iterable(self.words), repeat(-1)), np.int32, int(n.sum()))
-        at = np.flatnonzero(term >= 0)
-        self.term = term[at]
         doc = np.repeat(np.arange(len(n)), n)[at]
         self.block = self.first[doc] + (at - (np.cumsum(n) - n)[doc]) // stride
         total = int(blocks.sum())
@@ -222,18 +230,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     queries = (bench.counts > 0).astype(np.float32) @ terms
     norm = np.linalg.norm(queries, axis=1, keepdims=True)
     queries = queries / np.maximum(norm, 1e-12)
-    # items of each term, one after another
-    term, item = np.nonzero((bench.counts > 0).T)
-    where = np.searchsorted(term, np.arange(len(bench.columns) + 1))
-    weights = bench.counts[item, term], bench.answer_counts[item, term]
     sizes = bench.counts.sum(1), bench.answer_counts.sum(1), bench.lengths
-    share = spark.sparkContext.broadcast((bench.columns, bench.stride, bench.items, bench.answers, terms, queries.astype(np.float32), item, where, weights, sizes))
+    # for each class: its stride, and the items of each term, one after another
+    classes = []
+    for stride in np.unique(bench.strides).tolist():
+        term, item = np.nonzero(((bench.counts > 0) & (bench.strides == stride)[:, None]).T)
+        where = np.searchsorted(term, np.arange(len(bench.columns) + 1))
+        classes.append((stride, item, where, (bench.counts[item, term], bench.answer_counts[item, term])))
+    share = spark.sparkContext.broadcast((bench.columns, bench.items, bench.answers, terms, queries.astype(np.float32), classes, sizes))
+
+    def dealt(batches, columns, classes):
+        for b in batches:
+            c = Cells(b.column("text").to_pylist(), columns, classes[0][0])
+            for one in classes:
+                c.deal(one[0])
+                yield b, c, one
 
     def run(batches):
-        columns, stride, items, answers, terms, queries, item, where, weights, sizes = share.value
-        n = len(where)
-        for b in batches:
-            c = Cells(b.column("text").to_pylist(), columns, stride)
+        columns, items, answers, terms, queries, classes, sizes = share.value
+        n = len(columns) + 1
+        for b, c, (stride, item, where, weights) in dealt(batches, columns, classes):
             pairs = c.pairs(n)
             word = pairs % n
             meet, k = spread(where[word], where[word + 1])

@@ -73,3 +73,13 @@ def test_items_next_to_repeated_words(spark):
     more = [(1000 + i, " ".join([other] * 120 + t.split() + [other] * 120), 1) for i, t in items[:3]]
     got = decontaminate.leaks(spark.createDataFrame([*docs, *more], "doc_id bigint, text string, k int"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {(1000 + i, i) for i in range(3)} <= {(r.doc_id, r.item_id) for r in got}
+
+
+def test_an_item_does_not_depend_on_longer_ones(spark):
+    docs, items, leaks = setting(8)
+    long = " ".join(w for _, t, _ in docs[1:5] for w in t.split())
+    d = spark.createDataFrame([*docs, (2000, "before " * 50 + long + " after" * 50, 1)], "doc_id bigint, text string, k int")
+    found = lambda b: {(r.doc_id, r.item_id): r.start for r in decontaminate.leaks(d, spark.createDataFrame(b, "item_id bigint, text string")).collect()}
+    alone, beside = found(items), found([*items, (900, long)])
+    assert set(alone) == leaks and (2000, 900) in beside
+    assert {k: v for k, v in beside.items() if k[1] != 900} == alone
