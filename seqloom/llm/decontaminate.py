@@ -1,7 +1,7 @@
 """Operator 5: benchmark decontamination by latent semantic retrieval.
 
 Passages are overlapping windows of every document. Items are dealt into classes by length, a class for each
-power of two, and an item meets windows of two strides of its class, in one of which it lies whole; the
+power of two, and an item meets windows of two strides of its class, in one of which its stretch lies whole; the
 sketch is taken over windows of the median item's class.
 Their TF-IDF matrix has a column for each benchmark term (terms of many items, which tell nothing apart, are
 left out). One pass over all documents gathers document frequencies and the sketch C'(C X) of the count
@@ -10,8 +10,9 @@ gives the leading right singular vectors (a one-pass randomised SVD of a positiv
 takes as candidates all pairs of a passage and an item that share SHARED columns, and so much of the item's
 columns and answer that a leak is possible at all, and checks them on their words: a leak has a longest common
 subsequence of DIRECT of the item, or of LOOSE of it if the item's answer (its last ANSWER words that are
-columns) is there too, within a stretch little longer than the item. Each leak is reported with its cosine in
-the latent space, of columns that occur or not (repeated words don't dilute it); no cosine decides.
+columns) is there too, within a stretch little longer than the item. Each leak is reported with its cosine, of
+columns that occur or not (repeated words don't dilute it): the larger of that in the latent space and that of
+the TF-IDF rows, as the latent space has at most RANK dimensions. No cosine decides.
 
 Words are runs of letters and digits in lower case.
 
@@ -69,8 +70,8 @@ class Benchmark:
                     columns.setdefault(x, len(columns))
         self.columns = columns
         self.lengths = np.array([len(w) for _, w in self.items], np.int64)
-        #: the stride of each item's class: the power of two that it fits in
-        self.strides = np.array([max(16, 1 << (len(w) - 1).bit_length()) for _, w in self.items], np.int64)
+        #: the stride of each item's class: the power of two that a stretch of it fits in
+        self.strides = np.array([max(16, 1 << int(STRETCH * len(w)).bit_length()) for _, w in self.items], np.int64)
         self.stride = int(np.sort(self.strides)[len(self.strides) // 2]) if self.items else 16
         #: the answer of each item: its last words that are columns
         self.answers = [[x for x in w if x in columns][-ANSWER:] for _, w in self.items]
@@ -237,7 +238,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         term, item = np.nonzero(((bench.counts > 0) & (bench.strides == stride)[:, None]).T)
         where = np.searchsorted(term, np.arange(len(bench.columns) + 1))
         classes.append((stride, item, where, (bench.counts[item, term], bench.answer_counts[item, term])))
-    share = spark.sparkContext.broadcast((bench.columns, bench.items, bench.answers, terms, queries.astype(np.float32), classes, sizes))
+    # own TF-IDF rows: squares of the items' norms, and of the columns' weights
+    squares = idf**2
+    lengths = (bench.counts > 0) @ squares
+    share = spark.sparkContext.broadcast((bench.columns, bench.items, bench.answers, terms, queries.astype(np.float32), classes, sizes, squares, lengths))
 
     def dealt(batches, columns, classes):
         for b in batches:
@@ -247,7 +251,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield b, c, one
 
     def run(batches):
-        columns, items, answers, terms, queries, classes, sizes = share.value
+        columns, items, answers, terms, queries, classes, sizes, squares, lengths = share.value
         n = len(columns) + 1
         for b, c, (stride, item, where, weights) in dealt(batches, columns, classes):
             pairs = c.pairs(n)
@@ -255,7 +259,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             meet, k = spread(where[word], where[word + 1])
             met, back, times = np.unique((pairs // n)[meet] * len(items) + item[k], return_inverse=True, return_counts=True)
             shared, said = (np.bincount(back, w[k], len(met)) for w in weights)
-            met = met[(times >= SHARED) & possible(shared, said, *(x[met % len(items)] for x in sizes))]
+            take = (times >= SHARED) & possible(shared, said, *(x[met % len(items)] for x in sizes))
+            common = np.bincount(back, squares[word[meet]], len(met))[take]
+            met = met[take]
             if not len(met):
                 continue
             at, q = met // len(items), met % len(items)
@@ -266,7 +272,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 who, every = spread(first[part], first[part + 1])
                 z = np.add.reduceat(terms[word[every]], np.flatnonzero(np.diff(who, prepend=-1)))
                 z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-                cos[i : i + 4096] = np.einsum("ij,ij->i", z[back], queries[q[i : i + 4096]])
+                latent = np.einsum("ij,ij->i", z[back], queries[q[i : i + 4096]])
+                whole = np.bincount(who, squares[word[every]], len(part))[back] * lengths[q[i : i + 4096]]
+                cos[i : i + 4096] = np.maximum(latent, common[i : i + 4096] / np.sqrt(np.maximum(whole, 1e-24)))
             ids, rows = b.column("doc_id").to_pylist(), []
             for j in range(len(met)):
                 d = int(np.searchsorted(c.first, at[j], "right")) - 1

@@ -83,3 +83,10 @@ def test_an_item_does_not_depend_on_longer_ones(spark):
     alone, beside = found(items), found([*items, (900, long)])
     assert set(alone) == leaks and (2000, 900) in beside
     assert {k: v for k, v in beside.items() if k[1] != 900} == alone
+
+
+def test_the_rank_cut_drops_no_item(spark, monkeypatch):
+    docs, items, leaks = setting(9)
+    monkeypatch.setattr(decontaminate, "RANK", 3)
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string, k int"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == leaks and all(0 < r.cosine <= 1.001 for r in got)
