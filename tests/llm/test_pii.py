@@ -67,3 +67,14 @@ def test_odd_rows(spark):
     assert got[1].text == "" and got[2].text == "no data here: 12, 3.4" and got[2].n_replaced == 0
     assert got[3].text == long.replace("8.8.8.8", got[4].text) and got[4].n_replaced == 1
     assert pii.pseudonymised(spark.createDataFrame([], "doc_id int, text string")).collect() == []
+
+
+def test_numbers_with_something_behind(spark):
+    got = run(spark, ["4111 1111 1111 1111 12/27", "4111111111111111 123", "4111111111111111", "ES9121000418450200051332 BIC", "BE68 5390 0754 7034 EUR", "BE68 5390 0754 7034 and BE68539007547034"])
+    card = got[2].text
+    assert card != "4111111111111111" and luhn(card)
+    assert got[0].text == " ".join(card[i : i + 4] for i in range(0, 16, 4)) + " 12/27" and got[1].text == card + " 123"
+    assert re.match(r"ES\d{22} BIC$", got[3].text) and "21000418450200051332" not in got[3].text
+    one, two = got[5].text.split(" and ")
+    assert got[4].text == one + " EUR" and one.replace(" ", "") == two != "BE68539007547034"
+    assert [got[i].kinds for i in range(6)] == [["card"]] * 3 + [["iban"]] * 2 + [["iban"] * 2]
