@@ -92,8 +92,9 @@ def first_graph(nodes: DataFrame, dim: int, seed: int) -> DataFrame:
             yield out
 
     spark = nodes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = cut(nodes.select("node", "v").mapInArrow(place, "node bigint, v array<float>, pivot int, near double"))
+    # a partition holds blocks, whatever the number of shuffle partitions
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), placed.count() // (4 * BLOCK)))
     return placed.repartitionByRange(parts, "pivot", "near").sortWithinPartitions("pivot", "near").select("node", "v").mapInArrow(join, "node bigint, nbr bigint, d double")
 
 
@@ -181,7 +182,7 @@ def walk(nodes: DataFrame, graph: DataFrame, queries: DataFrame, dim: int) -> Da
     at, ids = np.array([r.v for r in sample], np.float32).reshape(-1, dim), np.array([r.node for r in sample], np.int64)
 
     def enter(batches):
-        k = min(STARTS, len(ids))
+        k = min(STARTS, len(ids)) if len(ids) == ENTRIES else len(ids)  # fewer: the sample is all there is
         for b in batches:
             d = squares(matrix(b.column("q"), dim), at)
             near = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(d), 0), int)

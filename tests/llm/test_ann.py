@@ -64,3 +64,15 @@ def test_bigger_batches_than_a_group(spark, monkeypatch):
     rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(500)]
     want, got = exact(rows), found(spark, rows)
     assert sum(len({j for _, j in want[q]} & {j for _, j in got[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_fewer_vectors_than_shuffle_partitions(spark):
+    rng = random.Random(4)
+    rows = [(10 * i, [rng.random() for _ in range(4)]) for i in range(24)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "25")
+    try:
+        got = found(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {q: [j for _, j in v] for q, v in got.items()} == {q: [j for _, j in v] for q, v in exact(rows).items()}
