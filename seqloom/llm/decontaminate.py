@@ -289,5 +289,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "start", "cosine", "lcs", "answer"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, schema)
-    best = F.max_by(F.struct("start", "cosine", "lcs", "answer"), F.struct("lcs", "cosine", -F.col("start")))
+    best = F.max_by(F.struct("start", "cosine", "lcs", "answer"), F.struct("lcs", "answer", -F.col("start")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
