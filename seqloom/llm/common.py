@@ -5,8 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
@@ -27,6 +29,18 @@ def ready(spark: SparkSession, rows_per_batch: int = 400) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
 
 
+def together(batches: Iterable[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold about size bytes: what a batch repeats is then worked on once."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder in the one that driver and executors share; one of our own only if none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -20,13 +20,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .bpe import Splitter, _on
-from .common import cut, drop, ready, shared_dir
+from .bpe import _on
+from .common import cut, drop, ready, shared_dir, together
+from .pieces import Pieces
 
 LIMIT, LANE, BLOCK, FILE_IDS = 20, 512, 1 << 16, 1 << 22
 MAGIC = b"SLHF0001"
@@ -187,47 +189,69 @@ def read_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 class Encoder:
     """The library's ids of whole texts.
 
-    The library splits by its pattern before it merges, so a text's ids are those of its pieces in turn;
-    pieces seen before are remembered. Texts with the string of an added token go to the library whole.
+    The library splits a text before it merges, so a text's ids are those of its pieces in turn: the library's
+    own model encodes each piece once, and what it gave is remembered. How code points split is learnt from
+    the library too. Texts with the string of an added token, and all texts if the file asks for more than this
+    (a normaliser, another way to split), go to the library whole. Some text of each batch goes there
+    as well, and an error is raised if the ids differ.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, bound: int = 600_000):
+        import json
         import os
 
-        import re
-
-        import public_tokenizers
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.odd = re.compile(r"[\x1c-\x1f\x85᠎﻿]").search  # engines differ on which of these are white space
-        self.splitter = Splitter(public_tokenizers.PATTERN, lambda piece: self.library.encode(piece, add_special_tokens=False).ids, self.learn, chunks=500_000)
-
-        n = self.library.get_vocab_size()
-        space = self.library.id_to_token(self.library.encode(" ", add_special_tokens=False).ids[0])
-        self.starts = np.array([(self.library.id_to_token(i) or "").startswith(space) for i in range(n)])
-
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks with a space before: many in one text, told apart by their spaces."""
-        out = {}
-        for i in range(0, len(chunks), 4096):
-            lines = [chunks[j : j + 128] for j in range(i, min(i + 4096, len(chunks)), 128)]
-            for line, e in zip(lines, self.library.encode_batch_fast([" " + " ".join(x) for x in lines], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                at = np.flatnonzero(self.starts[ids])
-                if len(at) == len(line) and at[0] == 0:
-                    raw, at = ids.tobytes(), (4 * at).tolist()
-                    out.update((c, raw[a:b]) for c, a, b in zip(line, at, [*at[1:], len(raw)], strict=True))
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        texts = [t or "" for t in texts]
-        alone = [bool(self.odd(t)) or any(a in t for a in self.added) for t in texts]
-        usual = iter(self.splitter.many([t for t, a in zip(texts, alone, strict=True) if not a]))
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") if a else np.frombuffer(next(usual), "<u4") for t, a in zip(texts, alone, strict=True)]
+        with open(path, encoding="utf-8") as f:
+            how = json.load(f)
+        first = how.get("pre_tokenizer") or {}
+        self.usual = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not how.get("normalizer") and not how.get("truncation")
+        if not self.usual:
+            return
+        cut = self.library.pre_tokenizer.pre_tokenize_str
+        written = {}  # how the model writes each byte
+        for c in map(chr, (*range(0x80), *range(0x80, 0x800, 0x40), *range(0x80, 0xC0), *range(0x800, 0x10000, 0x800), *range(0x10000, 0x110000, 0x8000))):
+            if not 0xD800 <= ord(c) < 0xE000:
+                written.update(zip(c.encode(), "".join(x for x, _ in cut(c)), strict=True))
+        written, tokenize = {chr(b): c for b, c in written.items()}, self.library.model.tokenize
+        table = str.maketrans(written)
+
+        def learn(pieces: list[str]) -> list[list[int]]:
+            return [[t.id for t in tokenize(p.encode().decode("latin-1").translate(table))] for p in pieces]
+
+        self.pieces = Pieces(lambda text: [x for x, _ in cut(text)], learn, bound=bound)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), one after another, and where those of each begin and the last ends."""
+        texts = texts.fill_null("")
+        alone = np.full(len(texts), not self.usual)
+        for a in self.added:
+            alone |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        if not alone.any():
+            ids, at = self.pieces.encode(texts)
+            self.check(texts, ids, at)
+            return ids, at
+        some = iter(()) if alone.all() else iter(np.split(*self.parts(texts.filter(pa.array(~alone)))))
+        each = [self.whole(t.as_py()) if a else next(some) for t, a in zip(texts, alone, strict=True)]
+        return np.concatenate(each), np.cumsum([0, *map(len, each)])
+
+    def parts(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        ids, at = self.pieces.encode(texts)
+        return ids, at[1:-1]
+
+    def check(self, texts: pa.StringArray, ids: np.ndarray, at: np.ndarray) -> None:
+        """The shortest text that has ten ids or more, against the library."""
+        n = np.diff(at)
+        if (n >= 10).any():
+            i = int(np.where(n >= 10, n, n.max() + 1).argmin())
+            if not np.array_equal(self.whole(texts[i].as_py()), ids[at[i] : at[i + 1]]):
+                raise ValueError("the pieces' ids are not the library's ids of the whole text")
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -245,10 +269,13 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
 
     def run(batches):
         enc = encoder(path)
-        wide = "<u2" if enc.library.get_vocab_size() <= 1 << 16 else "<u4"
-        for b in batches:
-            ids = [np.append(x, end_id).astype(wide) for x in enc.encode(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
+        wide = np.dtype("<u2" if enc.library.get_vocab_size() <= 1 << 16 else "<u4")
+        for b in together(batches):
+            ids, at = enc.encode(b.column("text"))
+            ids = np.insert(ids.astype(wide), at[1:], end_id)
+            at = at + np.arange(len(at))
+            raw = pa.BinaryArray.from_buffers(pa.binary(), len(b), [None, pa.py_buffer((at * wide.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at), pa.int64()), raw], names=["doc_id", "n", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, ids binary")
 

@@ -3,6 +3,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
@@ -47,8 +49,28 @@ def test_encoder_gives_the_librarys_ids():
     enc, lib, rng = huffman.Encoder(PATH), Tokenizer.from_file(PATH), random.Random(4)
     parts = ["a", " ", "  ", "\n", "é", "中", "😀", "'s", "<|endoftext|>", "the", "ing", "\x1c", "\x85", "᠎", "1", "Ⅷ", "\t", "\xa0", "…", " "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
-    for t, ids in zip(texts, enc.encode(texts), strict=True):
-        assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    for some in (texts, [t.replace("<|endoftext|>", "'re'") for t in texts], [" ", "", "a  b", "a\n 'll's 'vex"]):
+        ids, at = enc.encode(pa.array(some))
+        for i, t in enumerate(some):
+            assert ids[at[i] : at[i + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
+def test_every_code_point_splits_as_in_the_library():
+    """Each of the first three planes beside a letter, a number, a blank and itself."""
+    enc, lib = huffman.Encoder(PATH), Tokenizer.from_file(PATH)
+    points = [chr(c) for c in [*range(0x3000), *range(0xA000, 0xD800, 7), *range(0xF900, 0x11000), *range(0x1D000, 0x20000, 5), 0x2FFFF, 0x10FFFF]]
+    points = [c for c in points if not 0xD800 <= ord(c) < 0xE000]
+    texts = ["".join(f"a{c}1{c} {c}{c}!{c}  {c}" for c in points[i : i + 50]) for i in range(0, len(points), 50)]
+    ids, at = enc.encode(pa.array(texts))
+    for i, e in enumerate(lib.encode_batch(texts, add_special_tokens=False)):
+        assert ids[at[i] : at[i + 1]].tolist() == e.ids
+
+
+def test_a_wrong_table_is_noticed():
+    enc = huffman.Encoder(PATH)
+    enc.pieces.kinds[ord("x")] = 2
+    with pytest.raises(ValueError, match="library"):
+        enc.encode(pa.array(["axaxax bxb cxc xx axaxax"]))
 
 
 def test_round_trip_with_odd_rows(spark, monkeypatch):
