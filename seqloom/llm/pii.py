@@ -3,26 +3,42 @@
 Numbers and dates that pass their own validation (Luhn for cards, ISO 7064 for IBANs, ranges for IPv4
 addresses, social security numbers, North American telephone numbers and calendar dates) are permuted within
 the set of valid values of their format by a keyed Feistel network, so the same value has the same
-pseudonym in every document and no two values share one. A network whose domain is a little larger than the
-format walks on until it lands in the format. An IBAN has the length of its country; of digits in groups
-that are no card as a whole, the longest valid card they begin with is taken (what follows it in the same run
-of up to 19 digits is not scanned again). Names of mail boxes, access keys and quoted secrets have no
-validation; mail addresses and secrets become keyed digests of their own kind, access keys are permuted as
-two halves in base 36. What fails its validation stays as it is.
+pseudonym in every document and no two values of a format share one. The network's domain is the format's
+own set; only dates whose written form holds fewer days than the calendar (one digit for the month or day, or
+a day that must exceed 12 to be told from a month) walk on until a day fits the form, and a walk that has not
+ended after WALK steps (never seen; below 1e-26) is an error, not a result. An IBAN has the length of its
+country; of digits in groups that are no card as a whole, the longest valid card they begin with is taken (what
+follows it in the same run of up to 19 digits is not scanned again). Mail addresses (in lower case, all but the
+last label) and quoted secrets have no validation: their characters are permuted, whatever their number, each
+within its class (digit, small letter, capital), by a Feistel network over the two halves; access keys as two
+halves in base 36. What fails its validation stays as it is.
+
+The key comes from the session (KEY_NAME). Where none is set, one is drawn for the application, so that
+pseudonyms can't be reversed by who knows this code; they are then linked within that application alone.
 
 Defined results: a null text stays null and an empty one empty, with no replacements; repeated rows are
 treated alike; other columns are kept, but for those named kinds and n_replaced, which are replaced; an
-empty table gives no rows.
+empty table gives no rows; dates before 1900 and after the first day of 2100 stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROUNDS, WALK = 8, 24
-#: The key is a parameter of every function that needs it; production passes its own.
-KEY = "seqloom"
+ROUNDS, WALK = 8, 256
+#: Where the session holds the key.
+KEY_NAME = "spark.seqloom.pii.key"
+_DRAWN: dict[str, str] = {}
+
+
+def key_of(spark: SparkSession) -> str:
+    """The session's key, or one drawn for this application."""
+    own = spark.conf.get(KEY_NAME, None)
+    return own or _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
 
 #: Length of an IBAN: countries.
 IBAN = {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}
@@ -61,15 +77,37 @@ def feistel(left: Column, right: Column, a: Column | int, b: Column | int, key:
     )
 
 
-def permuted(value: Column, size: int, a: int, b: int, key: str, tweak: str) -> Column:
-    """A keyed permutation of 0 .. size - 1; a * b is at least size, and walks beyond it go on."""
+def permuted(value: Column, a: int, b: int, key: str, tweak: str, fits=None, steps: Column | int = WALK) -> Column:
+    """A keyed permutation of 0 .. a * b - 1; with fits, of the values that fit (value does), by walking on to the next that does."""
 
     def once(v: Column) -> Column:
         return F.element_at(F.transform(F.array(feistel(F.floor(v / F.lit(b)).cast("bigint"), v % F.lit(b).cast("bigint"), a, b, key, tweak)), lambda s: s["l"] * F.lit(b).cast("bigint") + s["r"]), 1)
 
-    if a * b == size:
+    if fits is None:
         return once(value.cast("bigint"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), value.cast("bigint"), lambda v, i: F.when((i == 1) | (v >= size), once(v)).otherwise(v))
+    steps = steps if isinstance(steps, Column) else F.lit(steps)
+    end = F.aggregate(F.sequence(F.lit(1), steps), value.cast("bigint"), lambda v, i: F.when((i == 1) | ~fits(v), once(v)).otherwise(v))
+    return F.element_at(F.transform(F.array(end), lambda v: F.when(fits(v), v).otherwise(F.raise_error(F.lit("a walk left its format")).cast("bigint"))), 1)
+
+
+def permuted_text(x: Column, key: str, tweak: str) -> Column:
+    """A keyed permutation of the strings with the same class of character at each place: digits, small letters, capitals; others stay."""
+    at = F.transform(F.split(x, ""), lambda c: F.ascii(c))
+    half = F.floor(F.char_length(x) / 2).cast("int")
+
+    def moved(c: Column, by: Column) -> Column:
+        of = lambda low, n: (c - low + by) % n + low
+        return F.when(c.between(48, 57), of(48, 10)).when(c.between(97, 122), of(97, 26)).when(c.between(65, 90), of(65, 26)).otherwise(c).cast("int")
+
+    def side(one: Column, other: Column, i: Column) -> Column:
+        seed = _digest(key, tweak, F.concat_ws(":", i, F.array_join(other.cast("array<string>"), ",")))
+        by = lambda h, j: F.conv(F.substr(F.sha2(F.concat_ws(":", h, j), 256), F.lit(1), F.lit(13)), 16, 10).cast("bigint")
+        return F.element_at(F.transform(F.array(seed), lambda h: F.transform(one, lambda c, j: moved(c, by(h, j)))), 1)
+
+    pair = lambda l, r: F.struct(l.alias("l"), r.alias("r"))
+    start = F.element_at(F.transform(F.array(at), lambda c: pair(F.slice(c, F.lit(1), half), F.slice(c, half + 1, F.char_length(x)))), 1)
+    end = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, lambda s, i: F.when(i % 2 == 0, pair(side(s["l"], s["r"], i), s["r"])).otherwise(pair(s["l"], side(s["r"], s["l"], i))))
+    return F.element_at(F.transform(F.array(end), lambda s: F.array_join(F.transform(F.concat(s["l"], s["r"]), lambda c: F.char(c)), "")), 1)
 
 
 def digits_of(x: Column) -> Column:
@@ -148,36 +186,45 @@ def _ip(x: Column, key: str) -> Column:
     return F.when((o[0] < 256) & (o[1] < 256) & (o[2] < 256) & (o[3] < 256), new)
 
 
-#: Days from the first of 1900 to the last of 2099.
-DAYS, FIRST_DAY = 73049, "1900-01-01"
+#: Days from the first of 1900 to the first of 2100: 487 * 150.
+DAYS, FIRST_DAY = 73050, "1900-01-01"
 
 
 def _date(x: Column, key: str) -> Column:
+    """Permuted among the days that the same written form can hold: same order, separator and widths."""
     p = F.split(x, "[-/.]")
     year_first = F.char_length(F.get(p, 0)) == 4
-    mid, last = F.get(p, 1), F.get(p, 2)
-    # day and month: with dots the day comes first, else the month, unless it can't be one
-    day_first = x.contains(".") | (F.get(p, 0).cast("int") > 12)
-    year = F.when(year_first, F.get(p, 0)).otherwise(last)
-    month = F.when(year_first, mid).when(day_first, mid).otherwise(F.get(p, 0))
-    day = F.when(year_first, last).when(day_first, F.get(p, 0)).otherwise(mid)
-    iso = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    n = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
-    new = lambda v: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), v.cast("int")), "yyyyMMdd")
-    sep = F.regexp_extract(x, "[-/.]", 0)
+    one, two = F.when(year_first, F.get(p, 1)).otherwise(F.get(p, 0)), F.when(year_first, F.get(p, 2)).otherwise(F.get(p, 1))
+    year = F.when(year_first, F.get(p, 0)).otherwise(F.get(p, 2))
+    # with dots the day comes first, else the month, unless it can't be one
+    dotted = ~year_first & x.contains(".")
+    too_large = ~year_first & ~dotted & (one.cast("int") > 12)
+    day_first = dotted | too_large
+    month, day = F.when(day_first, two).otherwise(one), F.when(day_first, one).otherwise(two)
+    first = F.lit(FIRST_DAY).cast("date")
+    n = F.datediff(F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"), first)
+    short = lambda c: F.char_length(c) == 1
+
+    def fits(v: Column) -> Column:
+        at = F.date_add(first, v.cast("int"))
+        return (~short(month) | (F.month(at) < 10)) & (~short(day) | (F.dayofmonth(at) < 10)) & (~too_large | (F.dayofmonth(at) > 12))
 
     def shaped(v: Column) -> Column:
-        y, m, d = F.substr(v, F.lit(1), F.lit(4)), F.substr(v, F.lit(5), F.lit(2)), F.substr(v, F.lit(7), F.lit(2))
-        return F.when(year_first, F.concat_ws(".", y, m, d)).when(x.contains("."), F.concat_ws(".", d, m, y)).when(day_first, F.concat_ws(".", d, m, y)).otherwise(F.concat_ws(".", m, d, y))
-
-    moved = F.element_at(F.transform(F.array(permuted(n, DAYS, 271, 270, key, "date")), lambda v: F.replace(shaped(new(v)), F.lit("."), sep)), 1)
+        at = F.date_add(first, v.cast("int"))
+        m, d = (F.when(short(c), f(at).cast("string")).otherwise(F.lpad(f(at).cast("string"), 2, "0")) for c, f in ((month, F.month), (day, F.dayofmonth)))
+        sep = F.regexp_extract(x, "[-/.]", 0)
+        y = F.year(at).cast("string")
+        return F.when(year_first, F.concat(y, sep, m, sep, d)).when(day_first, F.concat(d, sep, m, sep, y)).otherwise(F.concat(m, sep, d, sep, y))
+
+    steps = F.when(short(month) | short(day) | too_large, F.lit(WALK)).otherwise(F.lit(1))
+    moved = F.element_at(F.transform(F.array(permuted(n, 487, 150, key, "date", fits, steps)), shaped), 1)
     return F.when(n.between(0, DAYS - 1), moved)
 
 
 def _ssn(x: Column, key: str) -> Column:
     a, g, s = (F.get(F.split(x, "-"), k).cast("bigint") for k in range(3))
     area = F.when(a > 666, a - 2).otherwise(a - 1)
-    v = permuted((area * 99 + g - 1) * 9999 + s - 1, 898 * 99 * 9999, 29815, 29816, key, "ssn")
+    v = permuted((area * 99 + g - 1) * 9999 + s - 1, 898 * 99, 9999, key, "ssn")
 
     def shaped(v: Column) -> Column:
         k = F.floor(v / (99 * 9999)).cast("int")
@@ -193,7 +240,7 @@ def _phone(x: Column, key: str) -> Column:
     ten = F.substring(d, -10, 10)
     part = lambda i, n: F.substr(ten, F.lit(i), F.lit(n)).cast("bigint")
     value = (part(1, 3) - 200) * 8_000_000 + (part(4, 3) - 200) * 10_000 + part(7, 4)
-    v = permuted(value, 6_400_000_000, 80_000, 80_000, key, "phone")
+    v = permuted(value, 80_000, 80_000, key, "phone")
     shaped = lambda v: F.concat(F.when(F.char_length(d) == 11, F.substr(d, F.lit(1), F.lit(1))).otherwise(F.lit("")), (F.floor(v / 8_000_000) + 200).cast("string"), (F.floor(v / 10_000) % 800 + 200).cast("string"), F.lpad((v % 10_000).cast("string"), 4, "0"))
     us = F.when((part(1, 3) >= 200) & (part(4, 3) >= 200), F.element_at(F.transform(F.array(v), lambda v: refilled(x, shaped(v))), 1))
     n = F.char_length(d)
@@ -202,7 +249,9 @@ def _phone(x: Column, key: str) -> Column:
 
 
 def _email(x: Column, key: str) -> Column:
-    return F.concat(F.lit("u"), F.substr(_digest(key, "email", F.lower(x)), F.lit(1), F.lit(16)), F.lit("@example.invalid"))
+    low = F.lower(x)
+    last = F.regexp_extract(low, r"\.[^.]*$", 0)
+    return F.concat(permuted_text(F.substr(low, F.lit(1), F.char_length(low) - F.char_length(last)), key, "email"), last)
 
 
 def _key(x: Column, key: str) -> Column:
@@ -216,9 +265,7 @@ def _secret(x: Column, key: str) -> Column:
     label = F.regexp_extract(x, r"^[^=:]*[=:]\s*[\"']?", 0)
     value = F.regexp_replace(F.substr(x, F.char_length(label) + 1), "[\"']$", "")
     end = F.regexp_extract(x, "[\"']$", 0)
-    stream = F.concat(*[_digest(key, f"secret{k}", value) for k in range(2)])
-    n = F.least(F.char_length(value), F.lit(128))
-    return F.concat(label, F.substr(stream, F.lit(1), n), end)
+    return F.concat(label, permuted_text(value, key, "secret"), end)
 
 
 MAKERS = {"email": _email, "key": _key, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
@@ -242,7 +289,7 @@ def _kind(x: Column) -> Column:
     return found
 
 
-def replacement(found: Column, key: str = KEY) -> Column:
+def replacement(found: Column, key: str) -> Column:
     """struct<kind, text>: the pseudonym of a match, or kind null and the match itself if it isn't valid."""
     kind = F.transform(F.array(found), lambda x: F.struct(x.alias("x"), _kind(x).alias("k")))
 
@@ -256,8 +303,9 @@ def replacement(found: Column, key: str = KEY) -> Column:
     return F.element_at(F.transform(new, lambda s: F.struct(F.when(s["new"].isNotNull(), s["k"]).alias("kind"), F.coalesce(s["new"], s["x"]).alias("text"))), 1)
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with its text replaced, and kinds (one for each replacement, in order) and n_replaced."""
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """docs with its text replaced, and kinds (one for each replacement, in order) and n_replaced; the session's key unless another is given."""
+    key = key or key_of(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("kinds", "n_replaced")]
     every = _combined()
     some = F.col("text").rlike("[0-9@=:]")

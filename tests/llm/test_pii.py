@@ -1,5 +1,7 @@
+import hashlib
+import random
 import re
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -46,17 +48,18 @@ def test_formats_stay_valid_and_values_stay_linked(spark):
     iban = re.match(r"iban (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) bad DE88 3704 0044 0532 0130 00$", t[7])[1].replace(" ", "")
     assert iban != "DE89370400440532013000" and int(iban[4:] + "1314" + iban[2:4]) % 97 == 1
     m = re.match(r"mail (\S+) and (\S+)\.$", t[8])
-    assert m[1] == m[2] and m[1].endswith("@example.invalid")
-    assert re.match(r'AKIA[0-9A-Z]{16} and token = "[0-9a-f]{22}" password=[0-9a-f]{14}$', t[9]) and "IOSFODNN7EXAMPLE" not in t[9]
+    assert m[1] == m[2] != "ann.lee@example.com" and re.match(r"[a-z]{3}\.[a-z]{3}@[a-z]{7}\.com$", m[1])
+    assert re.match(r'AKIA[0-9A-Z]{16} and token = "[a-z]{6}\d{10}[a-z]{6}" password=[a-z]{6}\d[a-z]{6}\d$', t[9]) and "IOSFODNN7EXAMPLE" not in t[9] and "hunter2" not in t[9]
     assert got[1].kinds == ["card"] and got[9].kinds == ["key", "secret", "secret"]
 
 
 def test_the_network_is_a_permutation(spark):
-    df = spark.range(1000).select(F.col("id"), pii.permuted(F.col("id"), 1000, 33, 31, "k", "t").alias("p"), pii.permuted_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("d"))
+    df = spark.range(1000).select(F.col("id"), pii.permuted(F.col("id"), 25, 40, "k", "t").alias("p"), pii.permuted(F.col("id"), 25, 40, "k", "t", lambda v: v % 7 < 3).alias("some"), pii.permuted_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("d"))
     rows = df.collect()
     assert {r.p for r in rows} == set(range(1000)) and {r.d for r in rows} == {f"{i:03d}" for i in range(1000)}
+    assert {r.some for r in rows if r.id % 7 < 3} == {i for i in range(1000) if i % 7 < 3}
     assert sum(r.p == r.id for r in rows) < 10
-    other = spark.range(1000).select(pii.permuted(F.col("id"), 1000, 33, 31, "other", "t").alias("p")).collect()
+    other = spark.range(1000).select(pii.permuted(F.col("id"), 25, 40, "other", "t").alias("p")).collect()
     assert [r.p for r in other] != [r.p for r in rows]
 
 
@@ -78,3 +81,192 @@ def test_numbers_with_something_behind(spark):
     one, two = got[5].text.split(" and ")
     assert got[4].text == one + " EUR" and one.replace(" ", "") == two != "BE68539007547034"
     assert [got[i].kinds for i in range(6)] == [["card"]] * 3 + [["iban"]] * 2 + [["iban"] * 2]
+
+
+def test_each_written_form_of_a_date_is_permuted_in_itself(spark):
+    days = [date(1990, 1, 1) + timedelta(i) for i in range(0, 4000, 3)]
+    forms = {"%Y-%m-%d": r"\d{4}-\d\d-\d\d", "%m/%d/%Y": r"\d\d/\d\d/\d{4}", "%d.%m.%Y": r"\d\d\.\d\d\.\d{4}", "%d/%m/%Y": r"\d\d/\d\d/\d{4}", "short": r"\d/\d/\d{4}", "half": r"\d/\d\d/\d{4}"}
+    for form, looks in forms.items():
+        some = [d for d in days if (form != "%d/%m/%Y" or d.day > 12) and (form != "short" or d.day < 10) and (form not in ("short", "half") or d.month < 10) and (form != "half" or d.day > 9)]
+        texts = [f"{d.month}/{d.day}/{d.year}" if form in ("short", "half") else d.strftime(form) for d in some]
+        got = [r.text for _, r in sorted(run(spark, texts).items())]
+        assert len(set(got)) == len(got) == len(texts) and all(re.fullmatch(looks, x) for x in got), form
+        if form == "%d/%m/%Y":
+            assert all(int(x[:2]) > 12 for x in got)
+
+
+def test_secrets_and_mail_keep_their_length_and_never_meet(spark):
+    rng = random.Random(1)
+    draw = lambda n: "".join(rng.choice("ABCxyz019_") for _ in range(n))
+    values = list({draw(8) for _ in range(1500)}) + [draw(400), draw(30_000)]
+    got = [r.text for _, r in sorted(run(spark, [f"password: {v} and token='{v}' {v.strip('_') or 'a'}@d-x.co.uk" for v in values]).items())]
+    new = [re.match(r"password: (\S+) and token='(\S+)' (\S+)@(\S+)$", x).groups() for x in got]
+    kind = lambda v: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", v)))
+    assert all(a == b and kind(a) == kind(v) and d.endswith(".uk") and len(d) == 9 for v, (a, b, _, d) in zip(values, new, strict=True))
+    assert len({x[0] for x in new}) == len(values) and sum(x[0] == v for v, x in zip(values, new, strict=True)) <= 1
+
+
+# --- the same by plain Python: a model of the whole operator
+
+
+def number(key, tweak, *x):
+    return int(hashlib.sha256(f"{key}|{tweak}|{':'.join(map(str, x))}".encode()).hexdigest()[:13], 16)
+
+
+def network(l, r, a, b, key, tweak):  # noqa: E741
+    for i in range(8):
+        if i % 2 == 0:
+            l = (l + number(key, tweak, i, r)) % a  # noqa: E741
+        else:
+            r = (r + number(key, tweak, i, l)) % b
+    return l, r
+
+
+def once(v, a, b, key, tweak):
+    l, r = network(v // b, v % b, a, b, key, tweak)
+    return l * b + r
+
+
+def digits(d, key, tweak):
+    h = (len(d) + 1) // 2
+    l, r = network(int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h), key, tweak)
+    return f"{l:0{h}d}{r:0{len(d) - h}d}"
+
+
+def filled(shape, d):
+    it = iter(d)
+    return "".join(next(it) if c in "0123456789" else c for c in shape)
+
+
+def letters(x, key, tweak):
+    c = [ord(k) for k in x]
+    l, r = c[: len(c) // 2], c[len(c) // 2 :]
+
+    def moved(one, other, i):
+        h, out = hashlib.sha256(f"{key}|{tweak}|{i}:{','.join(map(str, other))}".encode()).hexdigest(), []
+        for j, k in enumerate(one):
+            by = int(hashlib.sha256(f"{h}:{j}".encode()).hexdigest()[:13], 16)
+            out.append(next(((k - low + by) % n + low for low, n in ((48, 10), (97, 26), (65, 26)) if low <= k < low + n), k))
+        return out
+
+    for i in range(8):
+        l, r = (moved(l, r, i), r) if i % 2 == 0 else (l, moved(r, l, i))
+    return "".join(map(chr, l + r))
+
+
+def iban_rest(s):
+    return int("".join(str(int(c, 36)) for c in s)) % 97
+
+
+def model(kind, x, key):
+    d = re.sub(r"[^0-9]", "", x)
+    if kind == "email":
+        body, _, last = x.lower().rpartition(".")
+        return letters(body, key, "email") + "." + last
+    if kind == "secret":
+        label = re.match(r"[^=:]*[=:]\s*[\"']?", x)[0]
+        value = re.sub(r"[\"']$", "", x[len(label) :])
+        return label + letters(value, key, "secret") + x[len(label) + len(value) :]
+    if kind == "key":
+        l, r = network(int(x[4:12], 36), int(x[12:], 36), 36**8, 36**8, key, "key")
+        write = lambda v: "".join("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[v // 36**i % 36] for i in range(7, -1, -1))
+        return x[:4] + write(l) + write(r)
+    if kind == "ip":
+        o = [int(k) for k in x.split(".")]
+        if max(o) > 255:
+            return None
+        l, r = network(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
+        return f"{l // 256}.{l % 256}.{r // 256}.{r % 256}"
+    if kind == "ssn":
+        a, g, s = (int(k) for k in x.split("-"))
+        if not (1 <= a <= 899 and a != 666 and g and s):
+            return None
+        v = once(((a - 2 if a > 666 else a - 1) * 99 + g - 1) * 9999 + s - 1, 898 * 99, 9999, key, "ssn")
+        k = v // (99 * 9999)
+        return f"{k + 2 if k >= 665 else k + 1:03d}-{v // 9999 % 99 + 1:02d}-{v % 9999 + 1:04d}"
+    if kind == "card":
+        for i in range(len(x), 12, -1):
+            h = re.sub(r"[^0-9]", "", x[:i])
+            if x[i - 1].isdigit() and (i == len(x) or x[i] in " -") and 13 <= len(h) <= 19 and luhn(h) and len(set(h)) > 1:
+                body = h[0] + digits(h[1:-1], key, "card")
+                return filled(x[:i], body + next(c for c in "0123456789" if luhn(body + c))) + x[i:]
+        return None
+    if kind == "iban":
+        s = x.replace(" ", "")
+        if not (15 <= len(s) <= 34 and iban_rest(s[4:] + s[:4]) == 1):
+            return None
+        own = re.sub(r"[^0-9]", "", s[4:])
+        body = filled(s[4:], digits(own, key, "iban")) if len(own) > 1 else s[4:]
+        return filled(x, f"{98 - iban_rest(body + s[:2] + '00'):02d}" + re.sub(r"[^0-9]", "", body))
+    if kind == "phone":
+        if not x.startswith("+") or (x.startswith("+1") and len(d) == 11):
+            t = d[-10:]
+            if t[0] < "2" or t[3] < "2":
+                return None
+            v = once((int(t[:3]) - 200) * 8_000_000 + (int(t[3:6]) - 200) * 10_000 + int(t[6:]), 80_000, 80_000, key, "phone")
+            return filled(x, (d[0] if len(d) == 11 else "") + f"{v // 8_000_000 + 200}{v // 10_000 % 800 + 200}{v % 10_000:04d}")
+        return filled(x, d[:2] + digits(d[2:], key, "phone")) if 8 <= len(d) <= 15 else None
+    p = re.split("[-/.]", x)
+    sep, iso = re.search("[-/.]", x)[0], len(p[0]) == 4
+    y, one, two = p if iso else (p[2], p[0], p[1])
+    dotted = not iso and sep == "."
+    large = not iso and not dotted and int(one) > 12
+    m, day = (two, one) if dotted or large else (one, two)
+    try:
+        n = (date(int(y), int(m), int(day)) - date(1900, 1, 1)).days
+    except ValueError:
+        return None
+    if not 0 <= n < 73050:
+        return None
+    while True:
+        n = once(n, 487, 150, key, "date")
+        at = date(1900, 1, 1) + timedelta(n)
+        if (len(m) == 2 or at.month < 10) and (len(day) == 2 or at.day < 10) and (not large or at.day > 12):
+            break
+    mm, dd = f"{at.month:0{len(m)}d}", f"{at.day:0{len(day)}d}"
+    return sep.join([str(at.year), mm, dd] if iso else [dd, mm, str(at.year)] if dotted or large else [mm, dd, str(at.year)])
+
+
+def modelled(text, key):
+    if text is None:
+        return None, []
+    names, out, kinds, at = list(pii.PATTERNS), [], [], 0
+    for m in re.finditer(pii._combined(), text):
+        kind = next(k for k in names if re.fullmatch(pii.PATTERNS[k], m[0]))
+        new = model(kind, m[0], key)
+        kinds += [kind] * (new is not None)
+        out += [text[at : m.start()], m[0] if new is None else new]
+        at = m.end()
+    return "".join(out) + text[at:], kinds
+
+
+def test_whole_texts_as_by_the_model(spark):
+    rng = random.Random(12)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def some():
+        c = num(15)
+        c += next(x for x in "0123456789" if luhn(c + x))
+        b = num(18)
+        return rng.choice([
+            f"{num(3)}-{num(2)}-{num(4)}", f"{rng.randint(0, 300)}.{rng.randint(0, 255)}.1.{num(2)}", f"{rng.randint(1, 31)}/{rng.randint(1, 12)}/{rng.randint(1890, 2101)}", f"{rng.randint(1, 12):02d}-{rng.randint(1, 31):02d}-19{num(2)}",
+            f"20{num(2)}/{rng.randint(1, 13):02d}/{num(2)}", f"{num(2)}.{num(2)}.19{num(2)}", c, " ".join(c[i : i + 4] for i in range(0, 16, 4)) + rng.choice(["", " 12/27", " 9"]), num(16), f"DE{98 - iban_rest(b + 'DE00'):02d}{b}", f"DE{num(20)}",
+            f"({num(3)}) {num(3)}-{num(4)}", f"+1 {num(3)}.{num(3)}.{num(4)}", f"+4{num(1)} {num(2)} {num(4)} {num(3)}", f"Xy.{num(2)}@Mail-{num(1)}.example.org", f"api_key = '{num(4)}aBc+/{num(9)}'", f"AKIA{num(6)}ABCDEFGH{num(2)}", "word", "v1.2.3.4.5", "12:30", "\n"])
+
+    texts = [" ".join(some() for _ in range(rng.randint(1, 40))) for _ in range(150)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = pii.pseudonymised(df, "k").collect()
+    want = {i: modelled(t, "k") for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.text, r.kinds) for r in got} == want and {k for _, v in want.values() for k in v} == set(pii.PATTERNS)
+
+
+def test_repeated_rows_clashing_columns_and_the_key(spark):
+    df = spark.createDataFrame([(1, "ssn 123-45-6789", "a", 5)] * 2, "doc_id int, text string, kinds string, n_replaced int")
+    rows = pii.pseudonymised(df).collect()
+    assert len(rows) == 2 and rows[0] == rows[1] and rows[0].kinds == ["ssn"] and rows[0].n_replaced == 1
+    assert rows[0].text != pii.pseudonymised(df, "another").first().text
+    spark.conf.set(pii.KEY_NAME, "another")
+    try:
+        assert pii.pseudonymised(df).first().text == pii.pseudonymised(df, "another").first().text
+    finally:
+        spark.conf.unset(pii.KEY_NAME)
