@@ -25,7 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ready
+from .common import ready, together
+from .pieces import RUNS, Pieces
 
 NONE = -1
 
@@ -204,93 +205,6 @@ class Transducer:
         return out
 
 
-class Remembered:
-    """Results by key; two generations of a bounded size are remembered."""
-
-    def __init__(self, bound: int, longest: int = 64):
-        self.bound, self.longest = bound, longest
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def get(self, key: str) -> bytes | None:
-        found = self.new.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.add(key, found)
-        return found
-
-    def add(self, key: str, found: bytes) -> None:
-        if len(key) <= self.longest:
-            if len(self.new) >= self.bound:
-                self.old, self.new = self.new, {}
-            self.new[key] = found
-
-
-class Splitter:
-    """Ids of whole texts as little-endian unsigned 32-bit integers, from the ids of pieces.
-
-    A space between two other characters that are no white space always starts a piece, so what stands
-    between such spaces is encoded once for a batch of texts, and remembered; texts with other spaces are
-    split whole. learn(chunks) may encode many unseen chunks at a time; what it leaves out is encoded here.
-    """
-
-    def __init__(self, pattern: str, encode_piece, learn=None, chunks: int = 200_000, pieces: int = 100_000):
-        import regex
-
-        self.split, self.encode_piece, self.learn = regex.compile(pattern).findall, encode_piece, learn
-        self.pieces, self.chunks = Remembered(pieces), Remembered(chunks)
-
-    def piece(self, piece: str) -> bytes:
-        # a word after a space is also a chunk: they are remembered together
-        word = piece[:1] == " " and piece[1:].isalpha()
-        key, memory = (piece[1:], self.chunks) if word else (piece, self.pieces)
-        found = memory.get(key)
-        if found is None:
-            found = np.array(self.encode_piece(piece), "<u4").tobytes()
-            memory.add(key, found)
-        return found
-
-    def whole(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.split(text)))
-
-    def _known(self, chunks: set[str]) -> dict[str, bytes | None]:
-        """Ids of each chunk; None for one that white space begins or ends."""
-        memory, out = self.chunks, {}
-        for i, part in enumerate((memory.new, memory.old)):
-            here = list(chunks & part.keys())
-            out.update(zip(here, map(part.__getitem__, here), strict=True))
-            if i:
-                for c in here:
-                    memory.add(c, out[c])
-            chunks = chunks.difference(here)
-        unseen = []
-        for c in chunks:
-            if not c or c[0].isspace() or c[-1].isspace():
-                out[c] = None
-            else:
-                unseen.append(c)
-        learnt = self.learn(unseen) if self.learn and unseen else {}
-        for c in unseen:
-            found = out[c] = learnt[c] if c in learnt else self.whole(" " + c)
-            memory.add(c, found)
-        return out
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        known = self._known(set().union(*(p[1:] for p in parts)))
-        out = []
-        for t, p in zip(texts, parts, strict=True):
-            found = None
-            if not p[0][-1:].isspace():
-                try:
-                    found = self.whole(p[0]) + b"".join(map(known.__getitem__, p[1:]))
-                except TypeError:  # a space next to other white space
-                    pass
-            out.append(self.whole(t) if found is None else found)
-        return out
-
-
 class Utf8:
     """Incremental UTF-8: feed() returns the text of all finished characters and keeps the rest as its state.
 
@@ -333,35 +247,42 @@ class Utf8:
 
 
 class ByteBpe:
-    """Encoder and decoder of one rank file; room is the number of transitions that are remembered, about 600 bytes each with all else."""
+    """Encoder and decoder of one rank file; room is the number of transitions that are remembered (about 600 bytes each with all else), and a third of it that of pieces."""
 
     def __init__(self, path: str, pattern: str, room: int = 300_000):
-        self.machine = Transducer(read_ranks(path), room)
-        self.splitter = Splitter(pattern, lambda piece: self.machine.encode(piece.encode()), chunks=room // 3, pieces=room // 10)
+        import regex
+
+        self.machine = machine = Transducer(read_ranks(path), room)
+        self.pieces = Pieces(regex.compile(pattern).findall, lambda some: [machine.encode(p.encode()) for p in some], pattern == RUNS, max(1000, room // 3))
+        sizes = np.fromiter(map(len, machine.bytes_of), np.int64, len(machine.bytes_of))
+        self.token_bytes = np.frombuffer(b"".join(machine.bytes_of), np.uint8)
+        self.token_size, self.token_start = sizes, np.cumsum(sizes) - sizes
 
     def forget(self) -> None:
         """Give back what was remembered."""
         self.machine._forget()
         self.machine.pairs.clear()
-        for m in (self.splitter.pieces, self.splitter.chunks):
-            m.new, m.old = {}, {}
+        self.pieces.forget()
 
-    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
-        return self.splitter.many([t or "" for t in texts])
+    def encode_all(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where those of each begin and the last ends."""
+        return self.pieces.encode(texts)
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_bytes([text])[0], "<u4").tolist()
+        return self.encode_all(pa.array([text], pa.string()))[0].tolist()
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.machine.bytes_of.__getitem__, ids))
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        size = self.token_size[ids]
+        return self.token_bytes[np.repeat(self.token_start[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()
 
-    def decode_stream(self, chunks: Iterable[list[int]]) -> Iterator[str]:
+    def decode_stream(self, chunks: Iterable[np.ndarray]) -> Iterator[str]:
         machine = Utf8()
         for chunk in chunks:
             yield machine.feed(self.decode_bytes(chunk))
         yield machine.finish()
 
-    def decode(self, ids: list[int], chunk: int = 4096) -> str:
+    def decode(self, ids: np.ndarray | list[int], chunk: int = 4096) -> str:
+        ids = np.asarray(ids, np.int64)
         return "".join(self.decode_stream(ids[i : i + chunk] for i in range(0, len(ids), chunk)))
 
 
@@ -395,14 +316,12 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
 
     def run(batches):
         c = coder(_on(path), pattern)
-        for b in batches:
-            ids = [np.frombuffer(x, "<u4") for x in c.encode_bytes(b.column("text").to_pylist())]
-            flat = np.concatenate(ids) if ids else np.empty(0, "<u4")
-            at = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        for b in together(batches):
+            ids, at = c.encode_all(b.column("text"))
             cols = [b.column(f.name) for f in fields]
-            cols += [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32))), pa.array(np.diff(at), pa.int64())]
+            cols += [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32))), pa.array(np.diff(at), pa.int64())]
             if with_text:
-                cols.append(pa.array([c.decode(x.tolist()) for x in ids], pa.string()))
+                cols.append(pa.array([c.decode(ids[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields] + ["ids", "n_tokens"] + ["decoded"] * with_text)
         c.forget()  # other stages run in the same workers
 
@@ -417,16 +336,15 @@ def digests(docs: DataFrame, path: str, pattern: str, room: int = 1_000_000) ->
     def run(batches):
         c = coder(_on(path), pattern, room)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
-            n, first, second = [], [], []
-            for raw in c.encode_bytes(b.column("text").to_pylist()):
-                ids = np.frombuffer(raw, "<u4").tolist()
-                n.append(len(ids))
-                first.append(sha(raw))
+        for b in together(batches):
+            ids, at = c.encode_all(b.column("text"))
+            first, second = [], []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                first.append(sha(ids[i:j].astype("<u4", copy=False).tobytes()))
                 back = hashlib.sha256()
-                for piece in c.decode_stream(ids[i : i + 4096] for i in range(0, len(ids), 4096)):
+                for piece in c.decode_stream(ids[k : min(k + 4096, j)] for k in range(i, j, 4096)):
                     back.update(piece.encode())
                 second.append(back.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
