@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,18 @@ def ready(spark: SparkSession, rows_per_batch: int = 400) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """For plans that run inside: Arrow batches of n rows; the session's own value comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def together(batches: Iterable[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Batches joined until they hold about size bytes: what a batch repeats is then worked on once."""
     held: list[pa.RecordBatch] = []
@@ -57,6 +70,11 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def cut(df: DataFrame, *by: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
@@ -64,18 +82,18 @@ def cut(df: DataFrame, *by: str) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     _TRASH.append((spark.sparkContext.applicationId, path))
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.folder = path
+    return out
 
 
 def drop(spark: SparkSession, *dfs: DataFrame) -> None:
-    """Delete the files that cut() wrote for these, when nothing reads them any more."""
+    """Delete the files that cut() wrote for these, when nothing reads them any more; other tables are left alone."""
     for df in dfs:
-        for f in df.inputFiles()[:1]:
-            folder = f.rsplit("/", 1)[0]
-            if "/llm-" in folder:
-                fs, p = _fs(spark, folder)
-                fs.delete(p, True)
-                _TRASH[:] = [x for x in _TRASH if x[1].rsplit("/", 1)[-1] != folder.rsplit("/", 1)[-1]]
+        folder = getattr(df, "folder", None)
+        if isinstance(folder, str):
+            delete(spark, folder)
+            _TRASH[:] = [x for x in _TRASH if x[1] != folder]
 
 
 def tidy(spark: SparkSession) -> None:
@@ -89,8 +107,7 @@ def sweep(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     for a, path in _TRASH:
         if a == app:
-            fs, p = _fs(spark, path)
-            fs.delete(p, True)
+            delete(spark, path)
     _TRASH.clear()
 
 

@@ -16,6 +16,7 @@ def _flat(parent: DataFrame) -> DataFrame:
         moved = new.where("moved").limit(1).count()
         drop(parent.sparkSession, parent)
         parent = new.select("node", "label")
+        parent.folder = new.folder
         if not moved:
             return parent
 

@@ -27,10 +27,12 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .bpe import _on
-from .common import cut, drop, ready, shared_dir, together
+from .common import cut, delete, drop, ready, rows_per_batch, shared_dir, together
 from .pieces import Pieces
 
 LIMIT, LANE, BLOCK, FILE_IDS = 20, 512, 1 << 16, 1 << 22
+#: Tasks that write, at most; files of one task are numbered from its own number times SEGMENTS.
+TASKS, SEGMENTS = 20_000, 10_000_000
 MAGIC = b"SLHF0001"
 HEAD = struct.Struct("<cI")
 
@@ -300,66 +302,89 @@ def id_counts(tokens: DataFrame, vocab: int) -> np.ndarray:
 
 
 def write(tokens: DataFrame, lengths: np.ndarray, folder: str, total: int) -> None:
-    """Files in ascending doc_id order, about FILE_IDS ids each."""
-    codes, wide = canonical(lengths), "<u2" if len(lengths) <= 1 << 16 else "<u4"
+    """Files in ascending doc_id order, about FILE_IDS ids each: folder/segment=<number in order>.
+
+    A task writes as many files as its range of doc_ids needs, so that neither files nor tasks grow too many.
+    """
+    codes, wide = canonical(lengths), np.dtype("<u2" if len(lengths) <= 1 << 16 else "<u4")
 
     def run(batches):
-        docs, sizes, waiting, n = [], [], [], 0
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() * SEGMENTS
+        docs, sizes, waiting, n, done = [], [], [], 0, 0
+
+        def out(*frames: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number] * len(frames), pa.int64()), pa.array(frames, pa.binary())], names=["segment", "frame"])
+
+        def end() -> pa.RecordBatch:
+            last = [block(np.concatenate(waiting), codes, lengths)] if n else []
+            return out(*last, index(docs, sizes))
+
         for b in batches:
-            if not docs:
-                yield pa.RecordBatch.from_arrays([pa.array([header(lengths)], pa.binary())], names=["frame"])
-            docs += b.column("doc_id").to_pylist()
-            sizes += b.column("n").to_pylist()
-            waiting += [np.frombuffer(x, wide) for x in b.column("ids").to_pylist()]
-            n += sum(b.column("n").to_pylist())
-            if n >= BLOCK:
-                ids = np.concatenate(waiting)
-                whole = n // BLOCK * BLOCK
-                for i in range(0, whole, BLOCK):
-                    yield pa.RecordBatch.from_arrays([pa.array([block(ids[i : i + BLOCK], codes, lengths)], pa.binary())], names=["frame"])
-                waiting, n = [ids[whole:]], n - whole
+            for doc, size, raw in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                if not docs:
+                    yield out(header(lengths))
+                docs.append(doc)
+                sizes.append(size)
+                waiting.append(np.frombuffer(raw, wide))
+                n += size
+                if n >= BLOCK:
+                    ids = np.concatenate(waiting)
+                    whole = n // BLOCK * BLOCK
+                    for i in range(0, whole, BLOCK):
+                        yield out(block(ids[i : i + BLOCK], codes, lengths))
+                    waiting, n, done = [ids[whole:]], n - whole, done + whole
+                if done + n >= FILE_IDS:
+                    yield end()
+                    number, docs, sizes, waiting, n, done = number + 1, [], [], [], 0, 0
         if docs:
-            last = [block(np.concatenate(waiting), codes, lengths)] if n else []
-            yield pa.RecordBatch.from_arrays([pa.array([*last, index(docs, sizes)], pa.binary())], names=["frame"])
+            yield end()
 
-    files = max(1, -(-total // FILE_IDS))
-    ranged = tokens.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
-    ranged.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(folder)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n").asc()]
+    # the first ids and the row's place let even rows of one doc_id be dealt out
+    placed = tokens.withColumn("place", F.monotonically_increasing_id())
+    ranged = placed.repartitionByRange(max(1, min(TASKS, -(-total // FILE_IDS))), *order, F.substring("ids", 1, 16), "place").sortWithinPartitions(*order, "ids")
+    frames = ranged.mapInArrow(run, "segment bigint, frame binary")
+    frames.select("segment", F.col("frame").cast("string").alias("value")).write.partitionBy("segment").text(folder)
 
 
 def read(spark, folder: str) -> DataFrame:
     """One row per document, decoded from the files: doc_id, start, n_tokens, ids_crc32."""
     kind = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
-    files = spark.read.format("binaryFile").schema(kind).load(folder).where("length > 0")
-    totals = files.select("path", F.conv(F.hex(F.expr("substring(content, length(content) - 8, 8)")), 16, 10).cast("bigint").alias("total"))
-    base = totals.select("path", (F.sum("total").over(W.orderBy("path")) - F.col("total")).alias("base"))
+    files = spark.read.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").load(folder).where("length > 0")
 
     def run(batches):
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+            for number, content in zip(b.column("segment").to_pylist(), b.column("content").to_pylist(), strict=True):
                 docs, sizes, ids = read_file(content)
                 raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes)
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 for i in range(0, len(docs), 10_000):
                     j = slice(i, i + 10_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(docs[j])), pa.array(docs[j], pa.int64()), pa.array((ends - sizes)[j]), pa.array(sizes[j]), pa.array(crcs[j], pa.int64())], names=["path", "doc_id", "at", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(docs[j])), pa.array(docs[j], pa.int64()), pa.array((ends - sizes)[j]), pa.array(sizes[j]), pa.array(crcs[j], pa.int64())], names=["segment", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    rows = files.select("path", "content").mapInArrow(run, "path string, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
-    rows = cut(rows)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
-    return rows.join(base, "path").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    with rows_per_batch(spark, 1):
+        rows = cut(files.select(F.regexp_extract("path", "segment=([0-9]+)", 1).cast("bigint").alias("segment"), "content").mapInArrow(run, "segment bigint, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint"))
+    # ids before each file: within its task's files, and those of earlier tasks
+    sums = rows.groupBy("segment", F.floor(F.col("segment") / SEGMENTS).alias("task")).agg(F.sum("n_tokens").alias("n"))
+    tasks = sums.groupBy("task").agg(F.sum("n").alias("all")).select("task", (F.sum("all").over(W.orderBy("task")) - F.col("all")).alias("before"))
+    base = cut(sums.withColumn("inside", F.sum("n").over(W.partitionBy("task").orderBy("segment")) - F.col("n")).join(tasks, "task").select("segment", (F.col("before") + F.col("inside")).alias("base")))
+    return rows.join(base, "segment").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
-    """Encode all documents, write the files, read them back."""
+    """Encode all documents, write the files, read them back; a folder that isn't given is deleted again."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     vocab = Tokenizer.from_file(path).get_vocab_size()
     tokens = cut(tokenized(docs, path))
     counts = id_counts(tokens, vocab)
-    folder = folder or shared_dir(spark)
-    write(tokens, limited_lengths(counts), folder, int(counts.sum()))
+    own = folder or shared_dir(spark)
+    write(tokens, limited_lengths(counts), own, int(counts.sum()))
     drop(spark, tokens)
-    return read(spark, folder)
+    found = read(spark, own)
+    if folder is None:
+        delete(spark, own)
+    return found

@@ -73,7 +73,7 @@ def test_a_wrong_table_is_noticed():
         enc.encode(pa.array(["axaxax bxb cxc xx axaxax"]))
 
 
-def test_round_trip_with_odd_rows(spark, monkeypatch):
+def test_round_trip_with_odd_rows(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(huffman, "FILE_IDS", 3000)
     lib = Tokenizer.from_file(PATH)
     rng = random.Random(6)
@@ -88,4 +88,13 @@ def test_round_trip_with_odd_rows(spark, monkeypatch):
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert got == want
+    # several files a task, in the order of their numbers; the same rows from files that stay
+    monkeypatch.setattr(huffman, "TASKS", 2)
+    monkeypatch.setattr(huffman, "FILE_IDS", 700)
+    again = huffman.round_trip(df, PATH, f"file://{tmp_path}/files")
+    assert sorted(((r.doc_id if r.doc_id is not None else -1, r.start, r.n_tokens, r.ids_crc32) for r in again.collect()), key=lambda x: x[1]) == want
+    assert len(list((tmp_path / "files").glob("segment=*"))) > 12
+    # repeated rows come out as often as they went in
+    twice = huffman.round_trip(df.where("doc_id = 7").unionByName(df.where("doc_id = 7")), PATH).collect()
+    assert len(twice) == 4 and len({r.start for r in twice}) == 4
     assert huffman.round_trip(df.limit(0), PATH).collect() == []
