@@ -1,13 +1,15 @@
 """Operator 8: quality classifier, a naive Bayes support vector machine.
 
-Features are indicators of n-grams: of words, and of the words' shapes (which kinds of characters a word
-has, and whether it repeats the word before) in runs of one, two and three. A shape n-gram has one indicator
-for each share of the text that it reaches. All are hashed to BITS bits. Each indicator is scaled by its
+Features are indicators of n-grams: of words, in runs of one and two, and of the words' shapes (which kinds of
+characters a word has, and whether it repeats the word before) in runs of one, two and three. A shape n-gram has
+one indicator for each share of the text that it reaches. Words and shapes are hashed whole, all indicators to
+BITS bits. Each indicator is scaled by its
 log-count ratio between the classes; a linear model with hinge loss is fitted on these by dual
 coordinate descent; a sigmoid fitted on margins of held-back folds turns margins into probabilities.
 
 The classifier is fitted on a bounded sample of labelled rows: of each class the PER_CLASS rows of smallest
-hash of doc_id, never rows of the held-out fifth. Every text is scored whole.
+hash of doc_id, never rows of the held-out fifth, and of these, in that order, as many as have SAMPLE indicators
+together. Every text is scored whole.
 
 Defined results: null and empty texts have the score of no features; a null doc_id is not held out;
 repeated rows are scored alike; with no labels, or one class only, every score is that class's rate (1 where
@@ -23,29 +25,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, mix, ready, words
+from .common import cut, hashes, mix, ready, words
 
-BITS, PER_CLASS, FOLDS, EPOCHS, COST, THRESHOLD = 18, 3000, 3, 12, 1.0, 0.3
+BITS, PER_CLASS, FOLDS, EPOCHS, COST, THRESHOLD = 20, 3000, 3, 12, 1.0, 0.3
+#: Indicators of all rows that are fitted on, at most (four bytes each on the driver).
+SAMPLE = 16_000_000
+#: Rows of the sample that an indicator needs to have a weight.
+LEAST = 2
 SHARES = 2.0 ** -np.arange(1, 8)
 _KINDS = [(re.compile(p), r) for p, r in ((rb"[0-9]+", b"9"), (rb"[A-Z]{2,}", b"AA"), (rb"[a-z\x80-\xff]+", b"a"), (rb"([^0-9A-Za-z\x80-\xff])\1+", rb"\1\1"))]
 
 
 class Shapes(dict):
-    """Hashes of words' shapes, remembered up to a bound."""
+    """Hashes of words' shapes; those of short words are remembered up to a bound."""
 
-    def __init__(self, bound: int = 150_000):
+    def __init__(self, bound: int = 150_000, longest: int = 64):
         super().__init__()
-        self.bound = bound
+        self.bound, self.longest = bound, longest
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        shape = word[:200]
+        shape = word
         for pattern, to in _KINDS:
             shape = pattern.sub(to, shape)
         if len(self) >= self.bound:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(shape[:12])
+        h = xxhash.xxh3_64_intdigest(shape)
+        if len(word) <= self.longest:
+            self[word] = h
         return h
 
 
@@ -61,7 +69,7 @@ def features(text: str | None) -> np.ndarray:
     same = np.zeros(len(w), np.uint64)
     same[1:] = ids[1:] == ids[:-1]
     one = mix(shapes + same)
-    found = [mix(np.unique(ids))]
+    found = [mix(ids), mix(ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:])]
     run = one
     for n in (1, 2, 3):
         if len(w) < n:
@@ -76,28 +84,29 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(found) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def log_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def log_ratios(rows: list[np.ndarray], y: np.ndarray, size: int = 1 << BITS) -> np.ndarray:
     """Log-count ratio of each indicator between the classes."""
-    count = lambda c: 1.0 + np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(y == c)]), minlength=1 << BITS)
+    count = lambda c: 1.0 + np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(y == c)]), minlength=size)
     p, q = count(1), count(-1)
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def scaled(rows: list[np.ndarray]) -> list[float]:
-    return [1.0 / np.sqrt(max(1, len(r))) for r in rows]
+def scaled(rows: list[np.ndarray]) -> np.ndarray:
+    return 1.0 / np.sqrt(np.maximum(1, np.fromiter(map(len, rows), np.int64, len(rows))))
 
 
-def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int = 1) -> np.ndarray:
+def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, norm: np.ndarray | None = None, seed: int = 1, epochs: int | None = None) -> np.ndarray:
     """Weights (with the bias last) of the hinge-loss model, by coordinate descent in the dual."""
     w, alpha = np.zeros(len(ratio) + 1), np.zeros(len(rows))
-    norm = scaled(rows)
+    norm = scaled(rows) if norm is None else norm
     x = [ratio[r] * n for r, n in zip(rows, norm, strict=True)]
-    square = np.array([float(v @ v) + 1.0 for v in x])
-    cost = np.where(y > 0, COST * len(y) / (2 * max(1, (y > 0).sum())), COST * len(y) / (2 * max(1, (y < 0).sum())))
+    dot = lambda a, b: np.einsum("i,i->", a, b)  # noqa: E731 -- no threads for so little
+    square = np.array([float(dot(v, v)) + 1.0 for v in x])
+    cost = costs(y)
     rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(epochs or EPOCHS):
         for i in rng.permutation(len(rows)):
-            slope = y[i] * (w[rows[i]] @ x[i] + w[-1]) - 1.0
+            slope = y[i] * (dot(w[rows[i]], x[i]) + w[-1]) - 1.0
             new = min(max(alpha[i] - slope / square[i], 0.0), cost[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
@@ -107,8 +116,14 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed:
     return w
 
 
-def margins(rows: list[np.ndarray], weights: np.ndarray, bias: float) -> np.ndarray:
-    return np.array([weights[r].sum() * n for r, n in zip(rows, scaled(rows), strict=True)]) + bias
+def costs(y: np.ndarray) -> np.ndarray:
+    """Cost of each row: both classes weigh the same."""
+    return np.where(y > 0, COST * len(y) / (2 * max(1, (y > 0).sum())), COST * len(y) / (2 * max(1, (y < 0).sum())))
+
+
+def margins(rows: list[np.ndarray], weights: np.ndarray, bias: float, norm: np.ndarray | None = None) -> np.ndarray:
+    norm = scaled(rows) if norm is None else norm
+    return np.array([weights[r].sum() * n for r, n in zip(rows, norm, strict=True)]) + bias
 
 
 def sigmoid_fit(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -144,20 +159,29 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rate: float) -> Model:
     if len(set(y.tolist())) < 2:
         p = min(max(rate, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, float(np.log(p / (1 - p))))
+    norm = scaled(rows)
+    # indicators of one row alone tell nothing about others; those that are left are numbered by how common they are
+    count = np.bincount(np.concatenate(rows), minlength=1 << BITS)
+    used = np.argsort(-count, kind="stable")[: int((count >= LEAST).sum())]
+    place = np.full(1 << BITS, -1, np.int64)
+    place[used] = np.arange(len(used))
+    rows = [np.sort(p[p >= 0]) for p in (place[r] for r in rows)]
     held = np.zeros(len(y))
     fold = np.arange(len(y)) % FOLDS
     for k in range(FOLDS):
         a, b = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(b) and len(set(y[a].tolist())) == 2:
             some = [rows[i] for i in a]
-            ratio = log_ratios(some, y[a])
-            w = dual_descent(some, y[a], ratio)
-            held[b] = margins([rows[i] for i in b], w[:-1] * ratio, w[-1])
+            ratio = log_ratios(some, y[a], len(used))
+            w = dual_descent(some, y[a], ratio, norm[a])
+            held[b] = margins([rows[i] for i in b], w[:-1] * ratio, w[-1], norm[b])
     share = (y > 0).mean()
     slope, shift = sigmoid_fit(held, y, np.where(y > 0, rate / share, (1 - rate) / (1 - share)))
-    ratio = log_ratios(rows, y)
-    w = dual_descent(rows, y, ratio)
-    return Model((w[:-1] * ratio).astype(np.float32), float(w[-1]), slope, shift)
+    ratio = log_ratios(rows, y, len(used))
+    w = dual_descent(rows, y, ratio, norm)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = w[:-1] * ratio
+    return Model(weights, float(w[-1]), slope, shift)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -179,8 +203,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "quality", "x"])
 
     # at most 2 * PER_CLASS ids are broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("doc_id", "quality", "text").mapInArrow(run, "doc_id bigint, quality int, x binary").dropDuplicates(["doc_id", "x"]).collect()
-    rows.sort(key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.x))
+    rows = cut(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("doc_id", "quality", "text").mapInArrow(run, "doc_id bigint, quality int, x binary").dropDuplicates(["doc_id", "x"]))
+    order = lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.doc_id, r.h)
+    taken, room = [], SAMPLE
+    for r in sorted(rows.select("doc_id", F.xxhash64("x").alias("h"), (F.length("x") / 4).cast("bigint").alias("n")).collect(), key=order):
+        if r.n <= room:
+            taken.append((r.doc_id, r.h))
+            room -= r.n
+    some = spark.createDataFrame(taken, "doc_id bigint, h bigint")
+    rows = sorted(rows.withColumn("h", F.xxhash64("x")).join(F.broadcast(some), ["doc_id", "h"]).collect(), key=order)
     total = sum(counts.values())
     rate = counts.get(1, 0) / total if total else 1.0
     return fit([np.frombuffer(r.x, np.int32).astype(np.int64) for r in rows], np.array([r.quality for r in rows]), rate)
