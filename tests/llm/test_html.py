@@ -53,3 +53,65 @@ def test_text_that_every_page_repeats_in_neutral_elements_is_template(spark):
     assert [by[i] for i in range(8)] == [f"Story {i}\nand more {i}" for i in range(8)]
     assert {by[20 + i] for i in range(5)} == {"Welcome to our site\nStory 0\nand more 0\nAll rights kept"}
     assert by[30] == "Welcome to our site" and by[31] == "Welcome to our site\nAll rights kept"
+
+
+def host_pages(spark, pages, name="one.example"):
+    df = spark.createDataFrame([(i, f"http://{name}/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r.text for r in sorted(html.main_text(df).collect(), key=lambda r: r.page_id)]
+
+
+def prose(i, n=40):
+    return " ".join(f"w{i}x{k}" for k in range(n)) + "."
+
+
+def test_slots_of_neutral_elements(spark):
+    """Neither article nor main nor telling names: what varies most is main text, links and rails are not."""
+    page = "<body><div class='a1'><ul><li><a href='/'>Go {i}</a></li><li><a>More {i}</a></li></ul></div><h1>Title {i}</h1><div class='b2'><p>{one}</p><p>{two}</p></div><div class='c3'>Rail text {i}</div><div class='d4'>Made by {i} with care</div></body>"
+    pages = [page.format(i=i, one=prose(i), two=prose(i + 100)) for i in range(6)]
+    want = [f"Title {i}\n{prose(i)}\n{prose(i + 100)}" for i in range(6)]
+    assert host_pages(spark, pages) == want
+    # a page that looks otherwise goes by the host's template, not by its own text: the ablated one differs
+    short = page.format(i=9, one="Few words.", two="No more.").replace("Rail text 9", prose(500))
+    assert host_pages(spark, [*pages, short])[-1] == "Title 9\nFew words.\nNo more." != html.extract(short)
+
+
+def test_elements_are_numbered_among_their_like(spark):
+    page = "<body><div>Menu {i}</div><div><p>{one}</p><p>And {i}</p></div><div>Foot {i}</div></body>"
+    assert host_pages(spark, [page.format(i=i, one=prose(i)) for i in range(5)]) == [f"{prose(i)}\nAnd {i}" for i in range(5)]
+    parts = "<body><div class='all'><div><p>{a}</p></div><div><p>{b}</p></div></div></body>"
+    assert host_pages(spark, [parts.format(a=prose(i, 65), b=prose(i + 50, 35)) for i in range(5)]) == [f"{prose(i, 65)}\n{prose(i + 50, 35)}" for i in range(5)]
+
+
+def test_teasers_around_the_text(spark):
+    page = "<body><article><p>Teaser {i}</p></article><div class='body'><p>{one}</p></div><article><p>Other {i}</p></article></body>"
+    assert host_pages(spark, [page.format(i=i, one=prose(i)) for i in range(5)]) == [prose(i) for i in range(5)]
+    assert html.extract(page.format(i=1, one=prose(1))) == prose(1)
+
+
+def test_a_word_that_stands_once_is_no_name(spark):
+    page = "<body><article><p>{one}</p>{more}<div class='share'>Share {i}</div><section class='comments'><p>Reader {i}: {long}</p></section></article></body>"
+    pages = [page.format(i=i, one=prose(i), more="<div class='share price'><p>Share price rose</p></div>" if i == 3 else "", long=prose(i + 900)) for i in range(60)]
+    got = host_pages(spark, pages)
+    assert got == [prose(i) + ("\nShare price rose" if i == 3 else "") for i in range(60)]
+
+
+def test_menus_inside_the_container(spark):
+    page = "<body><main><p>{one} <a href='/'>a link {i}</a> goes on.</p><ul><li><a>Next {i}</a></li><li><a>Last {i}</a></li></ul></main></body>"
+    got = host_pages(spark, [page.format(i=i, one=prose(i)) for i in range(5)])
+    assert got == [f"{prose(i)} a link {i} goes on." for i in range(5)]
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 20_000 + "<p>" + prose(1) + "</p>" + "</div>" * 20_000
+    long = "<body><article>" + "".join(f"<p>{prose(i, 5)}</p></b></div>" for i in range(20_000)) + "</article></body>"
+    walk = html.Walk()
+    for _ in range(20_000):
+        walk.open("div", {})
+    assert sum(map(len, walk.paths)) < 20_000 * (html.LONG + 40)
+    got = host_pages(spark, [deep, long])
+    assert got[0] == prose(1) and got[1].count("\n") == 19_999
+
+
+def test_clashing_columns_and_nulls(spark):
+    df = spark.createDataFrame([(None, None, "<article>x</article>", "c", "d"), (1, "http://h.example/", None, "c", "d"), (1, "http://h.example/", "<p>a", "c", "d"), (1, "http://h.example/", "<p>a", "c", "d")], "page_id bigint, url string, html string, container string, host string")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html.main_text(df).collect()) == [(0, "x", 1), (1, "", 0), (1, "a", 1), (1, "a", 1)]
