@@ -4,25 +4,34 @@ Passages are overlapping windows of every document. Items are dealt into classes
 power of two, and an item meets windows of two strides of its class, in one of which its stretch lies whole; the
 sketch is taken over windows of the median item's class.
 Their TF-IDF matrix has a column for each benchmark term (terms of many items, which tell nothing apart, are
-left out). One pass over all documents gathers document frequencies and the sketch C'(C X) of the count
-matrix C with a random X, summed by Spark; scaled by the IDF and joined with the benchmark's own rows it
-gives the leading right singular vectors (a one-pass randomised SVD of a positive matrix). A second pass
-takes as candidates all pairs of a passage and an item that share SHARED columns, and so much of the item's
-columns and answer that a leak is possible at all, and checks them on their words: a leak has a longest common
-subsequence of DIRECT of the item, or of LOOSE of it if the item's answer (its last ANSWER words that are
-columns) is there too, within a stretch little longer than the item. Each leak is reported with its cosine, of
-columns that occur or not (repeated words don't dilute it): the larger of that in the latent space and that of
-the TF-IDF rows, as the latent space has at most RANK dimensions. No cosine decides.
+left out, but each item keeps LEAST of its terms and as many as cover more words than a leak may lack). One pass
+over all documents gathers document frequencies and the sketch C'(C X) of the count matrix C with a random X,
+summed by Spark; scaled by the IDF and joined with the benchmark's own rows it gives the leading right singular
+vectors (a one-pass randomised SVD of a positive matrix). A second pass searches: candidates are
+
+- all pairs of a passage and an item of its class whose cosine in the latent space is at least NEAR (all pairs are
+  compared, in blocks, in a random projection to SCREEN dimensions first; those within SLACK of NEAR exactly), and
+- all pairs that share so much of the item's columns and answer that a leak is possible at all, whatever their
+  cosine: this loses none, however the latent space was cut.
+
+Candidates are checked on their words, within a stretch little longer than the item: a leak has a longest common
+subsequence of DIRECT of the item, or of LOOSE of it if ANSWERED of the item's answer (its last ANSWER words that
+are columns) is there too, or, for candidates by cosine (paraphrases), of FAINT with SAID of the answer. Each leak is
+reported with its cosine, of columns that occur or not (repeated words don't dilute it): the larger of that in the
+latent space and that of the TF-IDF rows, as the latent space has at most RANK dimensions.
 
 Words are runs of letters and digits in lower case.
 
 Defined results: null and empty texts and items match nothing; repeated rows are found each for itself and
 reported once for each doc_id; a null doc_id or item_id is reported as it is; an empty benchmark or table
-gives no rows; further columns are ignored. What is broadcast is bounded by the benchmark, not by the corpus.
+gives no rows; further columns are ignored. What is broadcast is bounded by the benchmark, not by the corpus, and a
+benchmark of more than SLICE characters is searched for in slices; the latent dimensions go down where their table
+would exceed TABLE numbers.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
@@ -33,14 +42,16 @@ from pyspark.sql import functions as F
 from .common import ready
 
 DIRECT, LOOSE, ANSWER, ANSWERED = 0.7, 0.5, 5, 0.8
+#: Candidates by cosine, and what they need; dimensions of the first comparison, and what it may be wrong by.
+NEAR, FAINT, SAID, SCREEN, SLACK = 0.5, 0.4, 0.6, 96, 0.25
 #: What matches an item lies in a stretch of so many times its length.
 STRETCH = 1.5
-#: A term of more than this share of the items is no column, unless an item has fewer than LEAST others.
+#: A term of more than this share of the items is no column, unless an item has too few others.
 COMMON, LEAST = 0.02, 6
 #: Leading singular vectors of the corpus; latent dimensions at most, the items' own included.
 LEADING, RANK = 64, 512
-#: Columns that a passage shares with an item before its words are checked.
-SHARED = 2
+#: Characters of a slice of the benchmark; numbers in the table of terms by latent dimensions.
+SLICE, TABLE = 8_000_000, 16_000_000
 
 
 #: Bytes that end a word: all of ASCII but letters and digits.
@@ -64,10 +75,11 @@ class Benchmark:
         most = max(1.0, COMMON * len(self.items))
         columns: dict[bytes, int] = {}
         for _, w in self.items:
-            by = sorted(set(w), key=lambda x: (count[x], x))
-            for k, x in enumerate(by):
-                if count[x] <= most or k < LEAST:
+            own, covered = Counter(w), 0
+            for k, x in enumerate(sorted(own, key=lambda x: (count[x], x))):
+                if count[x] <= most or k < LEAST or covered <= (1 - DIRECT) * len(w):
                     columns.setdefault(x, len(columns))
+                covered += own[x]
         self.columns = columns
         self.lengths = np.array([len(w) for _, w in self.items], np.int64)
         #: the stride of each item's class: the power of two that a stretch of it fits in
@@ -75,16 +87,17 @@ class Benchmark:
         self.stride = int(np.sort(self.strides)[len(self.strides) // 2]) if self.items else 16
         #: the answer of each item: its last words that are columns
         self.answers = [[x for x in w if x in columns][-ANSWER:] for _, w in self.items]
-        n = len(columns)
-        self.counts = np.zeros((len(self.items), n), np.float64)
+        # the matrix of items by columns, as lists of its cells: item, column, times in the item and in its answer
+        cells = []
         for k, (_, w) in enumerate(self.items):
-            for x in w:
-                if x in columns:
-                    self.counts[k, columns[x]] += 1
-        self.answer_counts = np.zeros_like(self.counts)
-        for k, w in enumerate(self.answers):
-            for x in w:
-                self.answer_counts[k, columns[x]] += 1
+            said = Counter(self.answers[k])
+            cells += [(k, columns[x], n, said[x]) for x, n in Counter(w).items() if x in columns]
+        self.at, self.col, self.times, self.said = np.array(cells, np.int64).reshape(-1, 4).T
+        self.counts, self.answer_counts = (np.bincount(self.at, x, len(self.items)) for x in (self.times, self.said))
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """Of each item: the sum of the rows of its columns."""
+        return np.add.reduceat(rows[self.col], np.flatnonzero(np.diff(self.at, prepend=-1)))
 
 
 class Cells:
@@ -176,10 +189,18 @@ def singular(bench: Benchmark, idf: np.ndarray, y: np.ndarray, x: np.ndarray) ->
     keep = values > max(1e-9 * values.max(initial=0.0), 1e-12)
     half = z @ (vectors[:, keep] / np.sqrt(values[keep]))
     leading = np.linalg.svd(half, full_matrices=False)[0] if keep.any() else np.zeros((len(idf), 0))
-    own = ((bench.counts > 0) * idf).T
-    own = own / np.maximum(np.linalg.norm(own, axis=0, keepdims=True), 1e-12)
+    n, rank = len(idf), max(1, min(RANK, TABLE // len(idf)))
+    weight = idf[bench.col] / np.sqrt(np.bincount(bench.at, idf[bench.col] ** 2, len(bench.items)))[bench.at]
+    if len(bench.items) <= rank:
+        own = np.zeros((n, len(bench.items)))
+        own[bench.col, bench.at] = weight
+    else:  # a sketch of the items' rows
+        mixed, own = np.random.default_rng(12).standard_normal((len(bench.items), rank)) / np.sqrt(rank), np.zeros((n, rank))
+        for i in range(0, len(bench.at), 1 << 14):
+            j = slice(i, i + (1 << 14))
+            np.add.at(own, bench.col[j], weight[j, None] * mixed[bench.at[j]])
     u, s, _ = np.linalg.svd(np.hstack([leading, own]), full_matrices=False)
-    return u[:, s > 1e-6 * s.max(initial=1.0)][:, :RANK]
+    return u[:, s > 1e-6 * s.max(initial=1.0)][:, :rank]
 
 
 def subsequence(a: list[bytes], b: list[bytes]) -> int:
@@ -202,16 +223,16 @@ def possible(shared: np.ndarray, said: np.ndarray, columns: np.ndarray, answer:
     return (most >= DIRECT) | ((most >= LOOSE) & (said + 1e-9 >= ANSWERED * answer) & (answer > 0))
 
 
-def judged(item: list[bytes], answer: list[bytes], passage: list[bytes]) -> tuple[float, float, bool]:
-    """Share of the item, share of its answer, and whether it is a leak: the best of all stretches little longer than the item."""
+def judged(item: list[bytes], answer: list[bytes], passage: list[bytes], near: bool = False) -> tuple[float, float, bool]:
+    """Share of the item, share of its answer, and whether it is a leak: the best of all stretches little longer than the item. near: a candidate by cosine."""
     best, most = (0.0, 0.0, False), int(STRETCH * len(item)) + 1
     step = max(1, len(item) // 8)
     for i in range(0, max(1, len(passage) - most + step), step):
         part = passage[i : i + most]
         share = subsequence(item, part) / len(item)
         if share > best[0]:
-            said = subsequence(answer, part) / len(answer) if share >= LOOSE else 0.0
-            best = share, said, share >= DIRECT or (share >= LOOSE and said >= ANSWERED)
+            said = subsequence(answer, part) / len(answer) if answer and share >= FAINT else 0.0
+            best = share, said, share >= DIRECT or (share >= LOOSE and said >= ANSWERED) or (near and share >= FAINT and said >= SAID)
     return best
 
 
@@ -219,29 +240,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start (number of its first word), cosine, lcs (share of the item), answer (share), the best passage of each pair."""
     spark = docs.sparkSession
     ready(spark)
-    schema = "doc_id bigint, item_id bigint, start bigint, cosine double, lcs double, answer double"
-    bench = Benchmark([(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect()])
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
+    size = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    out, slices = None, -(-size // SLICE)
+    for k in range(slices):
+        some = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k) if slices > 1 else items
+        found = _leaks(docs, Benchmark([(r.item_id, r.text) for r in some.collect()]))
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], SCHEMA) if out is None else out
+
+
+SCHEMA = "doc_id bigint, item_id bigint, start bigint, cosine double, lcs double, answer double"
+
+
+def _leaks(docs: DataFrame, bench: Benchmark) -> DataFrame:
+    spark = docs.sparkSession
     if not bench.items:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], SCHEMA)
     x = np.random.default_rng(11).standard_normal((len(bench.columns), min(LEADING, len(bench.columns)))).astype(np.float32)
     passages, df, y = gathered(docs, bench, x)
     idf = np.log((2.0 + passages) / (1.0 + df))
     v = singular(bench, idf, y, x.astype(np.float64))
     terms = (idf[:, None] * v).astype(np.float32)
-    queries = (bench.counts > 0).astype(np.float32) @ terms
-    norm = np.linalg.norm(queries, axis=1, keepdims=True)
-    queries = queries / np.maximum(norm, 1e-12)
-    sizes = bench.counts.sum(1), bench.answer_counts.sum(1), bench.lengths
-    # for each class: its stride, and the items of each term, one after another
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    queries = unit(bench.sums(terms))
+    mixed = np.random.default_rng(13).standard_normal((terms.shape[1], SCREEN)).astype(np.float32) / np.sqrt(np.float32(SCREEN)) if terms.shape[1] > 2 * SCREEN else None
+    screen = (terms, queries, NEAR) if mixed is None else (terms @ mixed, unit(queries @ mixed), NEAR - SLACK)
+    sizes = bench.counts, bench.answer_counts, bench.lengths
+    # for each class: its stride and items, and the items of each term, one after another
     classes = []
+    by_col = np.argsort(bench.col, kind="stable")
     for stride in np.unique(bench.strides).tolist():
-        term, item = np.nonzero(((bench.counts > 0) & (bench.strides == stride)[:, None]).T)
-        where = np.searchsorted(term, np.arange(len(bench.columns) + 1))
-        classes.append((stride, item, where, (bench.counts[item, term], bench.answer_counts[item, term])))
+        cells = by_col[bench.strides[bench.at[by_col]] == stride]
+        where = np.searchsorted(bench.col[cells], np.arange(len(bench.columns) + 1))
+        classes.append((stride, np.flatnonzero(bench.strides == stride), bench.at[cells], where, (bench.times[cells].astype(np.float64), bench.said[cells].astype(np.float64))))
     # own TF-IDF rows: squares of the items' norms, and of the columns' weights
     squares = idf**2
-    lengths = (bench.counts > 0) @ squares
-    share = spark.sparkContext.broadcast((bench.columns, bench.items, bench.answers, terms, queries.astype(np.float32), classes, sizes, squares, lengths))
+    lengths = bench.sums(squares)
+    share = spark.sparkContext.broadcast((bench.columns, bench.items, bench.answers, terms, queries, screen, classes, sizes, squares, lengths))
 
     def dealt(batches, columns, classes):
         for b in batches:
@@ -250,44 +286,64 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 c.deal(one[0])
                 yield b, c, one
 
+    def vectors(table, words, part, first):
+        """Unit vectors of passages: sums of the rows of their columns."""
+        who, every = spread(first[part], first[part + 1])
+        z = np.add.reduceat(table[words[every]], np.flatnonzero(np.diff(who, prepend=-1)))
+        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12), who, every
+
     def run(batches):
-        columns, items, answers, terms, queries, classes, sizes, squares, lengths = share.value
+        columns, items, answers, terms, queries, screen, classes, sizes, squares, lengths = share.value
         n = len(columns) + 1
-        for b, c, (stride, item, where, weights) in dealt(batches, columns, classes):
+        small, small_queries, least = screen
+        for b, c, (stride, members, item, where, weights) in dealt(batches, columns, classes):
             pairs = c.pairs(n)
-            word = pairs % n
+            if not len(pairs):
+                continue
+            word, place = pairs % n, pairs // n
+            first = np.searchsorted(pairs, np.arange(len(c.opens) + 1) * n)  # columns of each passage
             meet, k = spread(where[word], where[word + 1])
-            met, back, times = np.unique((pairs // n)[meet] * len(items) + item[k], return_inverse=True, return_counts=True)
+            met, back = np.unique(place[meet] * len(items) + item[k], return_inverse=True)
             shared, said = (np.bincount(back, w[k], len(met)) for w in weights)
-            take = (times >= SHARED) & possible(shared, said, *(x[met % len(items)] for x in sizes))
-            common = np.bincount(back, squares[word[meet]], len(met))[take]
-            met = met[take]
+            met = met[possible(shared, said, *(x[met % len(items)] for x in sizes))]
+            # search of the latent space: all passages with all items of the class
+            some, close = np.unique(place), []
+            for i in range(0, len(some), 4096):
+                z, _, _ = vectors(small, word, some[i : i + 4096], first)
+                p, q = np.nonzero(z @ small_queries[members].T >= least)
+                close.append(some[i : i + 4096][p] * len(items) + members[q])
+            sure = met
+            met = np.union1d(met, np.concatenate(close))
             if not len(met):
                 continue
             at, q = met // len(items), met % len(items)
-            first = np.searchsorted(pairs, np.arange(len(c.opens) + 1) * n)  # columns of each passage
-            cos = np.empty(len(met), np.float32)
+            latent, cos = np.empty(len(met), np.float32), np.empty(len(met), np.float32)
             for i in range(0, len(met), 4096):
-                part, back = np.unique(at[i : i + 4096], return_inverse=True)
-                who, every = spread(first[part], first[part + 1])
-                z = np.add.reduceat(terms[word[every]], np.flatnonzero(np.diff(who, prepend=-1)))
-                z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-                latent = np.einsum("ij,ij->i", z[back], queries[q[i : i + 4096]])
-                whole = np.bincount(who, squares[word[every]], len(part))[back] * lengths[q[i : i + 4096]]
-                cos[i : i + 4096] = np.maximum(latent, common[i : i + 4096] / np.sqrt(np.maximum(whole, 1e-24)))
+                j = slice(i, i + 4096)
+                part, back = np.unique(at[j], return_inverse=True)
+                z, who, every = vectors(terms, word, part, first)
+                latent[j] = np.einsum("ij,ij->i", z[back], queries[q[j]])
+                whole = np.bincount(who, squares[word[every]], len(part))[back] * lengths[q[j]]
+                # squares of the columns that both have
+                own, cell = spread(first[at[j]], first[at[j] + 1])
+                low, high = where[word[cell]], where[word[cell] + 1]
+                pair, held = spread(low, high)
+                common = np.bincount(own[pair], squares[word[cell[pair]]] * (item[held] == q[j][own[pair]]), len(q[j]))
+                cos[j] = np.maximum(latent[j], common / np.sqrt(np.maximum(whole, 1e-24)))
             ids, rows = b.column("doc_id").to_pylist(), []
-            for j in range(len(met)):
-                d = int(np.searchsorted(c.first, at[j], "right")) - 1
+            owner, door = np.searchsorted(c.first, at, "right") - 1, latent >= NEAR
+            for j in np.flatnonzero(door | np.isin(met, sure)).tolist():
+                d = int(owner[j])
                 while not c.words[d]:
                     d -= 1
                 begin = int(at[j] - c.first[d]) * stride
-                lcs, answer, leak = judged(items[q[j]][1], answers[q[j]], c.words[d][begin : begin + 2 * stride])
+                lcs, answer, leak = judged(items[q[j]][1], answers[q[j]], c.words[d][begin : begin + 2 * stride], bool(door[j]))
                 if leak:
                     rows.append((ids[d], items[q[j]][0], begin, float(cos[j]), lcs, answer))
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "start", "cosine", "lcs", "answer"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, schema)
+    found = docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
     best = F.max_by(F.struct("start", "cosine", "lcs", "answer"), F.struct("lcs", "answer", -F.col("start")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")

@@ -90,3 +90,63 @@ def test_the_rank_cut_drops_no_item(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "RANK", 3)
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string, k int"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == leaks and all(0 < r.cosine <= 1.001 for r in got)
+
+
+def test_items_of_one_word_and_of_common_words(spark):
+    docs = [(1, "the answer is xylophone today", 1), (2, "nothing here", 1), (None, "Xylophone!", 1), (3, "to be or not to be that is the question here", 1)]
+    items = [(1, "xylophone"), (None, "to be or not to be"), *[(10 + i, f"to be or not word{i}") for i in range(30)]]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string, k int"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert {(1, 1), (None, 1), (3, None)} <= found and all(r.lcs >= 0.7 for r in got)
+
+
+def brute(docs, items):
+    """Every stretch of every document against every item, on its words alone."""
+    bench, out = decontaminate.Benchmark(items), set()
+    for d, t, *_ in docs:
+        w = decontaminate.terms_of(t)
+        for (i, x), answer in zip(bench.items, bench.answers, strict=True):
+            most = int(decontaminate.STRETCH * len(x)) + 1
+            for a in range(0, max(1, len(w) - most + 1)):
+                share = decontaminate.subsequence(x, w[a : a + most]) / len(x)
+                if share >= decontaminate.DIRECT or (share >= decontaminate.LOOSE and decontaminate.subsequence(answer, w[a : a + most]) >= decontaminate.ANSWERED * len(answer)):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_whole_query_as_by_brute_force(spark):
+    docs, items, leaks = setting(12)
+    docs = docs[:60]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string, k int"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = brute(docs, items)
+    # by the cosine's door come paraphrases that are further off; stretches are tried at steps of an eighth of the item
+    assert want == {x for x in leaks if x[0] < 60} and want <= got and len(got - want) <= 1
+
+
+def test_paraphrases_are_found_through_the_latent_space(spark, monkeypatch):
+    """Half of the words exchanged, the rest in order: too few for the words' own doors."""
+    docs, items, leaks = setting(13)
+    rng = random.Random(3)
+    more = []
+    for i, t in items:
+        w, c = t.split(), decontaminate.Benchmark(items).columns
+        keep = set(rng.sample(range(len(w)), int(0.36 * len(w)))) | set([k for k, x in enumerate(w) if x.encode() in c][-4:])
+        more.append((3000 + i, " ".join(["before"] * 30 + [x if k in keep else f"other{k}" for k, x in enumerate(w)] + ["after"] * 30), 1))
+    d, b = spark.createDataFrame([*docs, *more], "doc_id bigint, text string, k int"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = lambda: {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()}
+    got = found()
+    wanted = {(3000 + i, i) for i, _ in items}
+    assert len(got & wanted) >= 0.7 * len(wanted) and got - wanted == leaks
+    monkeypatch.setattr(decontaminate, "NEAR", 2.0)
+    assert len(found() & wanted) < len(got & wanted)
+
+
+def test_a_large_benchmark_in_slices_and_a_sketch_of_its_rows(spark, monkeypatch):
+    docs, items, leaks = setting(14)
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string, k int"), spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(decontaminate, "SLICE", 2500)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()} == leaks
+    monkeypatch.setattr(decontaminate, "SLICE", 10**7)
+    monkeypatch.setattr(decontaminate, "TABLE", 8000)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()} == leaks
