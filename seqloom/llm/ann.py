@@ -4,15 +4,18 @@ Every row is indexed. Equal vectors are one node, so that any number of copies s
 and its members come back when results are written (the smallest ids of a node are enough: more than TOP + 1
 never fit into a result). The first graph joins neighbours in blocks along an order of the vectors by their
 nearest pivots; then each iteration joins, at every node, its neighbours with one another (the neighbours of
-neighbours) and keeps each node's K nearest. Nodes with many incoming links are dealt into groups by a
-salt: no link is dropped. A query walks the graph greedily: it starts at its own node and at the entry
-points nearest to it, expands the nearest nodes of its beam that are not expanded, and ends when none is left.
-Distances that are returned are computed on the original vectors in double precision.
+neighbours) and keeps each node's K nearest, until an iteration changes less than DONE of all links. Nodes with many
+incoming links are dealt into groups by a salt: every link takes part, and neighbours of such a node meet within
+their group (those of different groups only by way of other nodes). A query walks the graph greedily: it starts at
+its own node and at the entry points nearest to it, expands the nodes of its beam that are not expanded, and ends
+when none is left, however many hops that takes. Distances that are returned are computed on the original vectors
+in double precision; those that only build the graph are in single precision.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those of another
 length than the most frequent one, take no part; rows with a null vec_id take no part; repeated ids are rows
-of their own, but never candidates of the query with their id; a query with fewer candidates than TOP gets
-all that its walk finds; an empty table gives no rows; further columns are ignored.
+of their own, but never candidates of the query with their id; a repeated id with several vectors is one query, by
+the smallest of them; where there are no more vectors than entry points, a query meets all of them; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +28,21 @@ from pyspark.sql import Window as W
 
 from .common import cut, drop, ready, tidy
 
-TOP, K, ITERATIONS, BEAM, HOPS = 10, 32, 8, 160, 10
+TOP, K, BEAM = 10, 32, 160
+#: NN-descent ends when an iteration changes less than this share of all links.
+DONE = 0.002
 #: Rows of a block of the first graph; pivots and entry points (bounded samples); members of a local join.
 BLOCK, PIVOTS, ENTRIES, GROUP, STARTS = 160, 256, 512, 160, 4
 
 
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
+def matrix(column: pa.Array, dim: int, kind: type = np.float32) -> np.ndarray:
     flat = column.flatten() if not isinstance(column, pa.ChunkedArray) else column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    return flat.to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(-1, dim)
+
+
+def kind_of(rows: DataFrame, column: str) -> str:
+    """SQL type of vectors in a column."""
+    return dict(rows.dtypes)[column]
 
 
 def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -42,11 +52,12 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def valid(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """vec_id and v of the rows that take part, and their length."""
+    """vec_id and v (floats as they are, other numbers as doubles) of the rows that take part, and their length."""
     v = F.col("embedding")
+    kind = "float" if kind_of(vectors, "embedding") == "array<float>" else "double"
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite)
-    rows = rows.where(F.exists(v, lambda x: x != 0)).select("vec_id", F.transform(v, lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("v"))
+    rows = rows.where(F.exists(v, lambda x: x != 0)).select("vec_id", F.transform(v, lambda x: x.cast(kind) + F.lit(0.0).cast(kind)).alias("v"))
     best = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
     dim = best.n if best else 1
     return rows.where(F.size("v") == dim), dim
@@ -92,7 +103,7 @@ def first_graph(nodes: DataFrame, dim: int, seed: int) -> DataFrame:
             yield out
 
     spark = nodes.sparkSession
-    placed = cut(nodes.select("node", "v").mapInArrow(place, "node bigint, v array<float>, pivot int, near double"))
+    placed = cut(nodes.select("node", "v").mapInArrow(place, f"node bigint, v {kind_of(nodes, 'v')}, pivot int, near double"))
     # a partition holds blocks, whatever the number of shuffle partitions
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), placed.count() // (4 * BLOCK)))
     return placed.repartitionByRange(parts, "pivot", "near").sortWithinPartitions("pivot", "near").select("node", "v").mapInArrow(join, "node bigint, nbr bigint, d double")
@@ -146,7 +157,7 @@ def graph_of(nodes: DataFrame, dim: int) -> DataFrame:
     spark = nodes.sparkSession
     graph = cut(nearest_k(first_graph(nodes, dim, 1).unionByName(first_graph(nodes, dim, 2)), K))
     size = nodes.count()
-    for _ in range(ITERATIONS):
+    while True:
         new = improved(graph, nodes, dim)
         better = new.join(graph.select("node", "nbr"), ["node", "nbr"], "left_anti")
         changes = better.count()
@@ -154,9 +165,8 @@ def graph_of(nodes: DataFrame, dim: int) -> DataFrame:
         drop(spark, graph, new)
         tidy(spark)
         graph = merged
-        if changes < 0.002 * K * size:
-            break
-    return graph
+        if changes <= DONE * K * size:
+            return graph
 
 
 def distances(pairs: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
@@ -164,7 +174,7 @@ def distances(pairs: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int)
 
     def run(batches):
         for b in batches:
-            d = matrix(b.column("q"), dim).astype(np.float64) - matrix(b.column("v"), dim).astype(np.float64)
+            d = matrix(b.column("q"), dim, np.float64) - matrix(b.column("v"), dim, np.float64)
             yield pa.RecordBatch.from_arrays([b.column("query"), b.column("node"), pa.array((d * d).sum(1))], names=["query", "node", "d"])
 
     return pairs.join(nodes, "node").join(queries, "query").select("query", "node", "q", "v").mapInArrow(run, "query bigint, node bigint, d double")
@@ -192,7 +202,7 @@ def walk(nodes: DataFrame, graph: DataFrame, queries: DataFrame, dim: int) -> Da
     q = queries.select("query", "q")
     links = cut(graph.select("node", "nbr").unionByName(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct())
     beam = cut(distances(starts, nodes, q, dim).withColumn("done", F.lit(False)))
-    for _ in range(HOPS):
+    while True:
         open_ = beam.where("not done")
         if not open_.limit(1).count():
             break
@@ -223,7 +233,7 @@ def search(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     named = rows.join(ids, "v").select("vec_id", "node", "v")
     order = W.partitionBy("node").orderBy("vec_id")
     members = cut(named.select("node", "vec_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1).drop("r"))
-    queries = cut(named.where(is_query).select(F.col("vec_id").alias("query"), F.col("node").alias("own"), F.col("v").alias("q")).dropDuplicates(["query"]))
+    queries = cut(named.where(is_query).select(F.col("vec_id").alias("query"), F.col("node").alias("own"), F.col("v").alias("q")).groupBy("query").agg(F.min(F.struct("q", "own")).alias("s")).select("query", "s.own", "s.q"))
     beam = walk(ids, graph, queries, dim)
     drop(spark, graph)
     near = beam.join(members, "node").where("vec_id <> query")

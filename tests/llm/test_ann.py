@@ -76,3 +76,25 @@ def test_fewer_vectors_than_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert {q: [j for _, j in v] for q, v in got.items()} == {q: [j for _, j in v] for q, v in exact(rows).items()}
+
+
+def test_doubles_and_one_id_with_two_vectors(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.random() for _ in range(5)]) for i in range(150)] + [(100, [0.0, 0.1, 0.2, 0.3, 0.4]), (3, [0.5] * 5)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id % 100 = 0").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    for q in (0, 100):
+        own = min(v for i, v in rows if i == q)
+        want = sorted((math.dist(own, v), i) for i, v in rows if i != q)[:10]
+        assert [j for _, j in sorted(got[q])] == [j for _, j in want] and np.allclose([s for s, _ in sorted(got[q])], [s for s, _ in want], rtol=1e-14, atol=0)
+
+
+def test_a_walk_ends_when_nothing_is_left(spark, monkeypatch):
+    """A chain: from its one end to the other takes as many hops as there are nodes."""
+    monkeypatch.setattr(ann, "ENTRIES", 2)
+    n = 40
+    nodes = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(n)], "node bigint, v array<float>")
+    graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n - 1)], "node bigint, nbr bigint, d double")
+    queries = spark.createDataFrame([(1, [float(n), 1.0], 0)], "query bigint, q array<float>, own bigint")
+    assert sorted(r.node for r in ann.walk(nodes, graph, queries, 2).collect()) == list(range(n))
