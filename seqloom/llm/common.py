@@ -55,8 +55,10 @@ def together(batches: Iterable[pa.RecordBatch], size: int = 1 << 22) -> Iterator
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder in the one that driver and executors share; one of our own only if none is set."""
+    """A fresh folder in the one that driver and executors share. Where none is set: beside the warehouse's tables, or a temporary one if all runs in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_temporary_tables"
     if not base:
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="llm_"))
