@@ -74,11 +74,10 @@ def kmers(seq: Column, k: int) -> Column:
 
 
 def without_odd_letters(seq: Column, seed: str = "ACGT") -> Column:
-    """Letters that are no bases replaced by the seed, cyclically and anew after each real base."""
-    n = len(seed)
-    step = lambda s, c: F.when(c.rlike("[ACGT]"), F.struct(F.concat(s["out"], c).alias("out"), F.lit(0).alias("at"))).otherwise(F.struct(F.concat(s["out"], F.substr(F.lit(seed), s["at"] % n + 1, F.lit(1))).alias("out"), (s["at"] + 1).alias("at")))
-    whole = F.aggregate(F.split(F.upper(seq), ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda s, c: F.when(c == "", s).otherwise(step(s, c)), lambda s: s["out"])
-    return F.when(is_acgt(F.upper(seq)), F.upper(seq)).otherwise(whole)
+    """Letters that are no bases replaced by the seed, cyclically and anew after each real base: run by run."""
+    runs = F.regexp_extract_all(F.upper(seq), F.lit("[ACGT]+|[^ACGT]+"), F.lit(0))
+    filled = F.transform(runs, lambda r: F.when(r.rlike("^[ACGT]"), r).otherwise(F.rpad(F.lit(""), F.length(r), F.lit(seed))))
+    return F.when(is_acgt(F.upper(seq)), F.upper(seq)).otherwise(F.array_join(filled, ""))
 
 
 def max_errors(length: Column, identity: int, limit: int = MAX_ERRORS) -> Column:

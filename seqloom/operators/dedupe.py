@@ -17,44 +17,44 @@ def unique(hits: DataFrame, by_strand: bool) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def non_redundant(hits: DataFrame, k: int, by_strand: bool) -> DataFrame:
+def non_redundant(hits: DataFrame, k: int | None, by_strand: bool) -> DataFrame:
     """Of overlapping edit-distance hits (begins at most 2k apart) the best survives.
 
     A fold over the hits of a sequence in the order of begin, distance, width: a hit near the last survivor
     replaces it if it is strictly better in distance, or in width at equal distance, and goes otherwise; only the
-    last survivor counts. hits may have a column k of their own. The fold streams through sorted partitions.
+    last survivor counts. hits may have a column k of their own; with k = None the larger distance of the two hits
+    is the radius, so that exact hits never fold one another. The fold streams through sorted partitions: a batch
+    is decided on its numbers alone, and only survivors are carried on.
     """
     ship(hits.sparkSession)
     group = ["read_id", "seq_id", *(["strand"] if by_strand else [])]
     names = hits.columns
     if "k" not in names:
-        hits = hits.withColumn("k", F.lit(k))
+        hits = hits.withColumn("k", F.lit(-1 if k is None else k))
     full = hits.repartition(*group).sortWithinPartitions(*group, "begin", "distance", F.col("end") - F.col("begin"), "strand", "cigar")
 
     def run(batches):
-        key, kept = None, None
+        last = None
         for b in batches:
-            rows, out = b.to_pylist(), []
-            for r in rows:
-                at = tuple(r[g] for g in group)
-                if at != key:
-                    if kept is not None:
-                        out.append(kept)
-                    key, kept = at, r
-                    continue
-                gap = r["begin"] - kept["begin"]
-                if gap == 0:
-                    continue
-                if gap <= 2 * r["k"]:
-                    if (r["distance"], r["end"] - r["begin"]) >= (kept["distance"], kept["end"] - kept["begin"]):
+            if last is not None:
+                b = pa.concat_batches([last, b])
+            begin, end, distance, radius = (b.column(c).to_pylist() for c in ("begin", "end", "distance", "k"))
+            keys, out, kept = list(zip(*(b.column(g).to_pylist() for g in group), strict=True)), [], 0
+            for i in range(1, b.num_rows):
+                if keys[i] == keys[kept]:
+                    gap, most = begin[i] - begin[kept], radius[i] if radius[i] >= 0 else max(distance[i], distance[kept])
+                    if gap == 0:
                         continue
-                else:
-                    out.append(kept)
-                kept = r
+                    if gap <= 2 * most:
+                        if (distance[i], end[i] - begin[i]) < (distance[kept], end[kept] - begin[kept]):
+                            kept = i
+                        continue
+                out.append(kept)
+                kept = i
+            last = b.slice(kept, 1) if b.num_rows else last
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=b.schema)
-            last = b.schema
-        if kept is not None:
-            yield pa.RecordBatch.from_pylist([kept], schema=last)
+                yield b.take(pa.array(out))
+        if last is not None:
+            yield last
 
     return full.mapInArrow(run, full.schema).select(*names)

@@ -40,12 +40,16 @@ def dynamic(reads: DataFrame, frequencies: DataFrame, parts: int, k: int) -> Dat
     return out.select("read_id", "p.*")
 
 
-def seeds(queries: DataFrame, k: Column | int) -> DataFrame:
-    """read_id, strand, q, kmer, offset: with k errors one of k + 1 parts is free of errors, so its first q letters match."""
+def seeds(queries: DataFrame, k: Column | int, longest: int = LONGEST) -> DataFrame:
+    """read_id, strand, q, kmer, offset: with k errors one of k + 1 parts is free of errors, so its first q letters match.
+
+    A read of at most k letters may match without a single letter in common: its one seed is empty and meets every
+    position.
+    """
     k = F.lit(k) if isinstance(k, int) else k
-    q = F.least(F.lit(LONGEST), F.floor(F.length("seq") / (k + 1))).cast("int")
-    parts = queries.select("read_id", "strand", "seq", q.alias("q"), k.alias("k")).where("q > 0")
-    at = parts.select("read_id", "strand", "seq", "q", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    q = F.least(F.lit(longest), F.floor(F.length("seq") / (k + 1))).cast("int")
+    parts = queries.where(F.length("seq") > 0).select("read_id", "strand", "seq", q.alias("q"), k.alias("k"))
+    at = parts.select("read_id", "strand", "seq", "q", "k", F.explode(F.sequence(F.lit(0), F.when(F.col("q") > 0, F.col("k")).otherwise(0))).alias("i"))
     offset = F.floor(F.col("i") * F.length("seq") / (F.col("k") + 1)).cast("int")
     out = at.select("read_id", "strand", "q", F.substr("seq", offset + 1, F.col("q")).alias("kmer"), offset.alias("offset"))
     return out.where(~F.col("kmer").contains("N"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Tiles keep substring() cheap, which walks from the start of its string.
-KMER_TILE, WINDOW_TILE = 128, 1024
+from ..ship import ship
+
+#: Tiles keep substring() cheap, which walks from the start of its string; so many are made at a time.
+KMER_TILE, WINDOW_TILE, AT_ONCE = 128, 1024, 4096
 
 
 def dealt(df: DataFrame) -> DataFrame:
@@ -17,17 +20,31 @@ def dealt(df: DataFrame) -> DataFrame:
 
 
 def tiles(ref: DataFrame, size: int, before: int, after: int) -> DataFrame:
-    """seq_id, tile, begin (0-based, of text), text: pieces of the sequences with their neighbourhood."""
-    n = F.length("seq")
-    at = ref.where(n > 0).select("seq_id", "seq", F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(size))).alias("tile", "core"))
-    begin = F.greatest(F.col("core") - before, F.lit(0))
-    return at.select("seq_id", "tile", begin.alias("begin"), F.substr("seq", begin + 1, F.col("core") + size + after - begin).alias("text"))
+    """seq_id, tile, begin (0-based, of text), text: pieces of the sequences with their neighbourhood.
+
+    One pass over each sequence, in Arrow batches of a few megabytes: the time is that of the letters.
+    """
+    ship(ref.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for seq_id, seq in zip(b.column("seq_id").to_pylist(), b.column("seq"), strict=True):
+                seq = seq.as_py()  # one sequence at a time
+                n = len(seq)
+                for part in range(0, n, size * AT_ONCE):
+                    cores = range(part, min(part + size * AT_ONCE, n), size)
+                    begins = [max(0, c - before) for c in cores]
+                    texts = [seq[i : c + size + after] for i, c in zip(begins, cores, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([seq_id] * len(begins), pa.int64()), pa.array([c // size for c in cores], pa.int32()), pa.array(begins, pa.int32()), pa.array(texts, pa.string())], names=["seq_id", "tile", "begin", "text"])
+
+    some = ref.where(F.length("seq") > 0).select(F.col("seq_id").cast("bigint").alias("seq_id"), "seq")
+    return some.mapInArrow(run, "seq_id bigint, tile int, begin int, text string")
 
 
 def kmers(ref: DataFrame, *sizes: int) -> DataFrame:
     """q, kmer, seq_id, pos (0-based) of every k-mer of each of the sizes."""
     most = max(sizes)
-    pieces = tiles(dealt(ref), KMER_TILE, 0, most - 1)
+    pieces = tiles(dealt(ref), KMER_TILE, 0, max(0, most - 1))
     q = F.explode(F.array(*[F.lit(s) for s in sizes])).alias("q")
     pieces = pieces.select("seq_id", "begin", "text", q)
     last = F.least(F.lit(KMER_TILE), F.length("text") - F.col("q") + 1)

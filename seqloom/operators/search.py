@@ -32,8 +32,8 @@ def both_strands(reads: DataFrame) -> DataFrame:
 def _extent(queries: DataFrame) -> tuple[list[int], int, int]:
     """Of queries with k: seed lengths in use (LONGEST values at most), length of the longest, most errors; one job."""
     q = F.least(F.lit(LONGEST), F.floor(F.length("seq") / (F.col("k") + 1))).cast("int")
-    r = queries.agg(F.collect_set(q).alias("q"), F.max(F.length("seq")).alias("m"), F.max("k").alias("k")).first()
-    return sorted(x for x in r.q if x > 0) or [1], r.m or 0, r.k or 0
+    r = queries.where(F.length("seq") > 0).agg(F.collect_set(q).alias("q"), F.max(F.length("seq")).alias("m"), F.max("k").alias("k")).first()
+    return sorted(r.q) or [1], r.m or 0, r.k or 0
 
 
 def candidates(queries: DataFrame, ref: DataFrame, sizes: list[int]) -> DataFrame:
@@ -101,7 +101,7 @@ def edit(queries: DataFrame, ref: DataFrame, k) -> DataFrame:
             for i, found in enumerate(kernels.align(c["seq"], c["text"], c["k"])):
                 s, k = c["start"][i], c["k"][i]
                 for begin, end, d, cigar in found:
-                    if c["low"][i] - k <= s + begin <= c["high"][i] + k:
+                    if end > begin and c["low"][i] - k <= s + begin <= c["high"][i] + k:
                         rows.append((c["read_id"][i], c["strand"][i], c["seq_id"][i], s + begin, s + end, d, cigar))
             if rows:
                 cols = list(zip(*rows, strict=True))

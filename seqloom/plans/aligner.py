@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import dna
 from ..operators import dedupe, insert_size, pairing, ranking, search
@@ -73,8 +74,15 @@ def hits(reads: DataFrame, ref: DataFrame, o: Options, per_strand: bool | None =
     found = found.join(reads.select("read_id", limit.alias("max_distance")), "read_id")
     by_strand = o.mode == "best" if per_strand is None else per_strand
     found = dedupe.unique(found, by_strand)
-    if o.metric == "edit":
-        found = dedupe.non_redundant(found.withColumnRenamed("max_distance", "k"), o.max_distance, by_strand).withColumnRenamed("k", "max_distance")
+    if o.metric == "edit" and o.mode == "all":
+        found = dedupe.non_redundant(found.withColumn("k", F.col("max_distance")), o.max_distance, by_strand).drop("k")
+    elif o.metric == "edit" and per_strand is None:
+        # strata first: hits beyond them fold nothing, and exact hits are all reported
+        last = F.least(F.min("distance").over(W.partitionBy("read_id")) + o.strata_after_best, F.col("max_distance"))
+        found = found.withColumn("k", last).where(F.col("distance") <= F.col("k"))
+        found = dedupe.non_redundant(found, None, by_strand).drop("k")
+    elif o.metric == "edit":  # mates: which stratum counts is known only of pairs
+        found = dedupe.non_redundant(found, None, by_strand)
     if not o.cigar:
         found = found.withColumn("cigar", F.lit("*"))
     return found

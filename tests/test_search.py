@@ -44,7 +44,7 @@ def brute_hamming(ref, reads, k):
             for i, _, _, t in ref:
                 for b in range(len(t) - len(q) + 1):
                     d = sum(x != y or x == "N" for x, y in zip(q, t[b : b + len(q)]))
-                    if d <= k and len(q) > k:
+                    if q and d <= k:
                         out.add((r, strand, i, b, b + len(q), d))
     return out
 
@@ -79,6 +79,8 @@ def test_edit_finds_every_centre(spark):
     got = {}
     for x in search.edit(search.both_strands(rd), rf, k).collect():
         got.setdefault((x.read_id, x.strand, x.seq_id), {})[x.end] = x
+    # a read of at most k letters matches at every place, if need be without one of its letters
+    assert {x.seq_id for (r, _, _), f in got.items() if r == 501 for x in f.values()} == {r[0] for r in ref if r[3]}
     for r, s in reads:
         if len(s) <= k:
             continue
@@ -123,6 +125,37 @@ def test_cigars_and_best_hits(spark):
     assert sum(h.is_primary for h in best) == len({h.read_id for h in best})
 
 
+def test_tandem_repeats_keep_all_their_best_hits(spark):
+    rf = spark.createDataFrame([(0, 0, "s", "ACGT" * 30)], REF)
+    rd = spark.createDataFrame([(1, "ACGT" * 10), (2, "ACGT" * 5 + "TACGTACGTACGTACGTACGT")], READ)
+    best = [h for h in single_end(rd, rf, Options(mode="best", min_identity=95)).collect() if h.read_id == 1]
+    assert len(best) == 42 and {h.distance for h in best} == {0} and {h.n_best for h in best} == {42}
+    # a stratum more: the radius is that of the last one reported
+    more = [h for h in single_end(rd, rf, Options(mode="best", min_identity=95, strata_after_best=1)).collect() if h.read_id == 1]
+    assert {h.distance for h in more} == {0} and 0 < len(more) <= 42
+    two = [h for h in single_end(rd, rf, Options(mode="best", min_identity=95)).collect() if h.read_id == 2]
+    assert {h.distance for h in two} == {1} and len(two) > 2
+
+
+def test_time_of_tiles_is_that_of_the_letters(spark):
+    import time
+
+    from seqloom.functions import dna
+    from seqloom.operators import reference
+    from pyspark.sql import functions as F
+
+    def took(n):
+        seq = F.concat(F.repeat(F.lit("ACGTTGCA"), n // 16), F.repeat(F.lit("N"), n // 4), F.repeat(F.lit("CCGTTGAA"), n // 32))
+        df = spark.range(1).select(F.lit(0).cast("bigint").alias("seq_id"), dna.without_odd_letters(seq, "GATT").alias("seq"))
+        began = time.time()
+        rows = reference.tiles(df, 1024, 100, 100).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("m")).first()
+        assert rows.n == -(-n // 1024)
+        return time.time() - began
+
+    took(100_000)
+    assert took(16_000_000) < 16 * max(took(2_000_000), 0.5)
+
+
 def test_metamorphic_scheme_and_strand(spark):
     ref, reads = data(4)
     rf = spark.createDataFrame(ref, REF)
