@@ -7,10 +7,12 @@ Their TF-IDF matrix has a column for each benchmark term (terms of many items, w
 left out, but each item keeps LEAST of its terms and as many as cover more words than a leak may lack). One pass
 over all documents gathers document frequencies and the sketch C'(C X) of the count matrix C with a random X,
 summed by Spark; scaled by the IDF and joined with the benchmark's own rows it gives the leading right singular
-vectors (a one-pass randomised SVD of a positive matrix). A second pass searches: candidates are
+vectors (a one-pass randomised SVD of a positive matrix). The corpus' leading directions expand each item's row: terms
+that stand where the item's terms stand in the corpus get a weight in it (EXPANDED of them at most, each of TRIM
+of the item's largest). A second pass searches all passages: candidates are
 
-- all pairs of a passage and an item of its class whose cosine in the latent space is at least NEAR (all pairs are
-  compared, in blocks, in a random projection to SCREEN dimensions first; those within SLACK of NEAR exactly), and
+- all pairs of a passage and an item of its class whose cosine, of the passage's row and the item's expanded row, is at
+  least NEAR, and
 - all pairs that share so much of the item's columns and answer that a leak is possible at all, whatever their
   cosine: this loses none, however the latent space was cut.
 
@@ -42,8 +44,8 @@ from pyspark.sql import functions as F
 from .common import ready
 
 DIRECT, LOOSE, ANSWER, ANSWERED = 0.7, 0.5, 5, 0.8
-#: Candidates by cosine, and what they need; dimensions of the first comparison, and what it may be wrong by.
-NEAR, FAINT, SAID, SCREEN, SLACK = 0.5, 0.4, 0.6, 96, 0.25
+#: Candidates by cosine, and what they need; terms that an item is expanded by, and their least weight.
+NEAR, FAINT, SAID, EXPANDED, TRIM = 0.5, 0.4, 0.6, 64, 0.1
 #: What matches an item lies in a stretch of so many times its length.
 STRETCH = 1.5
 #: A term of more than this share of the items is no column, unless an item has too few others.
@@ -181,8 +183,8 @@ def gathered(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> tuple[int, np.
     return total, df, y
 
 
-def singular(bench: Benchmark, idf: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Latent space (terms x rank): leading right singular vectors of the passages' TF-IDF rows, from the sketch, and the items' rows."""
+def singular(bench: Benchmark, idf: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors of the passages' TF-IDF rows, from the sketch; and the latent space (terms x rank) of these and the items' rows."""
     z = idf[:, None] * y
     core = (x / idf[:, None]).T @ z  # the scaled rows have met the random matrix x / idf
     values, vectors = np.linalg.eigh((core + core.T) / 2)
@@ -200,7 +202,27 @@ def singular(bench: Benchmark, idf: np.ndarray, y: np.ndarray, x: np.ndarray) ->
             j = slice(i, i + (1 << 14))
             np.add.at(own, bench.col[j], weight[j, None] * mixed[bench.at[j]])
     u, s, _ = np.linalg.svd(np.hstack([leading, own]), full_matrices=False)
-    return u[:, s > 1e-6 * s.max(initial=1.0)][:, :rank]
+    return leading, u[:, s > 1e-6 * s.max(initial=1.0)][:, :rank]
+
+
+def expanded(bench: Benchmark, idf: np.ndarray, leading: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells (item, column, weight) of the items' unit rows after expansion, own columns first."""
+    weight = idf[bench.col] / np.sqrt(np.bincount(bench.at, idf[bench.col] ** 2, len(bench.items)))[bench.at]
+    along = np.add.reduceat(weight[:, None] * leading[bench.col], np.flatnonzero(np.diff(bench.at, prepend=-1)))
+    own = weight + np.einsum("ij,ij->i", along[bench.at], leading[bench.col])
+    at, col, more = [bench.at], [bench.col], [own]
+    first = np.searchsorted(bench.at, np.arange(len(bench.items) + 1))
+    for i in range(len(bench.items)):
+        row = leading @ along[i]
+        mine = slice(first[i], first[i + 1])
+        row[bench.col[mine]] = 0
+        top = np.argpartition(row, -EXPANDED)[-EXPANDED:] if len(row) > EXPANDED else np.arange(len(row))
+        top = np.sort(top[row[top] >= TRIM * own[mine].max()])
+        at.append(np.full(len(top), i))
+        col.append(top)
+        more.append(row[top])
+    at, col, more = map(np.concatenate, (at, col, more))
+    return at, col, more / np.sqrt(np.bincount(at, more**2, len(bench.items)))[at]
 
 
 def subsequence(a: list[bytes], b: list[bytes]) -> int:
@@ -260,24 +282,23 @@ def _leaks(docs: DataFrame, bench: Benchmark) -> DataFrame:
     x = np.random.default_rng(11).standard_normal((len(bench.columns), min(LEADING, len(bench.columns)))).astype(np.float32)
     passages, df, y = gathered(docs, bench, x)
     idf = np.log((2.0 + passages) / (1.0 + df))
-    v = singular(bench, idf, y, x.astype(np.float64))
+    leading, v = singular(bench, idf, y, x.astype(np.float64))
     terms = (idf[:, None] * v).astype(np.float32)
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    queries = unit(bench.sums(terms))
-    mixed = np.random.default_rng(13).standard_normal((terms.shape[1], SCREEN)).astype(np.float32) / np.sqrt(np.float32(SCREEN)) if terms.shape[1] > 2 * SCREEN else None
-    screen = (terms, queries, NEAR) if mixed is None else (terms @ mixed, unit(queries @ mixed), NEAR - SLACK)
+    queries = bench.sums(terms)
+    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
     sizes = bench.counts, bench.answer_counts, bench.lengths
-    # for each class: its stride and items, and the items of each term, one after another
-    classes = []
-    by_col = np.argsort(bench.col, kind="stable")
+    # for each class: its stride, and the cells of its items, by term: item, times in it and its answer (0 for expansions), weight
+    at, col, weight = expanded(bench, idf, leading)
+    none = np.zeros(len(at) - len(bench.at))
+    times, said = np.concatenate([bench.times, none]), np.concatenate([bench.said, none])
+    classes, by_col = [], np.argsort(col, kind="stable")
     for stride in np.unique(bench.strides).tolist():
-        cells = by_col[bench.strides[bench.at[by_col]] == stride]
-        where = np.searchsorted(bench.col[cells], np.arange(len(bench.columns) + 1))
-        classes.append((stride, np.flatnonzero(bench.strides == stride), bench.at[cells], where, (bench.times[cells].astype(np.float64), bench.said[cells].astype(np.float64))))
+        cells = by_col[bench.strides[at[by_col]] == stride]
+        classes.append((stride, at[cells], np.searchsorted(col[cells], np.arange(len(bench.columns) + 1)), (times[cells], said[cells], weight[cells])))
     # own TF-IDF rows: squares of the items' norms, and of the columns' weights
     squares = idf**2
     lengths = bench.sums(squares)
-    share = spark.sparkContext.broadcast((bench.columns, bench.items, bench.answers, terms, queries, screen, classes, sizes, squares, lengths))
+    share = spark.sparkContext.broadcast((bench.columns, bench.items, bench.answers, terms, queries, classes, sizes, squares, lengths, idf))
 
     def dealt(batches, columns, classes):
         for b in batches:
@@ -286,58 +307,48 @@ def _leaks(docs: DataFrame, bench: Benchmark) -> DataFrame:
                 c.deal(one[0])
                 yield b, c, one
 
-    def vectors(table, words, part, first):
-        """Unit vectors of passages: sums of the rows of their columns."""
-        who, every = spread(first[part], first[part + 1])
-        z = np.add.reduceat(table[words[every]], np.flatnonzero(np.diff(who, prepend=-1)))
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12), who, every
-
     def run(batches):
-        columns, items, answers, terms, queries, screen, classes, sizes, squares, lengths = share.value
+        columns, items, answers, terms, queries, classes, sizes, squares, lengths, idf = share.value
         n = len(columns) + 1
-        small, small_queries, least = screen
-        for b, c, (stride, members, item, where, weights) in dealt(batches, columns, classes):
+        for b, c, (stride, item, where, weights) in dealt(batches, columns, classes):
             pairs = c.pairs(n)
             if not len(pairs):
                 continue
             word, place = pairs % n, pairs // n
             first = np.searchsorted(pairs, np.arange(len(c.opens) + 1) * n)  # columns of each passage
+            norm = np.sqrt(np.bincount(place, squares[word], len(c.opens)))
             meet, k = spread(where[word], where[word + 1])
             met, back = np.unique(place[meet] * len(items) + item[k], return_inverse=True)
-            shared, said = (np.bincount(back, w[k], len(met)) for w in weights)
-            met = met[possible(shared, said, *(x[met % len(items)] for x in sizes))]
-            # search of the latent space: all passages with all items of the class
-            some, close = np.unique(place), []
-            for i in range(0, len(some), 4096):
-                z, _, _ = vectors(small, word, some[i : i + 4096], first)
-                p, q = np.nonzero(z @ small_queries[members].T >= least)
-                close.append(some[i : i + 4096][p] * len(items) + members[q])
-            sure = met
-            met = np.union1d(met, np.concatenate(close))
+            shared, said = (np.bincount(back, w[k], len(met)) for w in weights[:2])
+            near = np.bincount(back, weights[2][k] * idf[word[meet]], len(met)) >= NEAR * norm[met // len(items)]
+            take = near | possible(shared, said, *(x[met % len(items)] for x in sizes))
+            met, near = met[take], near[take]
             if not len(met):
                 continue
             at, q = met // len(items), met % len(items)
-            latent, cos = np.empty(len(met), np.float32), np.empty(len(met), np.float32)
+            cos = np.empty(len(met), np.float32)
             for i in range(0, len(met), 4096):
                 j = slice(i, i + 4096)
                 part, back = np.unique(at[j], return_inverse=True)
-                z, who, every = vectors(terms, word, part, first)
-                latent[j] = np.einsum("ij,ij->i", z[back], queries[q[j]])
-                whole = np.bincount(who, squares[word[every]], len(part))[back] * lengths[q[j]]
+                who, every = spread(first[part], first[part + 1])
+                z = np.add.reduceat(terms[word[every]], np.flatnonzero(np.diff(who, prepend=-1)))
+                z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+                latent = np.einsum("ij,ij->i", z[back], queries[q[j]])
+                whole = norm[at[j]] ** 2 * lengths[q[j]]
                 # squares of the columns that both have
                 own, cell = spread(first[at[j]], first[at[j] + 1])
                 low, high = where[word[cell]], where[word[cell] + 1]
                 pair, held = spread(low, high)
-                common = np.bincount(own[pair], squares[word[cell[pair]]] * (item[held] == q[j][own[pair]]), len(q[j]))
-                cos[j] = np.maximum(latent[j], common / np.sqrt(np.maximum(whole, 1e-24)))
+                common = np.bincount(own[pair], squares[word[cell[pair]]] * ((item[held] == q[j][own[pair]]) & (weights[0][held] > 0)), len(q[j]))
+                cos[j] = np.maximum(latent, common / np.sqrt(np.maximum(whole, 1e-24)))
             ids, rows = b.column("doc_id").to_pylist(), []
-            owner, door = np.searchsorted(c.first, at, "right") - 1, latent >= NEAR
-            for j in np.flatnonzero(door | np.isin(met, sure)).tolist():
+            owner = np.searchsorted(c.first, at, "right") - 1
+            for j in range(len(met)):
                 d = int(owner[j])
                 while not c.words[d]:
                     d -= 1
                 begin = int(at[j] - c.first[d]) * stride
-                lcs, answer, leak = judged(items[q[j]][1], answers[q[j]], c.words[d][begin : begin + 2 * stride], bool(door[j]))
+                lcs, answer, leak = judged(items[q[j]][1], answers[q[j]], c.words[d][begin : begin + 2 * stride], bool(near[j]))
                 if leak:
                     rows.append((ids[d], items[q[j]][0], begin, float(cos[j]), lcs, answer))
             if rows:
