@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 def single_end(reads: DataFrame, hits: DataFrame) -> DataFrame:
     """One row: reads, mapped_reads, mapped_pct, hits, unique_best, avg_hits, avg_distance."""
-    per = hits.groupBy("read_id").agg(F.count("*").alias("h"), F.sum("distance").alias("d"), F.min_by(F.lit(1), "distance").alias("m"), F.min("distance").alias("best"))
+    hits = hits.select("read_id", "distance")
+    per = hits.groupBy("read_id").agg(F.count("*").alias("h"), F.sum("distance").alias("d"), F.min("distance").alias("best"))
     best = hits.join(per.select("read_id", "best"), "read_id").where("distance = best").groupBy("read_id").agg(F.count("*").alias("b"))
-    all_ = reads.select("read_id").join(per.drop("m"), "read_id", "left").join(best, "read_id", "left")
+    all_ = reads.select("read_id").join(per, "read_id", "left").join(best, "read_id", "left")
     n = F.count("*")
     mapped = F.count_if(F.col("h") > 0)
     return all_.agg(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Deviations that count as usual.
 DEVIATIONS = 6
+#: Unambiguous pairs that the inference takes, of so many first reads.
+PAIRS, READS = 750, 10_000
 DEFAULT = {"mean": 0.0, "stddev": 0.0, "min_insert": 0, "max_insert": 500, "orientation": "FR"}
 
 
@@ -24,6 +26,11 @@ def unambiguous(hits: DataFrame) -> DataFrame:
     return both.select("pair_id", kind.alias("orientation"), size.alias("frag_size"))
 
 
+def first_pairs(pairs: DataFrame, most: int = PAIRS, reads: int = READS) -> DataFrame:
+    """Those of the first reads (by pair_id) and, of them, the first pairs: enough to tell the library."""
+    return pairs.where(F.col("pair_id") < reads).orderBy("pair_id").limit(most) if dict(pairs.dtypes)["pair_id"] in ("bigint", "int") else pairs
+
+
 def inferred(pairs: DataFrame) -> DataFrame:
     """One row: n, median, mad, mean, stddev, min_insert, max_insert, orientation.
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: No seed is longer.
-LONGEST = 16
+#: No seed is longer; no read has more errors.
+LONGEST, MOST_ERRORS = 16, 13
 
 
 def uniform(length: Column, parts: int) -> Column:
@@ -40,16 +40,46 @@ def dynamic(reads: DataFrame, frequencies: DataFrame, parts: int, k: int) -> Dat
     return out.select("read_id", "p.*")
 
 
-def seeds(queries: DataFrame, k: Column | int, longest: int = LONGEST) -> DataFrame:
-    """read_id, strand, q, kmer, offset: with k errors one of k + 1 parts is free of errors, so its first q letters match.
+def starts(scheme: list, k: int) -> tuple[int, list[int]]:
+    """Parts, and those with which the searches of a scheme begin, if none of them may have an error there; else those of the pigeonhole."""
+    if all(s.u[0] == 0 for s in scheme):
+        return len(scheme[0].pi), sorted({s.pi[0] for s in scheme})
+    return k + 1, list(range(k + 1))
 
-    A read of at most k letters may match without a single letter in common: its one seed is empty and meets every
-    position.
+
+def seeds(queries: DataFrame, k: Column | int, longest: int = LONGEST, schemes: dict[int, list] | None = None, fractions: dict[int, list[float]] | None = None, frequencies: DataFrame | None = None, width: int = 0) -> DataFrame:
+    """read_id, strand, q, kmer, offset: letters of a read of which some must match exactly within k errors.
+
+    Each error distribution leaves some search of the scheme (by default: of the pigeonhole, k + 1 parts) a first
+    part without errors, so q letters of each such part are enough. They are the first ones of the part, or, with
+    frequencies of k-mers of the given width, the rarest of the part's. fractions: where parts begin, for each k;
+    else they are equal. A read of at most k letters may match without a single letter in common: its one seed is
+    empty and meets every position.
     """
     k = F.lit(k) if isinstance(k, int) else k
-    q = F.least(F.lit(longest), F.floor(F.length("seq") / (k + 1))).cast("int")
-    parts = queries.where(F.length("seq") > 0).select("read_id", "strand", "seq", q.alias("q"), k.alias("k"))
-    at = parts.select("read_id", "strand", "seq", "q", "k", F.explode(F.sequence(F.lit(0), F.when(F.col("q") > 0, F.col("k")).otherwise(0))).alias("i"))
-    offset = F.floor(F.col("i") * F.length("seq") / (F.col("k") + 1)).cast("int")
-    out = at.select("read_id", "strand", "q", F.substr("seq", offset + 1, F.col("q")).alias("kmer"), offset.alias("offset"))
+    rows = queries.where(F.length("seq") > 0).select("read_id", "strand", "seq", k.alias("k"))
+    by_k = {}
+    for errors in range(MOST_ERRORS + 1):
+        by_k[errors] = starts((schemes or {}).get(errors) or [], errors) if (schemes or {}).get(errors) else (errors + 1, list(range(errors + 1)))
+    at = lambda c: F.get(F.array(*[F.array(*[F.lit(x) for x in by_k[e][1]]) if c else F.lit(by_k[e][0]) for e in by_k]), F.col("k"))
+    rows = rows.withColumn("p", at(False)).withColumn("m", F.length("seq"))
+    rows = rows.withColumn("whole", F.col("m") < F.col("p"))
+    rows = rows.withColumn("i", F.explode(F.when(F.col("whole"), F.array(F.lit(0))).otherwise(at(True))))
+    edge = lambda i: F.floor(i * F.col("m") / F.col("p")).cast("int")
+    if fractions:
+        given = F.get(F.array(*[F.array(*[F.lit(float(x)) for x in ([0.0, *fractions[e], 1.0] if e in fractions and len(fractions[e]) == by_k[e][0] - 1 else [j / by_k[e][0] for j in range(by_k[e][0] + 1)])]) for e in by_k]), F.col("k"))
+        edge = lambda i: F.floor(F.get(given, i) * F.col("m")).cast("int")
+    rows = rows.withColumn("begin", F.when(F.col("whole"), 0).otherwise(edge(F.col("i")))).withColumn("end", F.when(F.col("whole"), 0).otherwise(edge(F.col("i") + 1)))
+    rows = rows.withColumn("q", F.least(F.lit(longest), F.col("end") - F.col("begin")))
+    out = rows.select("read_id", "strand", "i", "q", "seq", F.col("begin").alias("offset"), "end")
+    if frequencies is not None:
+        # of all places in the part the one whose letters are rarest
+        most = F.when(F.col("q") == width, F.col("end") - width).otherwise(F.col("offset"))
+        every = out.select("read_id", "strand", "i", "q", "seq", F.explode(F.sequence("offset", most)).alias("offset"))
+        every = every.select("read_id", "strand", "i", "q", "offset", F.substr("seq", F.col("offset") + 1, F.col("q")).alias("kmer"))
+        seen = every.join(frequencies.select("kmer", "n"), "kmer", "left")
+        rare = F.min_by(F.struct("kmer", "offset"), F.struct(F.coalesce("n", F.lit(0)), "offset"))
+        out = seen.where(~F.col("kmer").contains("N")).groupBy("read_id", "strand", "i", "q").agg(rare.alias("s")).select("read_id", "strand", "q", "s.kmer", "s.offset")
+        return out
+    out = out.select("read_id", "strand", "q", F.substr("seq", F.col("offset") + 1, F.col("q")).alias("kmer"), "offset")
     return out.where(~F.col("kmer").contains("N"))

@@ -41,8 +41,29 @@ def tiles(ref: DataFrame, size: int, before: int, after: int) -> DataFrame:
     return some.mapInArrow(run, "seq_id bigint, tile int, begin int, text string")
 
 
-def kmers(ref: DataFrame, *sizes: int) -> DataFrame:
-    """q, kmer, seq_id, pos (0-based) of every k-mer of each of the sizes."""
+def is_prepared(ref) -> bool:
+    return not isinstance(ref, DataFrame)
+
+
+def windows(ref, pad: int) -> DataFrame:
+    """seq_id, tile, begin, text: tiles of WINDOW_TILE letters with at least pad around."""
+    if is_prepared(ref) and ref.pad >= pad:
+        return ref.windows
+    return tiles(ref.sequences if is_prepared(ref) else ref, WINDOW_TILE, pad, pad)
+
+
+def lengths(ref) -> DataFrame:
+    """seq_id, len."""
+    return ref.names.select("seq_id", "len") if is_prepared(ref) else ref.select("seq_id", F.length("seq").cast("bigint").alias("len"))
+
+
+def kmers(ref, *sizes: int) -> DataFrame:
+    """q, kmer, seq_id, pos (0-based) of every k-mer of each of the sizes; those that a prepared reference has are read."""
+    if is_prepared(ref):
+        own = ref.kmers.select(F.lit(ref.k).alias("q"), "kmer", "seq_id", "pos")
+        rest = [s for s in sizes if s != ref.k]
+        made = kmers(ref.sequences, *rest) if rest else None
+        return made if ref.k not in sizes else own if made is None else own.unionByName(made)
     most = max(sizes)
     pieces = tiles(dealt(ref), KMER_TILE, 0, max(0, most - 1))
     q = F.explode(F.array(*[F.lit(s) for s in sizes])).alias("q")

@@ -16,7 +16,7 @@ from ..functions import dna
 from ..ship import ship
 from . import kernels
 from .partition import LONGEST, seeds
-from .reference import WINDOW_TILE, kmers, tiles
+from .reference import WINDOW_TILE, is_prepared, kmers, lengths, windows
 
 #: Candidates of one read whose begins lie in one block are verified together.
 BLOCK = 64
@@ -29,36 +29,50 @@ def both_strands(reads: DataFrame) -> DataFrame:
     return reads.select(*rest, of.alias("s")).select(*rest, "s.*")
 
 
-def _extent(queries: DataFrame) -> tuple[list[int], int, int]:
-    """Of queries with k: seed lengths in use (LONGEST values at most), length of the longest, most errors; one job."""
-    q = F.least(F.lit(LONGEST), F.floor(F.length("seq") / (F.col("k") + 1))).cast("int")
-    r = queries.where(F.length("seq") > 0).agg(F.collect_set(q).alias("q"), F.max(F.length("seq")).alias("m"), F.max("k").alias("k")).first()
-    return sorted(r.q) or [1], r.m or 0, r.k or 0
+class Seeding:
+    """How reads are cut into seeds: a scheme (its searches for each k), where parts begin, and whether the rarest letters of a part are taken, which needs the frequencies of a prepared reference."""
 
+    def __init__(self, schemes: dict[int, list] | None = None, fractions: dict[int, list[float]] | None = None, rarest: bool = False):
+        self.schemes, self.fractions, self.rarest = schemes, fractions, rarest
 
-def candidates(queries: DataFrame, ref: DataFrame, sizes: list[int]) -> DataFrame:
+    def seeds(self, queries: DataFrame, ref) -> DataFrame:
+        known = is_prepared(ref)
+        frequencies = ref.frequencies if known and self.rarest else None
+        return seeds(queries, F.col("k"), ref.k if known else LONGEST, self.schemes, self.fractions, frequencies, ref.k if known else 0)
+
+
+def _extent(queries: DataFrame, found: DataFrame) -> tuple[list[int], int, int]:
+    """Seed lengths in use (few), length of the longest read, most errors; one job each for reads and seeds."""
+    r = queries.agg(F.max(F.length("seq")).alias("m"), F.max("k").alias("k")).first()
+    return sorted(x.q for x in found.select("q").distinct().collect()) or [1], r.m or 0, r.k or 0
+
+
+def candidates(found: DataFrame, ref, sizes: list[int]) -> DataFrame:
     """read_id, strand, seq_id, diag: where a read may begin (0-based), from each of its seeds."""
-    met = kmers(ref, *sizes).join(seeds(queries, F.col("k")), ["q", "kmer"])
+    if len(sizes) == 1:  # by the k-mer alone: the buckets of a prepared reference are made by it
+        met = kmers(ref, *sizes).drop("q").join(found.drop("q"), "kmer")
+    else:
+        met = kmers(ref, *sizes).join(found, ["q", "kmer"])
     return met.select("read_id", "strand", "seq_id", (F.col("pos") - F.col("offset")).alias("diag")).distinct()
 
 
-def _windows(found: DataFrame, queries: DataFrame, ref: DataFrame, margin: int, longest: int) -> DataFrame:
+def _windows(found: DataFrame, queries: DataFrame, ref, margin: int, longest: int) -> DataFrame:
     """found (read_id, strand, seq_id, low, high: first and last begin) with the read, its k and the text around."""
-    pad = margin + longest + BLOCK
-    pieces = tiles(ref, WINDOW_TILE, pad, pad).withColumnRenamed("begin", "text_begin")
+    pieces = windows(ref, margin + longest + BLOCK).withColumnRenamed("begin", "text_begin")
     at = found.withColumn("tile", F.floor(F.greatest("low", F.lit(0)) / WINDOW_TILE).cast("int"))
     # a begin beyond the end of its sequence has no tile of its own
-    lasts = ref.where(F.length("seq") > 0).select("seq_id", F.floor((F.length("seq") - 1) / WINDOW_TILE).cast("int").alias("last"))
+    lasts = lengths(ref).where("len > 0").select("seq_id", F.floor((F.col("len") - 1) / WINDOW_TILE).cast("int").alias("last"))
     at = at.join(lasts, "seq_id").withColumn("tile", F.least("tile", "last")).drop("last")
     return at.join(pieces, ["seq_id", "tile"]).join(queries, ["read_id", "strand"])
 
 
-def hamming(queries: DataFrame, ref: DataFrame, k) -> DataFrame:
+def hamming(queries: DataFrame, ref, k, how: Seeding = Seeding()) -> DataFrame:  # noqa: B008 -- never changed
     """All hits within k mismatches: read_id, strand, seq_id, begin, end, distance, cigar. queries: read_id, strand, seq."""
     ship(queries.sparkSession)
     queries = queries.withColumn("k", F.lit(k) if isinstance(k, int) else k)
-    sizes, longest, _ = _extent(queries)
-    found = candidates(queries, ref, sizes).select("read_id", "strand", "seq_id", F.col("diag").alias("low"), F.col("diag").alias("high")).where("low >= 0")
+    some = how.seeds(queries, ref)
+    sizes, longest, _ = _extent(queries, some)
+    found = candidates(some, ref, sizes).select("read_id", "strand", "seq_id", F.col("diag").alias("low"), F.col("diag").alias("high")).where("low >= 0")
     full = _windows(found, queries, ref, 1, longest).select("read_id", "strand", "seq_id", "low", "k", "seq", F.substr("text", F.col("low") - F.col("text_begin") + 1, F.length("seq")).alias("text"))
     full = full.where("length(text) = length(seq)")
 
@@ -81,13 +95,14 @@ def hamming(queries: DataFrame, ref: DataFrame, k) -> DataFrame:
     return hits.select("read_id", "strand", "seq_id", "begin", (F.col("begin") + F.col("n")).alias("end"), "distance", F.concat(F.col("n").cast("string"), F.lit("M")).alias("cigar"))
 
 
-def edit(queries: DataFrame, ref: DataFrame, k) -> DataFrame:
+def edit(queries: DataFrame, ref, k, how: Seeding = Seeding()) -> DataFrame:  # noqa: B008
     """All cluster centres within k edits: read_id, strand, seq_id, begin, end, distance, cigar; not yet without redundancy."""
     ship(queries.sparkSession)
     queries = queries.withColumn("k", F.lit(k) if isinstance(k, int) else k)
-    sizes, longest, most = _extent(queries)
+    some = how.seeds(queries, ref)
+    sizes, longest, most = _extent(queries, some)
     margin = 3 * most + 2
-    by = candidates(queries, ref, sizes).withColumn("block", F.floor(F.col("diag") / BLOCK)).groupBy("read_id", "strand", "seq_id", "block")
+    by = candidates(some, ref, sizes).withColumn("block", F.floor(F.col("diag") / BLOCK)).groupBy("read_id", "strand", "seq_id", "block")
     found = by.agg(F.min("diag").alias("low"), F.max("diag").alias("high")).drop("block")
     full = _windows(found, queries, ref, margin, longest)
     start = F.greatest(F.col("low") - 3 * F.col("k") - 2, F.lit(0), F.col("text_begin"))
@@ -112,11 +127,12 @@ def edit(queries: DataFrame, ref: DataFrame, k) -> DataFrame:
     return full.mapInArrow(run, f"read_id {kind}, strand string, seq_id bigint, begin int, end int, distance int, cigar string").distinct()
 
 
-def exact(queries: DataFrame, ref: DataFrame) -> DataFrame:
+def exact(queries: DataFrame, ref, how: Seeding = Seeding()) -> DataFrame:  # noqa: B008
     """All occurrences: an equi-join on the first letters and a comparison, without Python."""
     queries = queries.withColumn("k", F.lit(0))
-    sizes, longest, _ = _extent(queries)
-    found = candidates(queries, ref, sizes).select("read_id", "strand", "seq_id", F.col("diag").alias("low"), F.col("diag").alias("high"))
+    some = how.seeds(queries, ref)
+    sizes, longest, _ = _extent(queries, some)
+    found = candidates(some, ref, sizes).select("read_id", "strand", "seq_id", F.col("diag").alias("low"), F.col("diag").alias("high"))
     full = _windows(found, queries, ref, 1, longest)
     n = F.length("seq")
     same = full.where((F.substr("text", F.col("low") - F.col("text_begin") + 1, n) == F.col("seq")) & ~F.col("seq").contains("N"))

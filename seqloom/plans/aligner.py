@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import dna
 from ..operators import dedupe, insert_size, pairing, ranking, search
+from ..shared import written
+from ..sources import fastx
+from . import schemes
 
 
 @dataclass(frozen=True)
@@ -30,8 +33,11 @@ class Options:
     report_unmapped: bool = True
     xa: bool = False
     cigar: bool = True
+    #: where parts are cut; dynamic takes a part's rarest letters where a prepared reference tells them, else its first
     partitioning: str = "dynamic"
+    #: a scheme of plans.schemes, or a folder of scheme files; it decides which parts are seeds
     scheme: str = "pigeon"
+    #: of a reference that is prepared for this run
     kmer_size: int = 10
     trim: tuple[int, int] | None = None
     reorder: bool = False
@@ -53,24 +59,46 @@ class Options:
             raise ValueError("the XA tag needs the CIGAR strings")
 
 
+def seeding(spark: SparkSession, o: Options) -> search.Seeding:
+    """What scheme and partitioning ask for. A folder's schemes are checked; k that a scheme doesn't have is cut by the pigeonhole."""
+    chosen, fractions = {}, {}
+    for k in range(1, dna.MAX_ERRORS + 1):
+        if o.scheme in schemes.GENERATORS:
+            chosen[k] = schemes.GENERATORS[o.scheme](k)
+            continue
+        try:
+            found = fastx.scheme_folder(spark, o.scheme, k)
+        except FileNotFoundError:
+            continue
+        chosen[k] = found["schemes"][0]
+        if not schemes.is_lossless(chosen[k], k):
+            raise ValueError(f"{o.scheme}: the scheme for {k} errors misses some of their distributions")
+        if o.partitioning == "static" and found["static"]:
+            fractions[k] = found["static"][0]
+    if not chosen:
+        raise ValueError(f"{o.scheme} is neither a known scheme nor a folder of scheme files")
+    return search.Seeding(chosen, fractions, o.partitioning == "dynamic")
+
+
 def _prepared(reads: DataFrame, o: Options) -> DataFrame:
     seq = dna.cleaned(F.col("seq"))
     return reads.withColumn("seq", dna.trimmed(seq, *o.trim) if o.trim else seq)
 
 
-def hits(reads: DataFrame, ref: DataFrame, o: Options, per_strand: bool | None = None) -> DataFrame:
-    """All hits of reads (read_id, seq) within their limit of errors, both strands, without redundant ones."""
+def hits(reads: DataFrame, ref, o: Options, per_strand: bool | None = None) -> DataFrame:
+    """ref: a table of sequences or a prepared reference. All hits of reads (read_id, seq) within their limit of errors, both strands, without redundant ones."""
     reads = _prepared(reads, o).select("read_id", "seq")
     limit = F.lit(o.max_distance) if o.mode == "all" else dna.max_errors(F.length("seq"), o.min_identity)
     queries = search.both_strands(reads.withColumn("k", limit))
+    how = seeding(reads.sparkSession, o)
     if o.mode == "all" and o.max_distance == 0:
-        found = search.exact(queries.drop("k"), ref).withColumn("max_distance", F.lit(0))
+        found = search.exact(queries.drop("k"), ref, how).withColumn("max_distance", F.lit(0))
         return found if o.cigar else found.withColumn("cigar", F.lit("*"))
     k = F.col("k")
     if o.metric == "hamming":
-        found = search.hamming(queries, ref, k)
+        found = search.hamming(queries, ref, k, how)
     else:
-        found = search.edit(queries, ref, k)
+        found = search.edit(queries, ref, k, how)
     found = found.join(reads.select("read_id", limit.alias("max_distance")), "read_id")
     by_strand = o.mode == "best" if per_strand is None else per_strand
     found = dedupe.unique(found, by_strand)
@@ -88,21 +116,22 @@ def hits(reads: DataFrame, ref: DataFrame, o: Options, per_strand: bool | None =
     return found
 
 
-def single_end(reads: DataFrame, ref: DataFrame, o: Options) -> DataFrame:
+def single_end(reads: DataFrame, ref, o: Options) -> DataFrame:
     """Reported hits with best, n_best, rank, is_primary, mapq and flag."""
     found = hits(reads, ref, o)
     found = ranking.strata(found, o.strata_after_best) if o.mode == "best" else found
     return ranking.ranked(found).drop("max_distance")
 
 
-def paired_end(pairs: DataFrame, ref: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+def paired_end(pairs: DataFrame, ref, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs found, all hits of the mates, and the library's parameters. pairs: pair_id, mate, seq."""
     reads = pairs.withColumn("read_id", F.concat_ws("/", F.col("pair_id").cast("string"), F.col("mate").cast("string")))
     found = hits(reads, ref, o, per_strand=True)
-    found = found.join(reads.select("read_id", "pair_id", "mate"), "read_id").drop("read_id", "max_distance")
+    # alignments are read by the inference and by each kind of pair: they are made once
+    found = written(found.join(reads.select("read_id", "pair_id", "mate"), "read_id").drop("read_id", "max_distance"))
     if o.infer:
         with_file = found.join(ref.select("seq_id", "file_id"), "seq_id") if "file_id" in ref.columns else found
-        library = insert_size.inferred(insert_size.unambiguous(with_file))
+        library = insert_size.inferred(insert_size.first_pairs(insert_size.unambiguous(with_file)))
         p = library.first()
         orientation, least, most = p.orientation, p.min_insert, p.max_insert
     else:

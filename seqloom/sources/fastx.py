@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +29,22 @@ def probed(spark: SparkSession, path: str) -> str:
         return path
     except ValueError:
         pass
-    jvm = spark.sparkContext._jvm
     for end in (e + z for e in (".fasta", ".fa", ".fna", ".FASTA", ".FA", ".FNA") for z in ("", ".gz")):
-        p = jvm.org.apache.hadoop.fs.Path(path + end)
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        if exists(spark, path + end):
             return path + end
     raise FileNotFoundError(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Paths in a file of paths, one a line."""
+    return [r.value.strip() for r in spark.read.text(path).where("trim(value) <> ''").collect()]
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """Rows numbered from 0 in the order of the files: partition sizes are counted, no row moves."""
     df = df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
@@ -95,9 +104,14 @@ def reads(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("name").alias("read_id"), "read_ord", dna.cleaned(F.col("seq")).alias("seq"), "qual")
 
 
-def pairs(spark: SparkSession, first: str, second: str) -> DataFrame:
-    """pair_id, mate, name, seq, qual of two files in lock-step, as far as the shorter one goes."""
+def pairs(spark: SparkSession, first: str, second: str, strict: bool = False) -> DataFrame:
+    """pair_id, mate, name, seq, qual of two files in lock-step, as far as the shorter one goes: with a warning, or an error if strict."""
     a, b = reads(spark, first), reads(spark, second)
+    n, m = a.count(), b.count()
+    if n != m:
+        if strict:
+            raise ValueError(f"{first} has {n} reads, {second} has {m}")
+        logging.getLogger("seqloom").warning("%s has %d reads, %s has %d: the rest of the longer one is left out", first, n, second, m)
     both = a.select("read_ord", F.struct(F.lit(1).alias("mate"), F.col("read_id").alias("name"), "seq", "qual").alias("x")).join(b.select("read_ord", F.struct(F.lit(2).alias("mate"), F.col("read_id").alias("name"), "seq", "qual").alias("y")), "read_ord")
     return both.select(F.col("read_ord").alias("pair_id"), F.explode(F.array("x", "y")).alias("m")).select("pair_id", "m.*")
 
