@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import dna
 from ..ship import ship
 
 #: Tiles keep substring() cheap, which walks from the start of its string; so many are made at a time.
-KMER_TILE, WINDOW_TILE, AT_ONCE = 128, 1024, 4096
+WINDOW_TILE, AT_ONCE = 1024, 4096
+#: Letters whose k-mers are coded at a time.
+SEGMENT = 1 << 20
 
 
 def dealt(df: DataFrame) -> DataFrame:
@@ -57,24 +60,63 @@ def lengths(ref) -> DataFrame:
     return ref.names.select("seq_id", "len") if is_prepared(ref) else ref.select("seq_id", F.length("seq").cast("bigint").alias("len"))
 
 
+def codes(seq: str, sizes: list[int]):
+    """Of one sequence, in segments: q, first position, codes of the q-mers from there, and which of them hold bases alone."""
+    import numpy as np
+
+    value = np.full(256, 4, np.uint8)
+    value[[ord(c) for c in "ACGT"]] = range(4)
+    most = max(sizes)
+    for at in range(0, len(seq), SEGMENT):
+        x = value[np.frombuffer(seq[at : at + SEGMENT + most].encode("latin-1", "replace"), np.uint8)]
+        odd = np.concatenate([[0], np.cumsum(x > 3)])
+        base = (x & 3).astype(np.int64)
+        for q in sizes:
+            n = min(SEGMENT, len(seq) - at, len(x) - q + 1)
+            if n <= 0:
+                continue
+            code = np.zeros(n, np.int64)
+            for j in range(q):
+                code = code << 2 | base[j : j + n]
+            yield q, at, code, odd[q : q + n] == odd[:n]
+
+
 def kmers(ref, *sizes: int) -> DataFrame:
-    """q, kmer, seq_id, pos (0-based) of every k-mer of each of the sizes; those that a prepared reference has are read."""
+    """q, code (two bits a base), seq_id, pos (0-based) of every k-mer of each of the sizes, of bases alone; those that a prepared reference has are read."""
     if is_prepared(ref):
-        own = ref.kmers.select(F.lit(ref.k).alias("q"), "kmer", "seq_id", "pos")
+        own = ref.kmers.select(F.lit(ref.k).alias("q"), "code", "seq_id", "pos")
         rest = [s for s in sizes if s != ref.k]
         made = kmers(ref.sequences, *rest) if rest else None
         return made if ref.k not in sizes else own if made is None else own.unionByName(made)
-    most = max(sizes)
-    pieces = tiles(dealt(ref), KMER_TILE, 0, max(0, most - 1))
-    q = F.explode(F.array(*[F.lit(s) for s in sizes])).alias("q")
-    pieces = pieces.select("seq_id", "begin", "text", q)
-    last = F.least(F.lit(KMER_TILE), F.length("text") - F.col("q") + 1)
-    at = pieces.where(last > 0).select("q", "seq_id", "begin", "text", F.explode(F.sequence(F.lit(1), last)).alias("i"))
-    return at.select("q", F.substr("text", F.col("i"), F.col("q")).alias("kmer"), "seq_id", (F.col("begin") + F.col("i") - 1).alias("pos"))
+    ship(ref.sparkSession)
+
+    def run(batches):
+        import numpy as np
+
+        for b in batches:
+            for seq_id, seq in zip(b.column("seq_id").to_pylist(), b.column("seq"), strict=True):
+                for q, at, code, good in codes(seq.as_py(), list(sizes)):
+                    pos = np.flatnonzero(good)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), q, np.int32)), pa.array(code[pos]), pa.array(np.full(len(pos), seq_id, np.int64)), pa.array((pos + at).astype(np.int32))], names=["q", "code", "seq_id", "pos"])
+
+    some = dealt(ref).where(F.length("seq") > 0).select(F.col("seq_id").cast("bigint").alias("seq_id"), "seq")
+    return some.mapInArrow(run, "q int, code bigint, seq_id bigint, pos int")
 
 
 def kmer_frequencies(ref: DataFrame, k: int) -> DataFrame:
-    return kmers(ref, k).groupBy("kmer").agg(F.count("*").alias("n"))
+    """kmer, n: counted in each task by segments, then summed."""
+    ship(ref.sparkSession)
+
+    def run(batches):
+        import numpy as np
+
+        for b in batches:
+            held = [code[good] for seq in b.column("seq") for _, _, code, good in codes(seq.as_py(), [k])]
+            code, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+    rows = dealt(ref).where(F.length("seq") > 0).select("seq").mapInArrow(run, "code bigint, n bigint")
+    return rows.groupBy("code").agg(F.sum("n").alias("n")).select(dna.unpacked(F.col("code"), k).alias("kmer"), "n")
 
 
 def letter_counts(ref: DataFrame) -> DataFrame:

@@ -49,10 +49,11 @@ def _extent(queries: DataFrame, found: DataFrame) -> tuple[list[int], int, int]:
 
 def candidates(found: DataFrame, ref, sizes: list[int]) -> DataFrame:
     """read_id, strand, seq_id, diag: where a read may begin (0-based), from each of its seeds."""
+    found = found.withColumn("code", F.when(F.col("q") > 0, dna.packed(F.col("kmer"))).otherwise(0)).drop("kmer")
     if len(sizes) == 1:  # by the k-mer alone: the buckets of a prepared reference are made by it
-        met = kmers(ref, *sizes).drop("q").join(found.drop("q"), "kmer")
+        met = kmers(ref, *sizes).drop("q").join(found.drop("q"), "code")
     else:
-        met = kmers(ref, *sizes).join(found, ["q", "kmer"])
+        met = kmers(ref, *sizes).join(found, ["q", "code"])
     return met.select("read_id", "strand", "seq_id", (F.col("pos") - F.col("offset")).alias("diag")).distinct()
 
 

@@ -1,6 +1,6 @@
 """A prepared reference: sequences, window tiles, k-mers and their frequencies, written once and opened by path.
 
-The k-mer table is bucketed by k-mer, so that joins with many reads shuffle the reads alone; joins with few reads
+The k-mer table is bucketed by k-mer (two bits a base), so that joins with many reads shuffle the reads alone; joins with few reads
 broadcast them. Tables are Parquet below one path; a table of one row holds what a reader must know.
 """
 
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dna
 from ..operators import reference
 
 VERSION = 1
@@ -26,7 +27,7 @@ class Prepared:
     sequences: DataFrame  # seq_id, file_id, seq_name, seq
     names: DataFrame  # seq_id, file_id, seq_name, len
     windows: DataFrame  # seq_id, tile, begin, text
-    kmers: DataFrame  # kmer, seq_id, pos
+    kmers: DataFrame  # code, seq_id, pos
     frequencies: DataFrame  # kmer, n
     k: int
     pad: int
@@ -57,9 +58,10 @@ def build(ref: DataFrame, path: str, k: int = 10, pad: int = 512) -> Prepared:
     reference.tiles(reference.dealt(ref), reference.WINDOW_TILE, pad, pad).write.parquet(f"{path}/windows")
     buckets = max(1, -(-letters // BUCKET))
     name = f"seqloom_{uuid.uuid4().hex}"
-    rows = reference.kmers(ref, k).select("kmer", "seq_id", F.col("pos").cast("int").alias("pos"))
-    rows.repartition(buckets, "kmer").write.bucketBy(buckets, "kmer").sortBy("kmer").option("path", f"{path}/kmers").saveAsTable(name)
-    spark.table(name).groupBy("kmer").agg(F.count("*").alias("n")).write.parquet(f"{path}/frequencies")
+    rows = reference.kmers(ref, k).select("code", "seq_id", "pos")
+    rows.repartition(buckets, "code").write.bucketBy(buckets, "code").sortBy("code").option("path", f"{path}/kmers").saveAsTable(name)
+    counts = spark.table(name).groupBy("code").agg(F.count("*").alias("n"))
+    counts.select(dna.unpacked(F.col("code"), k).alias("kmer"), "n").write.parquet(f"{path}/frequencies")
     spark.sql(f"DROP TABLE {name}")  # of the catalogue only: the files are at a path of their own
     spark.createDataFrame([(VERSION, k, pad, buckets)], "version int, k int, pad int, buckets int").coalesce(1).write.parquet(f"{path}/about")
     return open_(spark, path)
@@ -72,6 +74,6 @@ def open_(spark: SparkSession, path: str) -> Prepared:
     if about.version != VERSION:
         raise ValueError(f"{path} was written by another version ({about.version}; this is {VERSION})")
     name = f"seqloom_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE TABLE {name} (kmer STRING, seq_id BIGINT, pos INT) USING parquet CLUSTERED BY (kmer) SORTED BY (kmer) INTO {about.buckets} BUCKETS LOCATION '{path}/kmers'")
+    spark.sql(f"CREATE TABLE {name} (code BIGINT, seq_id BIGINT, pos INT) USING parquet CLUSTERED BY (code) SORTED BY (code) INTO {about.buckets} BUCKETS LOCATION '{path}/kmers'")
     table = lambda part: spark.read.parquet(f"{path}/{part}")
     return Prepared(table("sequences"), table("names"), table("windows"), spark.table(name), table("frequencies"), about.k, about.pad)
