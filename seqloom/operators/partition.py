@@ -23,21 +23,18 @@ def static(length: Column, fractions: list[float]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("part"), edges[i].alias("begin"), edges[i + 1].alias("end")) for i in range(len(edges) - 1)])
 
 
-def dynamic(reads: DataFrame, frequencies: DataFrame, parts: int, k: int) -> DataFrame:
-    """read_id, part, begin, end, weight: borders moved towards even numbers of occurrences.
+def rarest(reads: DataFrame, frequencies: DataFrame, parts: int, k: int) -> DataFrame:
+    """read_id, part, begin, end, offset, kmer, n: the rarest k-mer of each part of a read, the first among equals.
 
-    Each part starts at its even share; the number of occurrences of its first k-mer decides how long it
-    grows: lengths are proportional to the logarithm of the occurrences, so that frequent starts get longer parts.
+    It is the part's seed: of all places in a part that is free of errors any may be looked up, and the rarest gives
+    the fewest candidates. Part borders stay even, so nothing is looked up letter by letter.
     """
-    even = reads.select("read_id", "seq", F.length("seq").alias("m"), F.explode(uniform(F.length("seq"), parts)).alias("p")).select("read_id", "m", "seq", "p.*")
-    seen = even.withColumn("kmer", F.substr("seq", F.col("begin") + 1, F.lit(k))).join(frequencies, "kmer", "left")
-    weight = F.log2(F.coalesce("n", F.lit(0)) + 2)
-    by = seen.groupBy("read_id", "m").agg(F.array_sort(F.collect_list(F.struct("part", weight.alias("w")))).alias("w"))
-    total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x["w"])
-    upto = lambda i: F.aggregate(F.slice("w", F.lit(1), i), F.lit(0.0), lambda s, x: s + x["w"])
-    edge = lambda i: F.floor(F.col("m") * upto(i) / total).cast("int")
-    out = by.select("read_id", F.explode(F.transform("w", lambda x: F.struct(x["part"].alias("part"), edge(x["part"]).alias("begin"), edge(x["part"] + 1).alias("end"), F.round(x["w"], 6).alias("weight")))).alias("p"))
-    return out.select("read_id", "p.*")
+    even = reads.select("read_id", "seq", F.inline(uniform(F.length("seq"), parts)))
+    at = even.select("read_id", "part", "begin", "end", "seq", F.explode(F.sequence("begin", F.greatest(F.col("end") - k, F.col("begin")))).alias("offset"))
+    at = at.select("read_id", "part", "begin", "end", "offset", F.substr("seq", F.col("offset") + 1, F.lit(k)).alias("kmer"))
+    seen = at.join(frequencies, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    best = F.min_by(F.struct("offset", "kmer", "n"), F.struct("n", "offset"))
+    return seen.groupBy("read_id", "part", "begin", "end").agg(best.alias("b")).select("read_id", "part", "begin", "end", "b.*")
 
 
 def starts(scheme: list, k: int) -> tuple[int, list[int]]:

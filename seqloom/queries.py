@@ -7,8 +7,6 @@ are, with planted substitutions, with planted gaps, or cut into two mates.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import dna
 from .operators import counters, dedupe, insert_size, pairing, partition, ranking, reference, search
-from .plans import schemes
+from .plans import prepared, schemes
 from .plans.aligner import Options, hits, single_end
+from .shared import folder, written
 from .sources import sinks
 
 # --- derived tables
@@ -48,15 +47,28 @@ def planted(seq: str, m: str, n: int) -> str:
 VARIANTS = " UNION ALL ".join(f"SELECT read_id * 4 + {n} AS read_id, {planted('seq', 'length(seq)', n)} AS seq FROM reads" for n in range(4))
 #: Of each read: a base less (even ids) or more (odd ids) in the middle.
 GAPPED = "SELECT read_id, CASE WHEN read_id % 2 = 0 THEN concat(substr(seq, 1, cast(floor(length(seq) / 2.0) as int)), substr(seq, cast(floor(length(seq) / 2.0) as int) + 2)) ELSE concat(substr(seq, 1, cast(floor(length(seq) / 2.0) as int)), 'A', substr(seq, cast(floor(length(seq) / 2.0) as int) + 1)) END AS seq FROM reads"
-#: Mates: the first half, and the second half's reverse complement; every seventh second mate is its neighbour's, every eleventh unknown.
-MATES = """
-SELECT a.read_id AS pair_id, 1 AS mate, substr(a.seq, 1, cast(floor(length(a.seq) / 2.0) as int)) AS seq FROM reads a
+
+
+def mates(kind: str = "FR") -> str:
+    """SQL: the two halves of each read, turned as the library says; every seventh second mate is its neighbour's, every eleventh unknown."""
+    turned = lambda x, back: f"reverse(translate({x}, 'ACGT', 'TGCA'))" if back else x
+    one = turned("substr(a.seq, 1, cast(floor(length(a.seq) / 2.0) as int))", kind[0] == "R")
+    two = turned("substr(b.seq, cast(floor(length(b.seq) / 2.0) as int) + 1)", kind == "FR")
+    return f"""
+SELECT a.read_id AS pair_id, 1 AS mate, {one} AS seq FROM reads a
 UNION ALL
-SELECT a.read_id, 2, CASE WHEN a.read_id % 11 = 0 THEN 'NNNNNNNNNNNNNNNNNNNN'
-  ELSE reverse(translate(substr(b.seq, cast(floor(length(b.seq) / 2.0) as int) + 1), 'ACGT', 'TGCA')) END
+SELECT a.read_id, 2, CASE WHEN a.read_id % 11 = 0 THEN 'NNNNNNNNNNNNNNNNNNNN' ELSE {two} END
 FROM reads a JOIN reads b ON b.read_id = CASE WHEN a.read_id % 7 = 0 THEN a.read_id + 1 ELSE a.read_id END"""
 
 
+MATES = mates()
+#: Hits made of a read's first 60 letters, crowded enough for the fold: one for every letter but the last two.
+CROWDED = """
+SELECT read_id, '+' AS strand, CAST(read_id % 3 AS BIGINT) AS seq_id, CAST(2 * i + strpos('ACGT', substr(seq, i + 1, 1)) AS INT) AS "begin",
+  CAST(2 * i + 40 + strpos('ACGT', substr(seq, i + 3, 1)) AS INT) AS "end", CAST(strpos('ACGT', substr(seq, i + 2, 1)) - 1 AS INT) AS distance, '*' AS cigar
+FROM (SELECT read_id, seq, i FROM reads, (SELECT unnest(range(58)) AS i) WHERE length(seq) >= 60)"""
+
+
 def derived(spark: SparkSession, d: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("FROM reads", "FROM {reads}").replace("JOIN reads", "JOIN {reads}"), reads=reads(spark, d))
 
@@ -105,6 +117,13 @@ def q_exact(spark, d):
     return search.exact(search.both_strands(reads(spark, d)), ref_seq(spark, d))
 
 
+def q_prepared(spark, d):
+    """Exact hits by way of a prepared reference: built, opened by its path, searched."""
+    path = folder(spark)
+    prepared.build(ref_seq(spark, d), path, k=12)
+    return search.exact(search.both_strands(reads(spark, d)), prepared.open_(spark, path), search.Seeding(rarest=True))
+
+
 def q_hamming(spark, d):
     return search.hamming(search.both_strands(variants(spark, d)), ref_seq(spark, d), 3)
 
@@ -115,11 +134,11 @@ def q_hamming_best(spark, d):
 
 
 def q_sam(spark, d):
-    return sinks.sam_single(q_hamming_best(spark, d), variants(spark, d), ref_seq(spark, d))
+    return sinks.sam_single(written(q_hamming_best(spark, d)), variants(spark, d), ref_seq(spark, d))
 
 
 def q_sam_xa(spark, d):
-    return sinks.sam_single(q_hamming_best(spark, d), variants(spark, d), ref_seq(spark, d), xa=True)
+    return sinks.sam_single(written(q_hamming_best(spark, d)), variants(spark, d), ref_seq(spark, d), xa=True)
 
 
 def q_sam_header(spark, d):
@@ -131,7 +150,7 @@ def q_rhs(spark, d):
 
 
 def q_counters(spark, d):
-    return counters.single_end(variants(spark, d), q_hamming(spark, d))
+    return counters.single_end(variants(spark, d), written(q_hamming(spark, d)))
 
 
 def q_edit_all(spark, d):
@@ -147,8 +166,8 @@ def q_edit_distance(spark, d):
     return search.edit(search.both_strands(derived(spark, d, GAPPED)), ref_seq(spark, d), 1).groupBy("read_id").agg(F.min("distance").alias("best"))
 
 
-def _mates(spark, d):
-    m = derived(spark, d, MATES)
+def _mates(spark, d, kind="FR"):
+    m = derived(spark, d, mates(kind))
     q = search.both_strands(m.withColumn("read_id", F.col("pair_id") * 2 + F.col("mate")).select("read_id", "seq"))
     h = search.exact(q, ref_seq(spark, d)).withColumn("mate", F.when(F.col("read_id") % 2 == 1, 1).otherwise(2))
     return m, h.withColumn("pair_id", ((F.col("read_id") - F.col("mate")) / 2).cast("bigint")).drop("read_id")
@@ -156,8 +175,9 @@ def _mates(spark, d):
 
 def _pairs(spark, d):
     m, h = _mates(spark, d)
+    h = written(h)  # alignments are made once, and read by each kind of pair
     good = pairing.concordant(h, "FR", 0, 500)
-    return m, h, good.unionByName(pairing.discordant(h, good))
+    return m, h, written(good.unionByName(pairing.discordant(h, good)))
 
 
 def q_pairs_fr(spark, d):
@@ -165,11 +185,11 @@ def q_pairs_fr(spark, d):
 
 
 def q_pairs_rf(spark, d):
-    return pairing.concordant(_mates(spark, d)[1], "RF", 0, 100_000)
+    return pairing.concordant(_mates(spark, d, "RF")[1], "RF", 0, 100_000)
 
 
 def q_pairs_ff(spark, d):
-    return pairing.concordant(_mates(spark, d)[1], "FF", 0, 100_000)
+    return pairing.concordant(_mates(spark, d, "FF")[1], "FF", 0, 100_000)
 
 
 def q_pairs_discordant(spark, d):
@@ -197,7 +217,9 @@ def q_sam_pairs(spark, d):
 
 
 def q_insert_size(spark, d):
-    return insert_size.inferred(insert_size.unambiguous(_mates(spark, d)[1]))
+    """Of pairs whose mates have one hit each in the first file."""
+    files = ref_seq(spark, d).select("seq_id", "file_id")
+    return insert_size.inferred(insert_size.unambiguous(_mates(spark, d)[1].join(files, "seq_id")))
 
 
 def q_partition_uniform(spark, d):
@@ -209,7 +231,7 @@ def q_partition_static(spark, d):
 
 
 def q_partition_dynamic(spark, d):
-    return partition.dynamic(reads(spark, d), reference.kmer_frequencies(ref_seq(spark, d), 8), 4, 8)
+    return partition.rarest(reads(spark, d), reference.kmer_frequencies(ref_seq(spark, d), 8), 4, 8)
 
 
 def q_scheme_selection(spark, d):
@@ -235,17 +257,16 @@ def q_odd_letters(spark, d):
 
 
 def q_fold(spark, d):
-    """The redundancy fold over exact hits of all 12-letter starts of mates, taken as hits within two errors."""
-    h = search.exact(search.both_strands(reads(spark, d)), ref_seq(spark, d))
-    return dedupe.non_redundant(dedupe.unique(h, False), 2, False)
+    """The redundancy fold over crowded hits, taken as hits within two errors."""
+    made = CROWDED.replace("(SELECT unnest(range(58)) AS i)", "(SELECT explode(sequence(0, 57)) AS i)").replace("strpos('ACGT', ", "instr('ACGT', ").replace('"', "`")
+    return dedupe.non_redundant(derived(spark, d, made), 2, False)
 
 
 def q_streaming(spark, d):
     """Reads as a stream, aligned batch by batch; the hits that it wrote."""
     from .streaming.reads import align_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = folder(spark)
     items = spark.read.parquet(f"{d}/benchmark.parquet")
     stream = spark.readStream.schema(items.schema).parquet(f"{d}/benchmark.parquet*")
     rows = stream.select(F.col("item_id").alias("read_id"), dna.from_text(F.coalesce("text", F.lit(""))).alias("seq"))
@@ -306,9 +327,13 @@ lines AS (SELECT read_id, rank, n_best, concat_ws(chr(9), read_id, flag, seq_nam
     CASE WHEN is_primary THEN printed ELSE '*' END, '*', 'AS:i:' || distance, 'NM:i:' || distance, 'PG:Z:seqloom') AS line,
     seq_name || ',' || CASE WHEN strand = '-' THEN '-' ELSE '+' END || ("begin" + 1) || ',' || cigar || ',' || distance || ';' AS alt FROM full_),
 nothing AS (SELECT read_id, 1 AS rank, concat_ws(chr(9), read_id, '4', '*', '0', '0', '*', '*', '0', '0', seq, '*', 'PG:Z:seqloom') AS line FROM v WHERE read_id NOT IN (SELECT read_id FROM ranked))"""
-_MATES = f"""
-m AS ({MATES}), mr AS (SELECT pair_id * 2 + mate AS read_id, seq FROM m), {_stranded("mr")}, {_EXACT},
+def _hits_of_mates(kind: str) -> str:
+    return f"""
+m AS ({mates(kind)}), mr AS (SELECT pair_id * 2 + mate AS read_id, seq FROM m), {_stranded("mr")}, {_EXACT},
 h AS (SELECT CASE WHEN read_id % 2 = 1 THEN 1 ELSE 2 END AS mate, (read_id - CASE WHEN read_id % 2 = 1 THEN 1 ELSE 2 END) // 2 AS pair_id, strand, seq_id, "begin", "end", distance, cigar FROM exact)"""
+
+
+_MATES = _hits_of_mates("FR")
 _FIELDS = ["mate", "strand", "seq_id", "begin", "end", "distance", "cigar"]
 
 
@@ -331,6 +356,27 @@ mapped AS (SELECT pair_id, max(CASE WHEN mate = 1 THEN 1 ELSE 0 END) AS one, max
 st AS (SELECT pair_id, CASE WHEN pair_id IN (SELECT pair_id FROM good) THEN 'concordant' WHEN pair_id IN (SELECT pair_id FROM disc) THEN 'discordant'
   WHEN one = 1 AND two = 1 THEN 'unpaired' WHEN one = 1 THEN 'mate1' WHEN two = 1 THEN 'mate2' ELSE 'unmapped' END AS status
   FROM (SELECT DISTINCT pair_id FROM m) LEFT JOIN mapped USING (pair_id))"""
+_SAM_PAIRS = """every AS (SELECT * FROM good UNION ALL SELECT * FROM disc),
+x AS (SELECT *, min(distance) OVER (PARTITION BY pair_id) AS best FROM every),
+y AS (SELECT *, count(*) OVER (PARTITION BY pair_id) AS n_best,
+  CAST(row_number() OVER (PARTITION BY pair_id ORDER BY distance, up_seq_id, up_begin, down_begin, up_strand, up_mate, up_end, down_end, down_seq_id) AS INT) AS rank FROM x WHERE distance = best),
+sides AS (
+  SELECT pair_id, rank, n_best, frag_size, discordant, up_mate AS mate, up_strand AS strand, up_seq_id AS seq_id, up_begin AS b, up_distance AS d, up_cigar AS cigar, down_strand AS o_strand, down_seq_id AS o_seq, down_begin AS o_b FROM y
+  UNION ALL SELECT pair_id, rank, n_best, frag_size, discordant, down_mate, down_strand, down_seq_id, down_begin, down_distance, down_cigar, up_strand, up_seq_id, up_begin FROM y),
+paired AS (SELECT s.pair_id, s.rank, s.mate, concat_ws(chr(9), s.pair_id, 1 + CASE WHEN discordant THEN 0 ELSE 2 END + CASE WHEN strand = '-' THEN 16 ELSE 0 END + CASE WHEN o_strand = '-' THEN 32 ELSE 0 END
+    + CASE WHEN s.mate = 1 THEN 64 ELSE 128 END + CASE WHEN rank = 1 THEN 0 ELSE 256 END, 'doc_' || seq_id, b + 1, CAST(CASE WHEN n_best = 1 THEN 60 ELSE round(-10 * log10(1 - 1.0 / n_best)) END AS INT), cigar, 'doc_' || o_seq, o_b + 1,
+    CASE WHEN b > o_b THEN '-' ELSE '' END || frag_size, CASE WHEN strand = '-' THEN reverse(translate(m.seq, 'ACGT', 'TGCA')) ELSE m.seq END, '*', 'AS:i:' || d, 'NM:i:' || d, 'PG:Z:seqloom') AS line
+  FROM sides s JOIN m ON m.pair_id = s.pair_id AND m.mate = s.mate),
+alone AS (SELECT *, count(*) OVER (PARTITION BY pair_id, mate) AS n_best, CAST(row_number() OVER (PARTITION BY pair_id, mate ORDER BY seq_id, "begin", strand, "end") AS INT) AS rank
+  FROM (SELECT *, min(distance) OVER (PARTITION BY pair_id, mate) AS best FROM h WHERE pair_id NOT IN (SELECT pair_id FROM every)) WHERE distance = best),
+mapped_ AS (SELECT a.pair_id, a.rank, a.mate, concat_ws(chr(9), a.pair_id, 1 + CASE WHEN a.mate = 1 THEN 64 ELSE 128 END + CASE WHEN strand = '-' THEN 16 ELSE 0 END + CASE WHEN rank = 1 THEN 0 ELSE 256 END, 'doc_' || seq_id, "begin" + 1,
+    CAST(CASE WHEN n_best = 1 THEN 60 ELSE round(-10 * log10(1 - 1.0 / n_best)) END AS INT), cigar, '*', '0', '0',
+    CASE WHEN rank > 1 THEN '*' WHEN strand = '-' THEN reverse(translate(m.seq, 'ACGT', 'TGCA')) ELSE m.seq END, '*', 'AS:i:' || distance, 'NM:i:' || distance, 'PG:Z:seqloom') AS line
+  FROM alone a JOIN m ON m.pair_id = a.pair_id AND m.mate = a.mate),
+none AS (SELECT m.pair_id, 1 AS rank, m.mate, concat_ws(chr(9), m.pair_id, 5 + CASE WHEN o.strand IS NULL THEN 8 ELSE 0 END + CASE WHEN o.strand = '-' THEN 32 ELSE 0 END + CASE WHEN m.mate = 1 THEN 64 ELSE 128 END, '*', '0', '0', '*', '*', '0', '0', m.seq, '*', 'PG:Z:seqloom') AS line
+  FROM m LEFT JOIN (SELECT * FROM alone WHERE rank = 1) o ON o.pair_id = m.pair_id AND o.mate = 3 - m.mate
+  WHERE m.pair_id NOT IN (SELECT pair_id FROM every) AND NOT EXISTS (SELECT 1 FROM alone a WHERE a.pair_id = m.pair_id AND a.mate = m.mate))
+SELECT pair_id, rank, mate, line FROM paired UNION ALL SELECT pair_id, rank, mate, line FROM mapped_ UNION ALL SELECT pair_id, rank, mate, line FROM none"""
 _CATALOGUE = "cat AS (SELECT seq_id, seq_name, CAST(length(seq) AS BIGINT) AS len, CAST(sum(length(seq)) OVER (ORDER BY seq_id) - length(seq) AS BIGINT) AS start FROM ref)"
 
 
@@ -353,8 +399,8 @@ def _part(name: str, edges: list[str]) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    ham, best, mates = f"WITH {_BASE}, {_HAMMING}", f"WITH {_BASE}, {_HAMMING}, {_BEST}", f"WITH {_BASE}, {_MATES}"
-    pairs = f"{mates}, {_DISCORDANT}"
+    ham, best, pair = f"WITH {_BASE}, {_HAMMING}", f"WITH {_BASE}, {_HAMMING}, {_BEST}", f"WITH {_BASE}, {_MATES}"
+    pairs = f"{pair}, {_DISCORDANT}"
     every = "every AS (SELECT * FROM good UNION ALL SELECT * FROM disc)"
     return {
         "dna_functions": f"""WITH {_BASE} SELECT read_id, CAST(length(seq) AS INT) AS len, translate(seq, 'ACGT', 'TGCA') AS complement, {_RC} AS rc, reverse(seq) AS reversed,
@@ -368,6 +414,7 @@ SELECT kmer, CAST({" + ".join(f"{4 ** (4 - i)} * (strpos('ACGT', substr(kmer, {i
         "locate": f"""WITH {_BASE}, {_CATALOGUE}, loc AS (SELECT greatest(start + len - 30 - seq_id % 40, 0) AS pos, 50 AS width FROM cat WHERE len > 0)
 SELECT pos, width, seq_id, pos - start AS "begin", CASE WHEN pos + width <= start + len THEN 'found' ELSE 'clipped' END AS found FROM loc JOIN cat ON pos >= start AND pos < start + len""",
         "exact": f"WITH {_BASE}, {_stranded('reads')}, {_EXACT} SELECT * FROM exact",
+        "prepared": f"WITH {_BASE}, {_stranded('reads')}, {_EXACT} SELECT * FROM exact",
         "hamming": f"{ham} SELECT * FROM h",
         "hamming_best": f"{best} SELECT * FROM ranked",
         "sam": f"{best}, {_LINE} SELECT read_id, rank, line FROM lines UNION ALL SELECT * FROM nothing",
@@ -384,9 +431,9 @@ top AS (SELECT h.read_id, count(*) AS b FROM h JOIN per USING (read_id) WHERE di
 SELECT count(*) AS reads, count(*) FILTER (h > 0) AS mapped_reads, round(100.0 * count(*) FILTER (h > 0) / count(*), 6) AS mapped_pct, CAST(coalesce(sum(h), 0) AS BIGINT) AS hits,
   count(*) FILTER (b = 1) AS unique_best, round(coalesce(sum(h), 0) / count(*), 6) AS avg_hits, round(sum(d) / sum(h), 6) AS avg_distance
 FROM v LEFT JOIN per USING (read_id) LEFT JOIN top USING (read_id)""",
-        "pairs_fr": f"{mates} {_oriented_pairs('FR', 0, 500)}",
-        "pairs_rf": f"{mates} {_oriented_pairs('RF', 0, 100_000)}",
-        "pairs_ff": f"{mates} {_oriented_pairs('FF', 0, 100_000)}",
+        "pairs_fr": f"{pair} {_oriented_pairs('FR', 0, 500)}",
+        "pairs_rf": f"WITH {_BASE}, {_hits_of_mates('RF')} {_oriented_pairs('RF', 0, 100_000)}",
+        "pairs_ff": f"WITH {_BASE}, {_hits_of_mates('FF')} {_oriented_pairs('FF', 0, 100_000)}",
         "pairs_discordant": f"{pairs} SELECT * FROM disc",
         "pairs_best": f"""{pairs}, {every}, x AS (SELECT *, min(distance) OVER (PARTITION BY pair_id) AS best FROM every),
 y AS (SELECT *, CAST(count(*) OVER (PARTITION BY pair_id) AS INT) AS n_best,
@@ -394,7 +441,7 @@ y AS (SELECT *, CAST(count(*) OVER (PARTITION BY pair_id) AS INT) AS n_best,
 SELECT *, CAST(CASE WHEN n_best = 1 THEN 60 ELSE round(-10 * log10(1 - 1.0 / n_best)) END AS INT) AS mapq FROM y""",
         "pair_status": f"{pairs}, {_STATUS} SELECT * FROM st",
         "pair_counters": f"{pairs}, {_STATUS} SELECT status, count(*) AS pairs, round(100.0 * count(*) / (SELECT count(*) FROM st), 6) AS pct FROM st GROUP BY status",
-        "insert_size": f"""{mates}, one AS (SELECT pair_id, mate, min(strand) AS strand, min(seq_id) AS seq_id, min("begin") AS b, min("end") AS e FROM h GROUP BY pair_id, mate HAVING count(*) = 1),
+        "insert_size": f"""{pair}, one AS (SELECT pair_id, mate, min(strand) AS strand, min(seq_id) AS seq_id, min("begin") AS b, min("end") AS e FROM h WHERE seq_id % 2 = 0 GROUP BY pair_id, mate HAVING count(*) = 1),
 p AS (SELECT a.pair_id, CASE WHEN a.strand = b.strand THEN 'FF' WHEN (CASE WHEN a.strand = '+' THEN a.b <= b.b ELSE b.b <= a.b END) THEN 'FR' ELSE 'RF' END AS o,
   greatest(a.e, b.e) - least(a.b, b.b) AS s FROM one a JOIN one b ON a.pair_id = b.pair_id AND a.seq_id = b.seq_id AND a.mate = 1 AND b.mate = 2),
 md AS (SELECT CAST(floor(median(s)) AS INT) AS md FROM p), ad AS (SELECT CAST(floor(median(abs(s - md))) AS INT) AS mad FROM p, md),
@@ -412,6 +459,33 @@ o AS (SELECT read_id, 'pigeon' AS scheme, substr(seq, CAST(floor({schemes.critic
 SELECT read_id, scheme FROM (SELECT read_id, scheme, row_number() OVER (PARTITION BY read_id ORDER BY coalesce(n, 0), scheme) AS r FROM o LEFT JOIN c USING (kmer)) WHERE r = 1""",
         "cleaned_reads": """WITH t AS (SELECT item_id, text, regexp_replace(text, '[^A-Za-z]', '', 'g') AS s FROM benchmark WHERE text IS NOT NULL)
 SELECT item_id, split_part(text, ' ', 1) AS name, regexp_replace(upper(CASE WHEN length(s) >= 90 THEN substr(s, 6, 85) ELSE s END), '[^ACGT]', 'N', 'g') AS seq FROM t""",
+        "partition_dynamic": f"""WITH {_BASE}, {_kmers(8)}, c AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer),
+p AS (SELECT read_id, seq, i AS part, CAST(floor(i * length(seq) / 4.0) AS INT) AS "begin", CAST(floor((i + 1) * length(seq) / 4.0) AS INT) AS "end" FROM reads, (SELECT unnest(range(4)) AS i)),
+o AS (SELECT *, substr(seq, "offset" + 1, 8) AS kmer FROM (SELECT *, CAST(unnest(range("begin", greatest("end" - 7, "begin" + 1))) AS INT) AS "offset" FROM p))
+SELECT read_id, CAST(part AS INT) AS part, "begin", "end", "offset", kmer, n FROM (SELECT o.*, coalesce(c.n, 0) AS n, row_number() OVER (PARTITION BY read_id, part ORDER BY coalesce(c.n, 0), "offset") AS r FROM o LEFT JOIN c USING (kmer)) WHERE r = 1""",
+        "odd_letters": """WITH t AS (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM benchmark WHERE text IS NOT NULL),
+l AS (SELECT item_id, i, substr(s, i, 1) AS c FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM t)),
+b AS (SELECT *, coalesce(max(CASE WHEN c IN ('A', 'C', 'G', 'T') THEN i END) OVER (PARTITION BY item_id ORDER BY i), 0) AS last_ FROM l),
+f AS (SELECT item_id, string_agg(CASE WHEN last_ = i THEN c ELSE substr('GATT', CAST((i - last_ - 1) % 4 + 1 AS INT), 1) END, '' ORDER BY i) AS seq FROM b GROUP BY item_id)
+SELECT item_id, coalesce(seq, '') AS seq FROM t LEFT JOIN f USING (item_id)""",
+        # with one error at most a half is free of errors; what it leaves is compared with the text beside it
+        "edit_distance": f"""WITH {_BASE}, g AS ({GAPPED}), {_stranded("g")},
+halves AS (SELECT *, i, CASE WHEN i = 0 THEN substr(seq, 1, CAST(floor(length(seq) / 2.0) AS INT)) ELSE substr(seq, CAST(floor(length(seq) / 2.0) AS INT) + 1) END AS p FROM strands, (SELECT unnest(range(2)) AS i)),
+met AS (SELECT h.*, r.seq AS text FROM halves h JOIN ref r ON contains(r.seq, h.p) WHERE h.p <> ''),
+loc AS (SELECT * FROM (SELECT *, unnest(range(0, length(text) - length(p) + 1)) AS b FROM met) WHERE substr(text, b + 1, length(p)) = p),
+win AS (SELECT read_id, seq, CASE WHEN i = 0 THEN substr(text, b + 1, length(seq) + e) ELSE substr(text, greatest(b + length(p) - length(seq) - e, 0) + 1, least(length(seq) + e, b + length(p))) END AS w FROM loc, (SELECT unnest(range(-1, 2)) AS e))
+SELECT read_id, CAST(min(levenshtein(seq, w)) AS INT) AS best FROM win GROUP BY read_id HAVING min(levenshtein(seq, w)) <= 1""",
+        # the fold, hit by hit: a state for each of the sorted hits, the survivor of a cluster is what its last state keeps
+        "fold": f"""WITH RECURSIVE {_BASE}, h AS ({CROWDED}),
+o AS (SELECT *, row_number() OVER (PARTITION BY read_id, seq_id ORDER BY "begin", distance, "end" - "begin", strand, cigar) AS n FROM h),
+st AS (SELECT read_id, seq_id, n, 1 AS c, "begin" AS b, "end" AS e, distance AS x FROM o WHERE n = 1
+  UNION ALL SELECT s.read_id, s.seq_id, o.n, CASE WHEN o."begin" - s.b > 4 THEN c + 1 ELSE c END,
+    CASE WHEN o."begin" - s.b > 4 OR (o."begin" > s.b AND (o.distance, o."end" - o."begin") < (s.x, s.e - s.b)) THEN o."begin" ELSE s.b END,
+    CASE WHEN o."begin" - s.b > 4 OR (o."begin" > s.b AND (o.distance, o."end" - o."begin") < (s.x, s.e - s.b)) THEN o."end" ELSE s.e END,
+    CASE WHEN o."begin" - s.b > 4 OR (o."begin" > s.b AND (o.distance, o."end" - o."begin") < (s.x, s.e - s.b)) THEN o.distance ELSE s.x END
+  FROM st s JOIN o ON o.read_id = s.read_id AND o.seq_id = s.seq_id AND o.n = s.n + 1)
+SELECT read_id, '+' AS strand, seq_id, b AS "begin", e AS "end", x AS distance, '*' AS cigar FROM (SELECT *, row_number() OVER (PARTITION BY read_id, seq_id, c ORDER BY n DESC) AS r FROM st) WHERE r = 1""",
+        "sam_pairs": f"""{pairs}, {_SAM_PAIRS}""",
         "streaming": f"""WITH {_BASE}, {_stranded("reads")}, {_EXACT}, x AS (SELECT read_id, strand, seq_id, "begin", "end", distance, '*' AS cigar,
   0 AS best, CAST(count(*) OVER (PARTITION BY read_id) AS INT) AS n_best, CAST(row_number() OVER (PARTITION BY read_id ORDER BY strand, seq_id, "begin") AS INT) AS rank FROM exact)
 SELECT *, rank = 1 AS is_primary, CAST(CASE WHEN n_best = 1 THEN 60 ELSE round(-10 * log10(1 - 1.0 / n_best)) END AS INT) AS mapq,
