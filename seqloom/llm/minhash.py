@@ -2,12 +2,14 @@
 
 Under each of PERMUTATIONS permutations of the 64-bit shingle hashes both the smallest and the largest value
 are kept: two signature values for one evaluation. Bands take two permutations, so four values; a pair at the
-threshold misses all BANDS bands with probability (1 - 0.75 ** 4) ** BANDS, about 1e-8. Documents with the
-same shingle set form a class first, and only classes are compared. In each bucket the members are compared
+threshold misses all BANDS bands with a probability of about (1 - 0.75 ** 4) ** BANDS, 1e-8, if the sets are large
+(smallest and largest value are then nearly independent), and of 1e-6 for the smallest sets that can be linked
+without being equal (three of four shingles: both agree with 1/2, a band with 1/4). Documents with the same shingle set form a class first, and only classes are compared. In each bucket the members are compared
 with one centre, on full sets; verified links join components; then other centres are taken in buckets whose
 members are still in several components, and what then
-is left in buckets of several components goes through an exact join on prefixes of the sets. So no
-link between different texts is lost and no group is expanded into all its pairs.
+is left in buckets of several components goes through an exact join on prefixes of the sets, rarest shingles first. So
+no link between texts that share a bucket is lost, and no bucket is expanded into all its pairs: the last join meets
+only pairs that share one of the rarest quarter of their shingles and whose sizes and places still allow a link.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing and is
 kept; a text of fewer than WIDTH words is one shingle; repeated rows have the same component and are both

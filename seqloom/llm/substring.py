@@ -6,8 +6,9 @@ windows with the same anchor make a segment, the seed together with its extensio
 anchor reaches. Segments whose anchor stands in one document only are dropped by the first join. Of equal
 segments the smallest document keeps its own and the others lose theirs whole. Where the segments of an
 anchor differ, the match is extended from the anchor word by word: each window of one segment of each
-content is compared with the windows of the others, by 128-bit hashes grouped by Spark, so that the cost
-is linear in the text however many documents share a passage. Adjacent matches merge into maximal repeats.
+content is compared with the windows of the others, by two 64-bit polynomial hashes (of the words' 64-bit hashes)
+that Spark groups, so that the cost is linear in the text however many documents share a passage: the windows of
+one anchor that agree are the extension, as far as it goes to either side. Adjacent matches merge into maximal repeats.
 
 Defined results: null and empty texts have no words; documents shorter than WINDOW lose nothing; a null
 doc_id is not smaller than any, nor is any smaller than it; rows that share a doc_id don't take words from
