@@ -37,9 +37,9 @@ def rarest(reads: DataFrame, frequencies: DataFrame, parts: int, k: int) -> Data
     return seen.groupBy("read_id", "part", "begin", "end").agg(best.alias("b")).select("read_id", "part", "begin", "end", "b.*")
 
 
-def starts(scheme: list, k: int) -> tuple[int, list[int]]:
-    """Parts, and those with which the searches of a scheme begin, if none of them may have an error there; else those of the pigeonhole."""
-    if all(s.u[0] == 0 for s in scheme):
+def starts(scheme: list | None, k: int) -> tuple[int, list[int]]:
+    """Parts, and those with which the searches of a scheme begin, if none of them may have an error there; else (and without a scheme) those of the pigeonhole."""
+    if scheme and all(s.u[0] == 0 for s in scheme):
         return len(scheme[0].pi), sorted({s.pi[0] for s in scheme})
     return k + 1, list(range(k + 1))
 
@@ -55,16 +55,17 @@ def seeds(queries: DataFrame, k: Column | int, longest: int = LONGEST, schemes:
     """
     k = F.lit(k) if isinstance(k, int) else k
     rows = queries.where(F.length("seq") > 0).select("read_id", "strand", "seq", k.alias("k"))
-    by_k = {}
-    for errors in range(MOST_ERRORS + 1):
-        by_k[errors] = starts((schemes or {}).get(errors) or [], errors) if (schemes or {}).get(errors) else (errors + 1, list(range(errors + 1)))
-    at = lambda c: F.get(F.array(*[F.array(*[F.lit(x) for x in by_k[e][1]]) if c else F.lit(by_k[e][0]) for e in by_k]), F.col("k"))
-    rows = rows.withColumn("p", at(False)).withColumn("m", F.length("seq"))
+    # of each k: how many parts, which of them are seeds, and where they begin
+    parts, firsts = zip(*(starts((schemes or {}).get(e), e) for e in range(MOST_ERRORS + 1)), strict=True)
+    of_k = lambda xs: F.get(F.array(*xs), F.col("k"))
+    rows = rows.withColumn("p", of_k([F.lit(p) for p in parts])).withColumn("m", F.length("seq"))
     rows = rows.withColumn("whole", F.col("m") < F.col("p"))
-    rows = rows.withColumn("i", F.explode(F.when(F.col("whole"), F.array(F.lit(0))).otherwise(at(True))))
+    rows = rows.withColumn("i", F.explode(F.when(F.col("whole"), F.array(F.lit(0))).otherwise(of_k([F.array(*map(F.lit, x)) for x in firsts]))))
     edge = lambda i: F.floor(i * F.col("m") / F.col("p")).cast("int")
     if fractions:
-        given = F.get(F.array(*[F.array(*[F.lit(float(x)) for x in ([0.0, *fractions[e], 1.0] if e in fractions and len(fractions[e]) == by_k[e][0] - 1 else [j / by_k[e][0] for j in range(by_k[e][0] + 1)])]) for e in by_k]), F.col("k"))
+        even = lambda p: [j / p for j in range(1, p)]
+        inner = [fractions[e] if e in fractions and len(fractions[e]) == p - 1 else even(p) for e, p in enumerate(parts)]
+        given = of_k([F.array(*[F.lit(float(x)) for x in (0, *x, 1)]) for x in inner])
         edge = lambda i: F.floor(F.get(given, i) * F.col("m")).cast("int")
     rows = rows.withColumn("begin", F.when(F.col("whole"), 0).otherwise(edge(F.col("i")))).withColumn("end", F.when(F.col("whole"), 0).otherwise(edge(F.col("i") + 1)))
     rows = rows.withColumn("q", F.least(F.lit(longest), F.col("end") - F.col("begin")))
