@@ -479,7 +479,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     frame = templates(vectors, sizes).select("host", "container", "menus", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
     frame = cut(frame.join(constant_blocks(pages), "host", "full").select(F.col("host").alias("of"), "container", "menus", "names", "blocks"))
     drop(spark, vectors)
-    joined = pages.join(frame.hint("shuffle_hash"), F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "container", "menus", "names", "blocks")
+    # a row for each host: Spark broadcasts it if its size allows, else a hot host is split
+    joined = pages.join(frame, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "container", "menus", "names", "blocks")
 
     def run(batches):
         for b in batches:
