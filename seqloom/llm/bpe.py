@@ -247,13 +247,13 @@ class Utf8:
 
 
 class ByteBpe:
-    """Encoder and decoder of one rank file; room is the number of transitions that are remembered (about 600 bytes each with all else), and a third of it that of pieces."""
+    """Encoder and decoder of one rank file; room is the number of transitions that are remembered (about 600 bytes each with all else). Of pieces as many as a batch of texts may well hold are remembered, or a third of room."""
 
     def __init__(self, path: str, pattern: str, room: int = 300_000):
         import regex
 
         self.machine = machine = Transducer(read_ranks(path), room)
-        self.pieces = Pieces(regex.compile(pattern).findall, lambda some: [machine.encode(p.encode()) for p in some], pattern == RUNS, max(1000, room // 3))
+        self.pieces = Pieces(regex.compile(pattern).findall, lambda some: [machine.encode(p.encode()) for p in some], pattern == RUNS, max(1000, min(room, 300_000), room // 3))
         sizes = np.fromiter(map(len, machine.bytes_of), np.int64, len(machine.bytes_of))
         self.token_bytes = np.frombuffer(b"".join(machine.bytes_of), np.uint8)
         self.token_size, self.token_start = sizes, np.cumsum(sizes) - sizes
