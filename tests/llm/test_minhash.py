@@ -81,6 +81,26 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(n + 1)}, 500: 500, 501: 500, 502: 500}
 
 
+def test_components_by_one_task_and_by_joins(spark, monkeypatch):
+    """Few links need one task: no round of joins, whose plans fill the driver's memory."""
+    rng = random.Random(4)
+    pairs = sorted({(rng.randrange(400), rng.randrange(400)) for _ in range(260)}) + [(-7, 3), (9, 9), (2**62, 5), (700, 701)]
+    links = spark.createDataFrame(pairs, "a bigint, b bigint")
+    want = {d: d for p in pairs if p[0] != p[1] for d in p}
+    for _ in want:
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    by_joins = []
+    flat = components._flat
+    monkeypatch.setattr(components, "_flat", lambda parent: by_joins.append(1) or flat(parent))
+    for most in (1 << 20, 40, 0):
+        monkeypatch.setattr(components, "ONE_TASK", most)
+        by_joins.clear()
+        assert {r.node: r.label for r in components.connected(links).collect()} == want
+        assert bool(by_joins) == (most < 1 << 20)
+
+
 def test_min_and_max_estimate_the_resemblance():
     import numpy as np
 
