@@ -4,7 +4,8 @@ Every row is indexed. Equal vectors are one node, so that any number of copies s
 and its members come back when results are written (the smallest ids of a node are enough: more than TOP + 1
 never fit into a result). The first graph joins neighbours in blocks along an order of the vectors by their
 nearest pivots; then each iteration joins, at every node, its neighbours with one another (the neighbours of
-neighbours) and keeps each node's K nearest, until an iteration changes less than DONE of all links. Nodes with many
+neighbours) and keeps each node's K nearest, until an iteration changes less than DONE of all links. Two neighbours
+that both were there an iteration before have met by then, and don't meet again. Nodes with many
 incoming links are dealt into groups by a salt: every link takes part, and neighbours of such a node meet within
 their group (those of different groups only by way of other nodes). A query walks the graph greedily: it starts at
 its own node and at the entry points nearest to it, expands the nodes of its beam that are not expanded, and ends
@@ -64,8 +65,8 @@ def valid(vectors: DataFrame) -> tuple[DataFrame, int]:
 
 
 def nearest_k(pairs: DataFrame, k: int) -> DataFrame:
-    """The k nearest neighbours of each node, each once."""
-    once = pairs.groupBy("node", "nbr").agg(F.min("d").alias("d"))
+    """The k nearest neighbours of each node, each once; fresh, if all rows of a pair are."""
+    once = pairs.groupBy("node", "nbr").agg(F.min("d").alias("d"), F.bool_and("fresh").alias("fresh"))
     order = W.partitionBy("node").orderBy("d", "nbr")
     return once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
@@ -110,35 +111,44 @@ def first_graph(nodes: DataFrame, dim: int, seed: int) -> DataFrame:
 
 
 def improved(graph: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
-    """node, nbr, d: pairs of neighbours of a common node that are nearer than the farthest the node has, each once."""
-    links = graph.select(F.col("node").alias("at"), F.col("nbr").alias("u")).unionByName(graph.select(F.col("nbr").alias("at"), F.col("node").alias("u"))).distinct()
-    links = cut(links)
-    degree = cut(links.groupBy("at").agg(F.ceil(F.count("*") / GROUP).alias("groups")))
+    """node, nbr, d: pairs of neighbours of a common node that are nearer than the farthest the node has, each once.
+
+    Pairs of links that aren't fresh have met before, but in nodes of several groups, as those may be dealt anew.
+    Of one group a node gets its K nearest: no others can be among the K that it keeps.
+    """
+    links = graph.select(F.col("node").alias("at"), F.col("nbr").alias("u"), "fresh").unionByName(graph.select(F.col("nbr").alias("at"), F.col("node").alias("u"), "fresh"))
+    links = cut(links.groupBy("at", "u").agg(F.bool_and("fresh").alias("fresh")))
+    degree = cut(links.groupBy("at").agg(F.ceil(F.count("*") / GROUP).alias("groups"), F.bool_or("fresh").alias("any")).where("any or groups > 1").drop("any"))
     worst = graph.groupBy("node").agg(F.max("d").alias("worst"), F.count("*").alias("have"))
     known = cut(nodes.join(worst, "node", "left").select(F.col("node").alias("u"), "v", F.when(F.col("have") >= K, F.col("worst")).otherwise(F.lit(float("inf"))).alias("worst")))
-    dealt = links.join(degree, "at").select("at", F.pmod(F.xxhash64("u"), F.col("groups")).alias("salt"), "u")
-    full = dealt.join(known, "u").select("at", "salt", "u", "v", "worst")
+    dealt = links.join(degree, "at").select("at", F.pmod(F.xxhash64("u"), F.col("groups")).alias("salt"), "u", (F.col("fresh") | (F.col("groups") > 1)).alias("fresh"))
+    full = dealt.join(known, "u").select("at", "salt", "u", "v", "worst", "fresh")
 
     def local(batches):
         keep = None
         for b in batches:
             at, salt = b.column("at").to_numpy(), b.column("salt").to_numpy()
-            u, w, x = b.column("u").to_numpy(), b.column("worst").to_numpy(), matrix(b.column("v"), dim)
+            u, w, x, new = b.column("u").to_numpy(), b.column("worst").to_numpy(), matrix(b.column("v"), dim), b.column("fresh").to_numpy(zero_copy_only=False)
             if keep is not None:
-                at, salt, u, w, x = (np.concatenate([p, q]) for p, q in zip(keep, (at, salt, u, w, x), strict=True))
+                at, salt, u, w, x, new = (np.concatenate([p, q]) for p, q in zip(keep, (at, salt, u, w, x, new), strict=True))
             edges = np.flatnonzero((at[1:] != at[:-1]) | (salt[1:] != salt[:-1])) + 1
             last = int(edges[-1]) if len(edges) else 0
-            yield from joined(np.concatenate([[0], edges]) if last else np.zeros(1, int), u, w, x)
-            keep = tuple(a[last:] for a in (at, salt, u, w, x))
+            yield from joined(np.concatenate([[0], edges]) if last else np.zeros(1, int), u, w, x, new)
+            keep = tuple(a[last:] for a in (at, salt, u, w, x, new))
         if keep is not None and len(keep[0]):
             yield from joined(np.array([0, len(keep[0])]), *keep[2:])
 
-    def joined(edges, u, w, x):
+    def joined(edges, u, w, x, new):
         one, two, dist = [], [], []
         for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             d = squares(x[i:j], x[i:j])
             np.fill_diagonal(d, np.inf)
-            p, q = np.nonzero(d < w[i:j, None])
+            old = np.flatnonzero(~new[i:j])
+            d[np.ix_(old, old)] = np.inf
+            near = d < w[i:j, None]
+            if j - i > K:
+                near &= d <= np.partition(d, K - 1, axis=1)[:, K - 1 : K]
+            p, q = np.nonzero(near)
             one.append(u[i:j][p])
             two.append(u[i:j][q])
             dist.append(d[p, q])
@@ -153,15 +163,15 @@ def improved(graph: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
 
 
 def graph_of(nodes: DataFrame, dim: int) -> DataFrame:
-    """node, nbr, d (squared): the K nearest of each node that NN-descent finds."""
+    """node, nbr, d (squared), fresh: the K nearest of each node that NN-descent finds."""
     spark = nodes.sparkSession
-    graph = cut(nearest_k(first_graph(nodes, dim, 1).unionByName(first_graph(nodes, dim, 2)), K))
+    graph = cut(nearest_k(first_graph(nodes, dim, 1).unionByName(first_graph(nodes, dim, 2)).withColumn("fresh", F.lit(True)), K))
     size = nodes.count()
     while True:
         new = improved(graph, nodes, dim)
         better = new.join(graph.select("node", "nbr"), ["node", "nbr"], "left_anti")
         changes = better.count()
-        merged = cut(nearest_k(graph.unionByName(new), K))
+        merged = cut(nearest_k(graph.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True))), K))
         drop(spark, graph, new)
         tidy(spark)
         graph = merged

@@ -98,3 +98,23 @@ def test_a_walk_ends_when_nothing_is_left(spark, monkeypatch):
     graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n - 1)], "node bigint, nbr bigint, d double")
     queries = spark.createDataFrame([(1, [float(n), 1.0], 0)], "query bigint, q array<float>, own bigint")
     assert sorted(r.node for r in ann.walk(nodes, graph, queries, 2).collect()) == list(range(n))
+
+
+def test_neighbours_that_have_met_do_not_meet_again(spark):
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(60, 5)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "node bigint, v array<float>")
+    star = [(0, i) for i in range(1, 60)]
+    d = lambda a, b: float(((vectors[a] - vectors[b]) ** 2).sum())
+
+    def pairs(fresh):
+        graph = spark.createDataFrame([(a, b, d(a, b), b in fresh) for a, b in star], "node bigint, nbr bigint, d double, fresh boolean")
+        return {(r.node, r.nbr) for r in ann.improved(graph, nodes, 5).collect()}
+
+    assert pairs(set()) == set()
+    some = pairs({7})
+    assert some and all(7 in p for p in some)
+    near = pairs(set(range(1, 60)))
+    for a in range(1, 60):  # of all that meet at the star's centre, the K nearest
+        want = sorted((b for b in range(1, 60) if b != a), key=lambda b: d(a, b))[: ann.K]
+        assert {b for x, b in near if x == a} - {0} == set(want)
