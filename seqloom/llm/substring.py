@@ -12,21 +12,26 @@ one anchor that agree are the extension, as far as it goes to either side. Adjac
 
 Defined results: null and empty texts have no words; documents shorter than WINDOW lose nothing; a null
 doc_id is not smaller than any, nor is any smaller than it; rows that share a doc_id don't take words from
-each other; an empty table gives no rows; further columns are ignored.
+each other; an empty table gives no rows; further columns are ignored. Texts are worked on a few at a time, by their
+bytes, and go back to Spark in small batches, so that memory follows from the longest text, not from many long ones.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _powers, as_long, cut, drop, hashes, mix, ready, rolling, tidy, words
 
 WINDOW, ANCHOR = 50, 10
+#: Bytes of text that are worked on at once, and rows that go back to Spark at once.
+BYTES, ROWS = 1 << 21, 1 << 16
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -67,6 +72,24 @@ def runs(start: list[int], count: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return a[at], b[np.append(at[1:] - 1, len(a) - 1)]
 
 
+def light(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most BYTES of text, a row at least: what is made of a text is many times its size."""
+    for b in batches:
+        end = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = end[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(end, before + BYTES, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def thin(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ROWS."""
+    for at in range(0, b.num_rows, ROWS):
+        yield b.slice(at, ROWS)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, version (of rows that share a doc_id), text."""
     return docs.select("doc_id", F.hash("text").alias("version"), "text")
@@ -76,7 +99,7 @@ def seeds(docs: DataFrame) -> DataFrame:
     """doc_id, version, anchor, hashes s1 and s2, start and count of each segment."""
 
     def run(batches):
-        for b in batches:
+        for b in light(batches):
             ids, versions, cols = b.column("doc_id").to_pylist(), b.column("version").to_pylist(), [[] for _ in range(7)]
             for d, v, t in zip(ids, versions, b.column("text").to_pylist(), strict=True):
                 w = words(t)
@@ -89,7 +112,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                 for c, x in zip(cols, (np.full(n, d), np.full(n, v, np.int32), as_long(anchor), *(as_long(spans(h, start, end, base)) for base in BASES), start.astype(np.int32), count.astype(np.int32)), strict=True):
                     c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc_id", "version", "anchor", "s1", "s2", "start", "count"])
+                yield from thin(pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc_id", "version", "anchor", "s1", "s2", "start", "count"]))
 
     return docs.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, version int, anchor bigint, s1 bigint, s2 bigint, start int, count int")
 
@@ -98,7 +121,7 @@ def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """w1, w2, doc_id, version, start, count: windows of the wanted segments; equal neighbours are one row."""
 
     def run(batches):
-        for b in batches:
+        for b in light(batches):
             cols = [[] for _ in range(6)]
             for d, v, t, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "version", "text", "at")), strict=True):
                 h = hashes(words(t))
@@ -111,7 +134,7 @@ def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for c, x in zip(cols, (as_long(one[i]), as_long(two[i]), np.full(n, d), np.full(n, v, np.int32), start[i].astype(np.int32), np.diff(np.append(i, len(start))).astype(np.int32)), strict=True):
                     c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["w1", "w2", "doc_id", "version", "start", "count"])
+                yield from thin(pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["w1", "w2", "doc_id", "version", "start", "count"]))
 
     by = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "count")).alias("at"))
     both = docs.join(by, ["doc_id", "version"]).select("doc_id", "version", "text", "at")
@@ -149,12 +172,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space)."""
     spark = docs.sparkSession
     ready(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
     docs = _keyed(docs)
     found = repeats(docs)
     by = found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "count")).alias("at"))
 
     def run(batches):
-        for b in batches:
+        for b in light(batches):
             n, removed, texts = [], [], []
             for t, at in zip(b.column("text").to_pylist(), b.column("at").to_pylist(), strict=True):
                 w = words(t)

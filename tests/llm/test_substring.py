@@ -64,3 +64,40 @@ def test_every_shared_window_has_one_anchor():
         b = np.concatenate([rng.integers(0, 2**63, 3, dtype=np.uint64), core])
         own = lambda h, at: next(x for x, s, n in zip(*substring.segments(h)) if s <= at < s + n)
         assert own(a, 20) == own(b, 3)
+
+
+class Captured:
+    """Stands for a DataFrame: any step gives it again, mapInArrow the function that it is given."""
+
+    def __getattr__(self, name):
+        return (lambda f, schema: f) if name == "mapInArrow" else (lambda *a: self)
+
+
+def test_memory_follows_from_a_text_not_from_a_batch_of_long_ones(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, length = 400, 3000
+    texts = [" ".join(f"w{(i * 7919 + d * 104729) % 99991:05}" for i in range(length)) for d in range(n)]
+    at = [[{"start": 0, "count": length - 49}]] * n
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n), pa.int64()), "version": pa.array([0] * n, pa.int32()), "text": texts, "at": at})
+    for run, least in ((substring.seeds(Captured()), n * length // 50), (substring.windows(Captured(), Captured()), n * (length - 49))):
+        list(run([batch.slice(0, 1)]))
+        tracemalloc.start()
+        rows = [b.num_rows for b in run([batch])]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(rows) >= least
+        assert max(rows) <= 1 << 16
+        assert peak < 60e6
+
+
+def test_slices_hold_every_row_once():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (0, 1 << 22, 5, 1 << 20, 1 << 20, 1, 1 << 21)] + [None, "y"]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    got = [b.column("text").to_pylist() for b in substring.light([batch, batch.slice(2, 3), batch.slice(0, 0)])]
+    assert [x for b in got for x in b] == texts + texts[2:5]
+    assert all(len(b) == 1 or sum(len(x or "") for x in b) <= substring.BYTES for b in got)
