@@ -6,8 +6,9 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from seqloom.operators import reference
+from seqloom.operators import mask, reference, search
 
 ODD = [("", 1), ("A", 2), ("ACGTNACGTACGTT", 3), ("GATTACA" * 50, 4), ("ACGT\nACGTAC", 5), ("CCÄGTACGTACG", 6)]
 
@@ -78,3 +79,35 @@ def test_counting_holds_a_piece_not_a_batch(here, k):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 8000 * (2001 - k) and peak < 100e6
+
+
+def test_mask(spark):
+    import pickle
+
+    import numpy as np
+
+    keys = [-(2**62), -1, 0, 1, 32_768, 16_777_212, 16_777_213, 2**62, 12_345_678_901]
+    m = pickle.loads(pickle.dumps(mask.mask(spark.createDataFrame([(x,) for x in keys], "k bigint"), F.col("k"))))
+    assert m.has(np.array(keys)).all() and m.has(np.array([0, 1, 32_768], np.uint32)).all()
+    assert not m.has(np.array([2, 3, -2, 32_767, 32_769, 16_777_211, 2**62 + 5])).any()
+    assert mask.mask(spark.range(9_000_000), F.col("id")) is None
+    assert not mask.mask(spark.range(0), F.col("id")).has(np.arange(9)).any()
+
+
+def test_a_search_moves_candidates_not_the_reference(spark):
+    rng = random.Random(3)
+    ref = [(i, i % 2, f"s{i}", "".join(rng.choices("ACGT", k=3000))) for i in range(-300, 300)]
+    reads = [(7, ref[40][3][2500:2700]), (8, ref[41][3][1000:1100])]
+    rf = spark.createDataFrame(ref, "seq_id bigint, file_id int, seq_name string, seq string").repartition(4).localCheckpoint()
+    rd = spark.createDataFrame(reads, "read_id bigint, seq string")
+
+    def shuffled():
+        x = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(x.apply(i).totalShuffleWrite() for i in range(x.size()))
+
+    for find in (search.exact, lambda q, r: search.hamming(q, r, 2), lambda q, r: search.edit(q, r, 1)):
+        before = shuffled()
+        got = {(r.read_id, r.strand, r.seq_id, r.begin, r.end) for r in find(search.both_strands(rd), rf).collect() if r.distance == 0}
+        assert got == {(7, "+", -260, 2500, 2700), (8, "+", -259, 1000, 1100)}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert shuffled() - before < 200_000  # of 1,800,000 letters
