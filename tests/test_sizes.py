@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import mask, reference, search
+from seqloom.operators import mask, packed, reference, search
+from seqloom.plans import prepared
 
 ODD = [("", 1), ("A", 2), ("ACGTNACGTACGTT", 3), ("GATTACA" * 50, 4), ("ACGT\nACGTAC", 5), ("CCÄGTACGTACG", 6)]
 
@@ -101,13 +102,53 @@ def test_a_search_moves_candidates_not_the_reference(spark):
     rf = spark.createDataFrame(ref, "seq_id bigint, file_id int, seq_name string, seq string").repartition(4).localCheckpoint()
     rd = spark.createDataFrame(reads, "read_id bigint, seq string")
 
-    def shuffled():
-        x = spark.sparkContext._jsc.sc().statusStore().executorList(False)
-        return sum(x.apply(i).totalShuffleWrite() for i in range(x.size()))
-
     for find in (search.exact, lambda q, r: search.hamming(q, r, 2), lambda q, r: search.edit(q, r, 1)):
-        before = shuffled()
+        before = shuffled(spark)
         got = {(r.read_id, r.strand, r.seq_id, r.begin, r.end) for r in find(search.both_strands(rd), rf).collect() if r.distance == 0}
         assert got == {(7, "+", -260, 2500, 2700), (8, "+", -259, 1000, 1100)}
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-        assert shuffled() - before < 200_000  # of 1,800,000 letters
+        assert shuffled(spark) - before < 200_000  # of 1,800,000 letters
+
+
+def shuffled(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    x = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(x.apply(i).totalShuffleWrite() for i in range(x.size()))
+
+
+@pytest.mark.parametrize("n", [1, 7, 600])
+def test_buckets_are_sparks(spark, n):
+    import numpy as np
+
+    rows = spark.range(0, 4**15, 9_999_991).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("b")).collect()
+    assert packed.bucket(np.array([r.id for r in rows]), n).tolist() == [r.b for r in rows]
+    assert packed.bucket(packed.first_of_buckets(n), n).tolist() == list(range(n))
+
+
+@pytest.mark.parametrize("k,wide", [(4, False), (12, False), (15, True)])
+def test_order_of_packed_kmers(k, wide):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    code, place = rng.integers(0, 4**k, 3000).astype(np.uint32), rng.permutation(1 << 14)[:3000].astype(np.uint32) << (17 if wide else 0)
+    buckets = 40_000 if wide else 7
+    where = packed.bucket(code, buckets).astype(np.uint32)
+    got = [(n, c, p) for n, cs, ps in packed.in_order(where, code, place, buckets, k) for c, p in zip(cs.tolist(), ps.tolist())]
+    assert got == sorted(zip(where.tolist(), code.tolist(), place.tolist()))
+    columns = [np.array(x) for x in ([0, 5, 2**40, -3], [], [1, 255, 256, 2**31], [0, 0])]
+    assert [x.tolist() for x in packed.unpack(packed.pack(*columns), 4)] == [x.tolist() for x in columns]
+
+
+def test_a_reference_is_prepared_from_packed_kmers(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(prepared, "BUCKET", 250_000)
+    ref = [(7 * i - 900, i % 2, f"s{i}", "".join(rng.choices("ACGTN" if i == 3 else "ACGT", k=rng.choice([0, 5, 900, 9000])))) for i in range(300)]
+    rf = spark.createDataFrame(ref, "seq_id bigint, file_id int, seq_name string, seq string").repartition(4).localCheckpoint()
+    before = shuffled(spark)
+    p = prepared.build(rf, f"file://{tmp_path}/ref", k=11)
+    letters = sum(len(x[3]) for x in ref)
+    assert shuffled(spark) - before < 6 * letters  # 10.8 a letter when each was a row
+    want = sorted((code_, n, i) for _, code_, n, i in brute([(x[3], x[0]) for x in ref], 11))
+    assert sorted(map(tuple, p.kmers.select("code", "seq_id", "pos").collect())) == want
+    # each bucket holds its own codes, so that Spark's bucketed reads find all
+    assert len(want) == p.kmers.groupBy("code").count().agg(F.sum("count")).first()[0]
+    assert p.kmers.join(p.kmers.select("code").distinct().hint("merge"), "code").count() == len(want)
