@@ -14,7 +14,7 @@ from ..ship import ship
 from . import reference
 
 #: Letters whose k-mers are packed together; k-mers put in order at a time; rows of a batch.
-LETTERS, RUN, ROWS = 1 << 23, 1 << 22, 1 << 17
+LETTERS, RUN, ROWS = 1 << 22, 10_000_000, 1 << 17
 
 
 def bucket(code: np.ndarray, buckets: int) -> np.ndarray:
@@ -49,11 +49,12 @@ def pack(*columns: np.ndarray) -> bytes:
         head.append(struct.pack("<BI", n, len(a)))
         out.append(a.view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes())
     body = b"".join(head + out)
-    return struct.pack("<I", len(body)) + pa.compress(body, "zstd", asbytes=True)
+    return struct.pack("<IB", len(body), len(columns)) + pa.compress(body, "zstd", asbytes=True)
 
 
-def unpack(body: bytes, columns: int) -> list[np.ndarray]:
-    body = pa.decompress(body[4:], struct.unpack_from("<I", body)[0], "zstd", asbytes=True)
+def unpack(body: bytes) -> list[np.ndarray]:
+    size, columns = struct.unpack_from("<IB", body)
+    body = pa.decompress(body[5:], size, "zstd", asbytes=True)
     at, out = 5 * columns, []
     for c in range(columns):
         n, rows = struct.unpack_from("<BI", body, 5 * c)
@@ -95,12 +96,14 @@ def by_bucket(ref: DataFrame, k: int, buckets: int) -> DataFrame:
     def rows_of(held):
         ids, begins, ats, where, code, place = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        head, codes, bodies = pack(steps(ids)), [], []
+        # where sequences begin costs some two bytes for each in every bucket, to name them half a byte for each k-mer
+        few = 4 * len(ids) * buckets < len(code)
+        head, codes, bodies = pack(steps(ids), *([steps(begins), ats] if few else [])), [], []
         for n, code, place in in_order(where, code, place, buckets, k):  # noqa: B020, PLR1704
             if len(code):
-                of = np.searchsorted(begins, place, "right") - 1
                 codes.append(first[n])
-                bodies.append(pack(steps(code), of, place - begins[of] + ats[of]))
+                of = None if few else np.searchsorted(begins, place, "right") - 1
+                bodies.append(pack(steps(code), place) if few else pack(steps(code), of, place - begins[of] + ats[of]))
         return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array([head] * len(bodies), pa.binary()), pa.array(bodies, pa.binary())], names=["code", "head", "body"])
 
     def packed(batches):
@@ -118,12 +121,12 @@ def by_bucket(ref: DataFrame, k: int, buckets: int) -> DataFrame:
             yield rows_of(held)
 
     def rows(held):
-        held.sort(key=lambda x: x[1][0])
         code, seq_id, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        # by code, then as they came (by sequence and place): two rounds of sixteen bits
-        order = np.argsort((code & 0xFFFF).astype(np.uint16), kind="stable")
-        order = order[np.argsort((code[order] >> 16).astype(np.uint16), kind="stable")]
+        # by code, sequence and place (as they came): differences are small then; codes in two rounds of sixteen bits
+        order = np.argsort(seq_id, kind="stable").astype(np.uint32)
+        for shift in (0, 16):
+            order = order[np.argsort((code[order] >> np.uint32(shift) & 0xFFFF).astype(np.uint16), kind="stable")]
         for i in range(0, len(order), ROWS):
             o = order[i : i + ROWS]
             yield pa.RecordBatch.from_arrays([pa.array(code[o].astype(np.int64)), pa.array(seq_id[o]), pa.array(pos[o])], names=["code", "seq_id", "pos"])
@@ -132,8 +135,12 @@ def by_bucket(ref: DataFrame, k: int, buckets: int) -> DataFrame:
         held, n = [], 0
         for b in batches:
             for head, body in zip(b.column("head"), b.column("body"), strict=True):
-                (ids,), (code, of, pos) = unpack(head.as_py(), 1), unpack(body.as_py(), 3)
-                held.append((np.cumsum(code).astype(np.uint32), np.cumsum(ids)[of], pos.astype(np.int32)))
+                (ids, *rest), (code, *at) = unpack(head.as_py()), unpack(body.as_py())
+                if rest:
+                    begins, (place,) = np.cumsum(rest[0]), at
+                    of = np.searchsorted(begins, place, "right") - 1
+                    at = of, place - begins[of] + rest[1][of]
+                held.append((np.cumsum(code).astype(np.uint32), np.cumsum(ids)[at[0]], at[1].astype(np.int32)))
                 n += len(code)
                 if n >= RUN:
                     yield from rows(held)

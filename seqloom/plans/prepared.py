@@ -59,7 +59,7 @@ def build(ref: DataFrame, path: str, k: int = 10, pad: int = 512) -> Prepared:
     buckets = max(1, -(-letters // BUCKET))
     name = f"seqloom_{uuid.uuid4().hex}"
     # ordered numbers: differences, packed (Parquet's second version), take half the room
-    small = {"compression": "zstd", "parquet.writer.version": "v2", "path": f"{path}/kmers"}
+    small = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#seq_id": "false", "path": f"{path}/kmers"}
     packed.by_bucket(ref, k, buckets).write.bucketBy(buckets, "code").sortBy("code").options(**small).saveAsTable(name)
     counts = spark.table(name).groupBy("code").agg(F.count("*").alias("n"))
     counts.select(dna.unpacked(F.col("code"), k).alias("kmer"), "n").write.parquet(f"{path}/frequencies")

@@ -135,12 +135,13 @@ def test_order_of_packed_kmers(k, wide):
     got = [(n, c, p) for n, cs, ps in packed.in_order(where, code, place, buckets, k) for c, p in zip(cs.tolist(), ps.tolist())]
     assert got == sorted(zip(where.tolist(), code.tolist(), place.tolist()))
     columns = [np.array(x) for x in ([0, 5, 2**40, -3], [], [1, 255, 256, 2**31], [0, 0])]
-    assert [x.tolist() for x in packed.unpack(packed.pack(*columns), 4)] == [x.tolist() for x in columns]
+    assert [x.tolist() for x in packed.unpack(packed.pack(*columns))] == [x.tolist() for x in columns]
 
 
-def test_a_reference_is_prepared_from_packed_kmers(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("letters", [250_000, 5_000])
+def test_a_reference_is_prepared_from_packed_kmers(spark, tmp_path, monkeypatch, letters):
     rng = random.Random(4)
-    monkeypatch.setattr(prepared, "BUCKET", 250_000)
+    monkeypatch.setattr(prepared, "BUCKET", letters)
     ref = [(7 * i - 900, i % 2, f"s{i}", "".join(rng.choices("ACGTN" if i == 3 else "ACGT", k=rng.choice([0, 5, 900, 9000])))) for i in range(300)]
     rf = spark.createDataFrame(ref, "seq_id bigint, file_id int, seq_name string, seq string").repartition(4).localCheckpoint()
     before = shuffled(spark)
